@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenframe.llm.exact_dedup import exact_dedup
 from lumenframe.llm.lzprint import neighbour_fingerprints
 from lumenframe.llm.packing import pack
+from lumenframe.llm.secrets import secret_scan
+from lumenframe.llm.simhash import simhash_groups
 from lumenframe.llm.tokenfile import token_files
 
 
@@ -20,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).drop("chain")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -43,8 +53,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_lz_fingerprints": op3_lz_fingerprints,
     "op5_token_files": op5_token_files,
     "op7_packing": op7_packing,
+    "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

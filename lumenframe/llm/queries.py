@@ -12,6 +12,7 @@ from lumenframe.llm.packing import pack
 from lumenframe.llm.secrets import secret_scan
 from lumenframe.llm.simhash import simhash_groups
 from lumenframe.llm.tokenfile import token_files
+from lumenframe.llm.toxicity import toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_lz_fingerprints": op3_lz_fingerprints,
     "op5_token_files": op5_token_files,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op10_simhash": op10_simhash,
 }

@@ -11,6 +11,7 @@ from lumenframe.llm.lzprint import neighbour_fingerprints
 from lumenframe.llm.packing import pack
 from lumenframe.llm.secrets import secret_scan
 from lumenframe.llm.simhash import simhash_groups
+from lumenframe.llm.substring import substring_dedup
 from lumenframe.llm.tokenfile import token_files
 from lumenframe.llm.toxicity import toxicity
 
@@ -31,6 +32,10 @@ def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_read(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_lz_fingerprints": op3_lz_fingerprints,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,

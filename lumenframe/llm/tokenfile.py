@@ -106,7 +106,7 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     id_type = df.schema[id_col].dataType.simpleString()
     path = tokenizer or default_tokenizer()
     ids = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ids.repartitionByRange(scratch.partitions(spark), "id", "text").sortWithinPartitions("id", "text")
+    ordered = ids.repartitionByRange(scratch.partitions(spark), "id").sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = Encoder.of(path), TaskContext.get()

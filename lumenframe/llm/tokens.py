@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import os
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lumenframe.llm import text as T
 
-#: Words that a worker remembers the ids of; then it starts anew.
+#: Chunks, and words, that a worker remembers the ids of; then it starts anew.
 REMEMBERED = 300_000
+#: Chunks that are a word of plain letters and marks after it.
+SIMPLE, MARKS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]*$", ".,;:!?"
+
+
+def byte_names() -> dict[int, str]:
+    """Byte-level vocabularies name a byte by its character where that is printable, else by the next from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def default_tokenizer() -> str:
@@ -22,8 +34,10 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    The tokenizer must not join anything across ASCII white space (``splits_at_spaces`` checks it), so
-    each distinct chunk between white space is encoded once and its ids are gathered for every use.
+    The tokenizer must not join anything across ASCII white space, so each distinct chunk between white
+    space is encoded once and its ids are gathered for every use.  Where the tokenizer also lower-cases
+    and cuts letters from marks, a simple chunk is the ids of its lower-case word, which the BPE model gives,
+    and those of its marks; all other chunks go through the whole tokenizer.  Both are tried on a few texts first.
     """
 
     _made: dict[str, "Encoder"] = {}
@@ -34,13 +48,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[str, bytes] = {}
-        probe = ["Ab 'c", "d\n\n <|endoftext|>x\t9", " \r\n"]
-        for p in probe:
-            whole = self.tokenizer.encode(p, add_special_tokens=False).ids
-            parts = [i for w in p.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-            if whole != parts:
+        self.names = byte_names()
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        for text in ("Ab 'c", "d\n\n <|endoftext|>x\t9", " \r\n"):
+            if whole(text) != [i for w in text.split() for i in whole(w)]:
                 raise ValueError(f"{path} doesn't split texts at white space")
+        self.plain = all(whole(w + m) == np.frombuffer(self._word(w.lower()), "<u4").tolist() + whole(m) for w, m in
+                         (("The", ","), ("\u00c9t\u00e9", "."), ("na\u00efvet\u00e9", "?!"), ("Stra\u00dfe", ":")))
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -49,24 +65,67 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _word(self, word: str) -> bytes:
+        named = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
+
+    def _parts(self, values: list[str], known: dict[str, bytes], made: Callable[[list[str]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all values in a row, and how many each has; those that aren't known are made."""
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts = list(map(known.get, values))
+        new = [i for i, p in enumerate(parts) if p is None]
+        for i, p in zip(new, made([values[i] for i in new]), strict=True):
+            parts[i] = known[values[i]] = p
+        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+    def _wholly(self, values: list[str]) -> Iterable[bytes]:
+        return (array("I", e.ids).tobytes() for e in self.batch(values, add_special_tokens=False))
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct chunks in a row, and how many each has."""
+        simple = pc.match_substring_regex(chunks, SIMPLE) if self.plain else pa.array(np.zeros(len(chunks), bool))
+        bare = chunks.filter(simple)
+        trimmed = pc.utf8_rtrim(bare, MARKS)
+        word, words = T.coded(pc.utf8_lower(trimmed))
+        mark, marks = T.coded(suffixes(bare, trimmed))
+        pools = [self._parts(words.to_pylist(), self.words, lambda new: map(self._word, new)),
+                 self._parts(marks.to_pylist(), self.chunks, self._wholly),
+                 self._parts(chunks.filter(pc.invert(simple)).to_pylist(), self.chunks, self._wholly)]
+        shift = np.cumsum([0, *(len(p) for p, _ in pools)])
+        starts = [np.cumsum(n) - n + a for (_, n), a in zip(pools, shift, strict=False)]
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        # Each chunk is two runs of the pool: its word (or all of it), and the marks after the word (or nothing).
+        start, length = np.zeros((len(chunks), 2), np.int64), np.zeros((len(chunks), 2), np.int64)
+        start[is_simple, 0], length[is_simple, 0] = starts[0][word], pools[0][1][word]
+        start[is_simple, 1], length[is_simple, 1] = starts[1][mark], pools[1][1][mark]
+        start[~is_simple, 0], length[~is_simple, 0] = starts[2], pools[2][1]
+        pool = np.concatenate([p for p, _ in pools])
+        return pool[T.ragged(start.ravel(), length.ravel())], length.sum(axis=1)
+
     def ids(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``end_id``, and the offsets of each text."""
         flat, bounds = T.words(texts)
-        codes, distinct = T.coded(flat)
-        chunks = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [c for c in chunks if c not in self.known]
-        for c, e in zip(new, self.batch(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
-        parts = [self.known[c] for c in chunks]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        starts = np.cumsum(lengths) - lengths
-        of_word = lengths[codes] if len(codes) else np.zeros(0, np.int64)
-        ids = pool[T.ragged(starts[codes], of_word)] if len(codes) else np.zeros(0, "<u4")
+        ids, of_word = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(flat):
+            codes, distinct = T.coded(flat)
+            pool, lengths = self._distinct(distinct)
+            of_word = lengths[codes]
+            ids = pool[T.ragged((np.cumsum(lengths) - lengths)[codes], of_word)]
         bounds = np.concatenate([[0], np.cumsum(of_word)])[bounds]
         if end_id is not None:
             ids = np.insert(ids, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))
         return ids.astype("<u4", copy=False), bounds
+
+
+def suffixes(values: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows each head in its value."""
+    if not len(values):
+        return values
+    data = np.frombuffer(values.buffers()[2], np.uint8)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    start = offsets[:-1] + pc.binary_length(heads).to_numpy()
+    length = offsets[1:] - start
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(values), pa.py_buffer(ends), pa.py_buffer(data[T.ragged(start, length)]))

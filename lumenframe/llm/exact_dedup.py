@@ -93,3 +93,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_chars"))
     out = joined.withColumn("nth", F.row_number().over(first))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (best & (F.col("nth") == 1)).alias("kept"), "text_sha256", "chain")
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``exact_dedup`` keeps, with all columns of ``df`` as they are."""
+    marks = exact_dedup(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("keep"), "text_sha256")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"),
+                     F.char_length(F.col(text_col).cast("string")).alias("n"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    kept = rows.join(marks, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.desc("n")))
+    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")

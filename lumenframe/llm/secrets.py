@@ -33,6 +33,9 @@ LEAST_ENTROPY = 3.5
 MOST_OWNERS = 1
 MOST_REPOSITORIES = 2
 
+#: What a masked span becomes.
+MASK = "<secret>"
+
 FOUND = ("n_assign long, n_access long, n_hex long, base_sha256 string, "
          "base array<struct<at:int,kind:int,end:int,hash:long>>, loose array<struct<at:int,kind:int,end:int,hash:long>>")
 
@@ -66,7 +69,7 @@ def joined(spans: list[tuple[int, int, int, str]]) -> str:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """The matches of each row of ``df`` (id, text, repo), whole texts, with 64-bit hashes of their values."""
+    """The matches of each row of ``df`` (id, th, text, repo), whole texts, with 64-bit hashes of their values."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
@@ -87,12 +90,12 @@ def candidates(df: DataFrame) -> DataFrame:
                 for spans, out in ((found, bases), (more, looses)):
                     out.append([(a, k, e, xxh64_intdigest(v.encode()) - (1 << 63)) for a, k, e, v in spans])
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("repo"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()),
+                [b.column("id"), b.column("th"), b.column("repo"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()),
                  *[pa.array([[dict(zip(("at", "kind", "end", "hash"), s, strict=True)) for s in spans] for spans in out], span) for out in (bases, looses)]],
-                ["id", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "base", "loose"])
+                ["id", "th", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "base", "loose"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.mapInArrow(scan, f"id {kinds['id']}, repo string, {FOUND}")
+    return df.mapInArrow(scan, f"id {kinds['id']}, th long, repo string, {FOUND}")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -106,16 +109,9 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("hash").agg(F.sum("uses").alias("uses"), F.countDistinct("repo").alias("repositories"), F.countDistinct("owner").alias("owners"))
 
 
-def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
-    """Secrets of every row of ``df``: one row each, with the digest columns and ``spans``.
-
-    Base kinds are assign, access and hex.  Loose tokens become spans of kind ``owned`` where the
-    corpus says that they are one owner's (at most MOST_OWNERS owners and MOST_REPOSITORIES repositories);
-    tokens that others copy are examples and add nothing.  Base matches always stay; ``n_live``
-    and ``n_example`` count base and loose candidates by the same test.  Null texts count as empty,
-    rows that repeat an id are rows of their own, an empty table gives an empty result.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(repo_col).cast("string").alias("repo"))
+def scanned_rows(df: DataFrame, id_col: str, text_col: str, repo_col: str) -> DataFrame:
+    """The result of ``secret_scan`` with ``id`` and ``th`` (a hash of the text)."""
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"), F.col(repo_col).cast("string").alias("repo"))
     scanned = scratch.table(candidates(rows).withColumn("uid", F.monotonically_increasing_id()), "secrets")
     each = scanned.select("uid", "repo", F.explode(F.concat("base", "loose")).alias("s")).select("uid", "repo", "s.*")
     owned = scratch.table(ownership(each), "secret-owners")
@@ -127,5 +123,55 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list(shown)), lambda s: s["span"])).alias("spans"),
         F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"))
     out = scanned.drop("base", "loose", "repo").join(of_row, "uid", "left")
-    return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
+    return out.select("id", "th", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
                       F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+
+
+def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
+    """Secrets of every row of ``df``: one row each, with the digest columns and ``spans``.
+
+    Base kinds are assign, access and hex.  Loose tokens become spans of kind ``owned`` where the
+    corpus says that they are one owner's (at most MOST_OWNERS owners and MOST_REPOSITORIES repositories);
+    tokens that others copy are examples and add nothing.  Base matches always stay; ``n_live``
+    and ``n_example`` count base and loose candidates by the same test.  Null texts count as empty,
+    rows that repeat an id are rows of their own, an empty table gives an empty result.
+    """
+    return scanned_rows(df, id_col, text_col, repo_col).drop("th").withColumnRenamed("id", id_col)
+
+
+def masked(text: str, spans: str) -> str:
+    """The text with each run of overlapping spans replaced by MASK."""
+    out, at = [], 0
+    for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s):
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+    """``df`` with every span of ``secret_scan`` masked in its text, and the length in code points set anew.
+
+    All rows and columns stay; texts without a span are as they were, null texts too.
+    """
+    found = scanned_rows(df, id_col, text_col, repo_col).filter("spans <> ''").groupBy("id", "th").agg(F.first("spans").alias("spans"))
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    plain = df.toDF(*names.values())
+    text = F.col(names[text_col]).cast("string")
+    same = plain[names[id_col]].eqNullSafe(found["id"]) & (F.xxhash64(text) == found["th"])
+    joined_ = plain.join(found, same, "left").drop("id", "th")
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("spans")
+            texts = b.column(names[text_col])
+            if spans.null_count < b.num_rows:
+                texts = pa.array([t if s is None or t is None else masked(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], texts.type)
+            yield pa.RecordBatch.from_arrays([texts if n == names[text_col] else b.column(n) for n in names.values()], list(names.values()))
+
+    out = joined_.mapInArrow(mask, plain.schema)
+    if length_col in names:
+        own = names[length_col]
+        kind = plain.schema[own].dataType
+        out = out.withColumn(own, F.when(text.isNull(), F.col(own)).otherwise(F.char_length(text)).cast(kind))
+    return out.toDF(*df.columns)

@@ -27,7 +27,7 @@ LARGEST_TREE = 512
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``id``, ``fp`` (the fingerprint as a signed long) of each row of ``df`` (id, text)."""
+    """``id``, ``th``, ``fp`` (the fingerprint as a signed long) of each row of ``df`` (id, th, text)."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, limit=T.SLICE_BYTES // 4):
@@ -45,9 +45,9 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 own = [xxh64_intdigest(data[s:e], SEED) for s, e in zip(starts, last, strict=False)]
                 hashes += own
                 sizes[i] = len(own)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(majority(np.array(hashes, np.uint64), sizes).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(majority(np.array(hashes, np.uint64), sizes).view(np.int64))], ["id", "th", "fp"])
 
-    return df.mapInArrow(digest, f"id {df.schema['id'].dataType.simpleString()}, fp long")
+    return df.mapInArrow(digest, f"id {df.schema['id'].dataType.simpleString()}, th long, fp long")
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,6 +178,20 @@ def with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Reco
         yield True, held
 
 
+def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """``id``, ``th`` (a hash of the text), ``fp`` and ``component_id`` of every row of ``df``."""
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
+    marked = scratch.table(fingerprints(rows, shingle), "simhash")
+    fps = scratch.table(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("uses")), "simhash-distinct")
+    roots = components(links(fps))
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = scratch.table(rooted, "simhash-roots")
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("uses").alias("members"))
+    named = join_hot(rooted, scratch.table(lowest, "simhash-lowest"), "root", "members", "fp")
+    named = scratch.table(named.select("fp", "root", "uses", "component_id"), "simhash-named")
+    return join_hot(marked, named, "fp", "uses", "id").select("id", "th", "fp", "root", "component_id")
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Fingerprint of every row of ``df`` and its component: the id, fingerprint, component_id.
 
@@ -187,13 +201,16 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reachable (null ids are passed over; null where there are only such).  Rows that repeat an id
     are rows of their own.  An empty table gives an empty result.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = scratch.table(fingerprints(rows, shingle), "simhash")
-    fps = scratch.table(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("uses")), "simhash-distinct")
-    roots = components(links(fps))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = scratch.table(rooted, "simhash-roots")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("uses").alias("members"))
-    named = scratch.table(join_hot(rooted, scratch.table(lowest, "simhash-lowest"), "root", "members", "fp").select("fp", "uses", "component_id"), "simhash-named")
-    out = join_hot(marked, named, "fp", "uses", "id")
+    out = grouped(df, id_col, text_col, shingle)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``df`` for each component, the one with the smallest id, with all its columns.
+
+    Null ids come last; rows that are alike in id and text all stay if one does (``drop_copies`` removes them).
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("m")
+    marks = grouped(df, id_col, text_col, shingle).groupBy("root").agg(first).select(F.col("m.id").alias("keep"), F.col("m.th").alias("kept_th"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    return rows.join(marks, F.col("id").eqNullSafe(F.col("keep")) & (F.col("th") == F.col("kept_th")), "left_semi").select("row.*")

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenframe.llm.exact_dedup import exact_dedup
 from lumenframe.llm.lzprint import neighbour_fingerprints
 from lumenframe.llm.packing import pack
+from lumenframe.llm.pieces import round_trip
 from lumenframe.llm.secrets import secret_scan
 from lumenframe.llm.simhash import simhash_groups
 from lumenframe.llm.substring import substring_dedup
 from lumenframe.llm.tokenfile import token_files
 from lumenframe.llm.toxicity import toxicity
+from lumenframe.llm.urlfilter import host_of, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,38 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``, made by rule as the tables have none.
+
+    Hosts whose hash begins with 0, 1, 2 or 3 are added, two thirds of them removed 100 days later and half of those
+    added again 60 days after; besides, one registered domain and two host paths in ten are listed.
+    """
+    hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host IS NOT NULL").distinct().withColumn("h", F.md5("host"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.conv(F.substring("h", 2, 2), 16, 10).cast("int"))
+    listed = hosts.filter(F.substring("h", 1, 1).isin("0", "1", "2", "3")).select(F.col("host").alias("key"), "h", day.alias("day"))
+    code = F.conv(F.substring("h", 4, 1), 16, 10).cast("int")
+    first = listed.select("key", F.lit("add").alias("action"), F.col("day").alias("since"))
+    gone = listed.filter(code < 10).select("key", F.lit("remove").alias("action"), F.date_add("day", 100).alias("since"))
+    again = listed.filter(code < 5).select("key", F.lit("add").alias("action"), F.date_add("day", 160).alias("since"))
+    paths = hosts.filter(F.substring("h", 5, 1).isin("0", "1", "2")).select(
+        F.concat("host", F.lit("/"), F.element_at(F.array(F.lit("en"), F.lit("de")), F.when(F.substring("h", 6, 1) < "8", 1).otherwise(2))).alias("key"),
+        F.lit("add").alias("action"), day.alias("since"))
+    domain = pages.sparkSession.sql("SELECT 'example.org' AS key, a.* FROM VALUES ('add', DATE'2024-03-01'), ('remove', DATE'2024-03-15') AS a(action, since)")
+    return first.unionByName(gone).unionByName(again).unionByName(paths).unionByName(domain)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch time: page_id modulo 366 is the day of 2024."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    out = url_filter(pages.withColumn("fetched", fetched), dated_entries(pages))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("fetched", "listed_since")})
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
@@ -61,6 +96,38 @@ k AS (SELECT text_sha256, count(*) AS group_size, first(doc_id ORDER BY n DESC,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN k USING (text_sha256)
 """
 
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
+         nullif(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':\d*$', '')), '\.$', ''), '') AS host,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+k AS (
+  SELECT page_id, fetched, host, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM p WHERE host IS NOT NULL),
+asked AS (
+  SELECT DISTINCT page_id, fetched, unnest(list_concat(
+    list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.')),
+    list_transform(range(1, len(s) + 1), lambda i: host || '/' || array_to_string(s[1:i], '/')))) AS key
+  FROM k),
+h AS (SELECT host, md5(host) AS h, DATE '2024-01-01' + CAST(('0x' || substr(md5(host), 2, 2))::INTEGER AS INTEGER) AS day FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)),
+c AS (SELECT *, ('0x' || substr(h, 4, 1))::INTEGER AS code FROM h WHERE substr(h, 1, 1) IN ('0', '1', '2', '3')),
+e AS (
+  SELECT host AS key, true AS "on", day AS since FROM c
+  UNION ALL SELECT host, false, day + 100 FROM c WHERE code < 10
+  UNION ALL SELECT host, true, day + 160 FROM c WHERE code < 5
+  UNION ALL SELECT host || '/' || CASE WHEN substr(h, 6, 1) < '8' THEN 'en' ELSE 'de' END, true, day FROM h WHERE substr(h, 5, 1) IN ('0', '1', '2')
+  UNION ALL VALUES ('example.org', true, DATE '2024-03-01'), ('example.org', false, DATE '2024-03-15')),
+g AS (SELECT key, since, bool_or("on") AS "on" FROM e GROUP BY ALL),
+n AS (SELECT *, lag("on") OVER (PARTITION BY key ORDER BY since) AS was FROM g),
+i AS (SELECT key, since, "on", lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM n WHERE was IS DISTINCT FROM "on"),
+m AS (
+  SELECT page_id, count(*) AS n_active, max(struct_pack(n := length(key), key := key, since := since)) AS m
+  FROM asked JOIN i USING (key) WHERE "on" AND since <= fetched AND (until IS NULL OR fetched < until) GROUP BY page_id)
+SELECT page_id, host, CAST(fetched AS VARCHAR) AS fetched, n_active IS NOT NULL AS blocked, coalesce(n_active, 0) AS n_active,
+       m.m.key AS matched_key, CAST(m.m.since AS VARCHAR) AS listed_since
+FROM p LEFT JOIN m USING (page_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -69,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_url_filter": op8_url_filter,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}

@@ -1,0 +1 @@
+"""Manifest, clip and preference analytics on Spark DataFrames."""

@@ -1,0 +1,6 @@
+"""The registered queries."""
+
+from lumenframe.plans import manifest  # noqa: F401
+from lumenframe.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

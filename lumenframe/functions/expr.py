@@ -190,3 +190,9 @@ def strip_prefixes(names: Column, prefixes: Sequence[str]) -> Column:
         return out
 
     return F.transform_keys(names, lambda k, _: bare(k))
+
+
+def checked(value: Column, ok: Column, message: str | Column) -> Column:
+    """The value; an error where ``ok`` doesn't hold.  (A check in a column of its own would be optimised away.)"""
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(text))

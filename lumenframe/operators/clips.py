@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenframe.functions import arrays as A
+from lumenframe.functions import expr as E
 
 
 def clip_windows(lengths: DataFrame, size: int, stride: int, mode: str = "contiguous", key: str = "clip", length: str = "n") -> DataFrame:
@@ -24,7 +25,7 @@ def clip_members(windows: DataFrame, frames: DataFrame, key: str = "clip", frame
     """The rows of ``frames`` that each window takes, in place order; a frame that isn't there is an error."""
     want = windows.select(key, "window", F.posexplode("frames").alias("place", frame))
     out = want.join(frames.withColumn("_there", F.lit(True)), [key, frame], "left")
-    return out.withColumn("_ok", F.assert_true(F.col("_there"), F.concat(F.lit("no frame "), F.col(frame)))).drop("_there", "_ok")
+    return out.withColumn(frame, E.checked(F.col(frame), F.col("_there"), F.concat(F.lit("no frame "), F.col(frame).cast("string")))).drop("_there")
 
 
 def path_length(frames: DataFrame, key: str, frame: str, axes: list[str]) -> DataFrame:
@@ -69,7 +70,7 @@ def aligned(a: DataFrame, b: DataFrame, key: str, a_order: str, b_order: str) ->
     x = a.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(a_order)))
     y = b.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(b_order)))
     both = x.withColumn("_x", F.lit(1)).join(y.withColumn("_y", F.lit(1)), [key, "_k"], "full")
-    return both.withColumn("_ok", F.assert_true(F.col("_x").isNotNull() & F.col("_y").isNotNull(), "counts differ")).drop("_k", "_x", "_y", "_ok")
+    return both.withColumn(key, E.checked(F.col(key), F.col("_x").isNotNull() & F.col("_y").isNotNull(), "counts differ")).drop("_k", "_x", "_y")
 
 
 def rotation_vector(r: list[list[Column]]) -> list[Column]:

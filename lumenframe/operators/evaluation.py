@@ -145,7 +145,7 @@ def numeric_audit(df: DataFrame, key: str, values: str) -> DataFrame:
 
 def require_finite(audit: DataFrame) -> DataFrame:
     """The audit; an error where a key has a number that isn't finite."""
-    return audit.withColumn("_ok", F.assert_true("all_finite", "numbers that aren't finite")).drop("_ok")
+    return audit.withColumn("all_finite", E.checked(F.col("all_finite"), F.col("all_finite"), "numbers that aren't finite"))
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:

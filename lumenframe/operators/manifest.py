@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -234,9 +236,10 @@ def first_existing(files: Column, folder: Column, names: list[str]) -> Column:
 
 def best_key(keys: Column, hints: list[str]) -> Column:
     """The key that equals a hint but for case, in the order of the hints, else the first that contains one."""
-    exact = [F.get(F.filter(keys, lambda k, h=h: F.lower(k) == h.lower()), F.lit(0)) for h in hints]
-    loose = [F.get(F.filter(keys, lambda k, h=h: F.lower(k).contains(h.lower())), F.lit(0)) for h in hints]
-    return F.coalesce(*exact, *loose)
+    def first(test: Callable[[Column, str], Column], hint: str) -> Column:
+        return F.get(F.filter(keys, lambda k: test(F.lower(k), hint.lower())), F.lit(0))
+
+    return F.coalesce(*[first(lambda k, h: k == h, h) for h in hints], *[first(lambda k, h: k.contains(h), h) for h in hints])
 
 
 def quality_flags(hdf5: Column, keys_scanned: bool, poses: Column, intrinsics: Column, video: Column) -> Column:

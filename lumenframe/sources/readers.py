@@ -215,7 +215,7 @@ def camera_frames(df: DataFrame, key: str, text: str) -> DataFrame:
     parsed = F.from_json(text, "frames array<struct<frame:int,transform_matrix:array<array<double>>>>")
     rows = df.select(key, F.explode(parsed["frames"]).alias("f")).select(key, "f.frame", F.col("f.transform_matrix").alias("m"))
     whole = (F.size("m") == 4) & F.forall("m", lambda r: F.size(r) == 4)
-    return rows.withColumn("_ok", F.assert_true(F.coalesce(whole, F.lit(False)), "a pose isn't 4 x 4")).drop("_ok")
+    return rows.withColumn("m", E.checked(F.col("m"), whole, "a pose isn't 4 x 4"))
 
 
 def load_arrays(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame:

@@ -1,0 +1,44 @@
+"""The corpus pipeline on the smallest tables, stage by stage."""
+
+import collections
+
+import duckdb
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_the_columns_and_work_on_what_is_kept(spark):
+    from lumenframe.llm import scratch, secrets
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = scratch.table(stage(spark, docs, SF), name)
+        before, after = ({r.doc_id for r in d.select("doc_id").collect()} for d in (docs, out))
+        assert after <= before
+        if k < 4:
+            assert out.columns == names
+        if name in ("secrets", "packing"):
+            assert after == before
+        if name == "exact_dedup":
+            texts = [r.text for r in out.collect()]
+            bare = collections.Counter("".join(t.split(" ")).replace("\n", "") for t in texts if t)
+            assert max(bare.values()) == 1
+        if name == "secrets":
+            assert secrets.secret_scan(out).filter("n_assign + n_access + n_hex > 0").count() == 0
+        docs = out
+
+
+def test_toxic_documents_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    marks = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()
+    clean, toxic = ([i for i, y in marks if y == v] for v in (0, 1))
+    assert sum(i in kept for i in clean) / len(clean) > 0.97 and sum(i not in kept for i in toxic) / len(toxic) > 0.5
+
+
+def test_run(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0

@@ -96,6 +96,37 @@ k AS (SELECT text_sha256, count(*) AS group_size, first(doc_id ORDER BY n DESC,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN k USING (text_sha256)
 """
 
+#: A kind's matches lie between the pieces of the text split at them, so their places are sums of lengths.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS repo FROM documents),
+r AS (
+  SELECT doc_id, repo, kind, regexp_extract_all(t, re) AS m, regexp_extract_all(t, re, part) AS v, regexp_split_to_array(t, re) AS g FROM d, (VALUES
+    (0, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), (1, 'AKIA[A-Z0-9]+', 0), (2, '[0-9a-f]{32,}', 0), (3, '[A-Za-z0-9+/_-]{20,}', 0)) k(kind, re, part)),
+s AS (SELECT doc_id, repo, kind, m[i] AS m, v[i] AS v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r)),
+e AS (SELECT doc_id, repo, kind, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) + length(m) AS z, v FROM s WHERE CASE kind WHEN 0 THEN length(v) >= 8 WHEN 1 THEN length(v) >= 16 ELSE true END),
+b AS (SELECT * FROM e WHERE kind < 3),
+h AS (SELECT *, list_sum(list_transform(map_values(list_histogram(string_split(v, ''))), lambda n: -(n / length(v)::DOUBLE) * log2(n / length(v)::DOUBLE))) AS bits FROM e WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')),
+l AS (SELECT doc_id, repo, kind, a, z, v FROM h WHERE bits >= 3.5 AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = h.doc_id AND b.a < h.z AND h.a < b.z)),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM l),
+o AS (SELECT v, count(DISTINCT repo) <= 2 AND count(DISTINCT string_split(repo, '/')[1]) <= 1 AS live FROM c GROUP BY v),
+x AS (SELECT c.*, live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || z AS span FROM c JOIN o USING (v)),
+y AS (SELECT doc_id, count_if(kind = 0)::BIGINT AS n_assign, count_if(kind = 1)::BIGINT AS n_access, count_if(kind = 2)::BIGINT AS n_hex, string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+      string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans, count_if(live)::BIGINT AS n_live, count_if(NOT live)::BIGINT AS n_example FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN y USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM win) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS at FROM again),
+kept AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.at) AS t FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at WHERE g.at IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
@@ -140,4 +171,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_secret_scan": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}

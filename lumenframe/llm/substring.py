@@ -11,6 +11,7 @@ hash range, so neither pairs nor groups are ever formed.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +120,11 @@ PACKED_TYPES = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
 
 
 def anchors(rows: DataFrame, owners: int) -> DataFrame:
-    """Index blocks and probes of each slice of ``rows`` (id, th, text), packed by owner, and a row of the slice's documents."""
+    """Index blocks and probes of each slice of ``rows`` (id, th, text), packed by owner, and a row of the slice's documents.
+
+    A slice sends each of its hashes once, from the first place, so a passage that a third of all documents
+    have costs its owner one entry a slice.  The further places stay with the slice's documents.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = TaskContext.get().partitionId() << 33
@@ -127,17 +132,40 @@ def anchors(rows: DataFrame, owners: int) -> DataFrame:
             values, bounds = word_hashes(b.column("text"))
             at, inside = starts_of(bounds, BLOCK)
             hashes = rolling(values, BLOCK, BASES[0])[at]
-            owner = (hashes >> np.uint64(32)) % np.uint64(owners)
-            out = [(o, source, w, bh, ba, h, a, None) for o, w, bh, ba, h, a in
-                   packed(owner, at, hashes.astype(np.uint32), inside % BLOCK == 0, owners)]
-            docs = pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(bounds[:-1])], ["id", "th", "first"])
-            out.append((source % owners, source, False, None, None, None, None, as_bytes(docs)))
+            first, rest, of_rest = told_apart(hashes)
+            block = inside % BLOCK == 0
+            indexed = np.zeros(len(first), bool)  # a block is among the places of the hash
+            indexed[of_rest[block[rest]]] = True
+            indexed |= block[first]
+            inner = np.zeros(len(first), bool)  # matched within the slice
+            inner[of_rest] = True
+            inner &= indexed
+            sent = hashes[first]
+            owner = (sent >> np.uint64(32)) % np.uint64(owners)
+            out = [(o, source, w, bh, ba, h, a, None) for o, w, bh, ba, h, a in packed(owner, at[first], sent.astype(np.uint32), indexed, owners)]
+            docs = {"docs": table(id=b.column("id"), th=b.column("th"), first=bounds[:-1]), "again": table(at=at[rest], as_=at[first][of_rest]), "inner": table(at=at[first][inner])}
+            out.append((source % owners, source, False, None, None, None, None, pickle.dumps({k: as_bytes(v) for k, v in docs.items()})))
             source += 1
             yield arrow(out, PACKED_NAMES, PACKED_TYPES)
 
     return rows.mapInArrow(send, PACKED)
 
 
+def told_apart(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first place of each hash (ascending), of all other places, and for each of those which first it repeats."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate([[True], np.diff(hashes[order]) != 0]) if len(order) else np.zeros(0, bool)
+    lead = order[np.flatnonzero(new)]
+    group = np.cumsum(new) - 1
+    rank = np.empty(len(lead), np.int64)
+    rank[np.argsort(lead)] = np.arange(len(lead))
+    return np.sort(lead), order[~new], rank[group[~new]]
+
+
+def table(**columns: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+
+
 def as_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -149,6 +177,18 @@ def from_bytes(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
+def found(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is among the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return ordered[at] == values
+
+
+def split(flags: np.ndarray, parts: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(flags, np.cumsum([len(p) for p in parts])[:-1])
+
+
 HITS = "source long, wide boolean, at binary, docs binary"
 HIT_NAMES, HIT_TYPES = ["source", "wide", "at", "docs"], [pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
 
@@ -164,10 +204,11 @@ def hits(sent: DataFrame, parts: int) -> DataFrame:
                 block = [np.frombuffer(r["block_hash"], np.uint32) for r in rows]
                 probe = [np.frombuffer(r["hash"], np.uint32) for r in rows]
                 index, often = np.unique(np.concatenate(block), return_counts=True)
-                probed = np.isin(index, np.concatenate(probe), assume_unique=False)
+                probed = found(index, np.unique(np.concatenate(probe)))
                 met = index[(often > 1) | probed]  # blocks that anything else matches
-                for r, own_block, own_probe in zip(rows, block, probe, strict=True):
-                    places = np.concatenate([got(r["block_at"], r["wide"])[np.isin(own_block, met)], got(r["at"], r["wide"])[np.isin(own_probe, met)]])
+                good = [split(found(np.concatenate(part), met), part) for part in (block, probe)]
+                for r, own_block, own_probe in zip(rows, *good, strict=True):
+                    places = np.concatenate([got(r["block_at"], r["wide"])[own_block], got(r["at"], r["wide"])[own_probe]])
                     if len(places):
                         out.append((r["source"], True, put(np.sort(places), True), None))
             yield arrow(out, HIT_NAMES, HIT_TYPES)
@@ -176,13 +217,15 @@ def hits(sent: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(match, HITS)
 
 
-def per_document(found: DataFrame, parts: int, id_type: str) -> DataFrame:
+def per_document(matched: DataFrame, parts: int, id_type: str) -> DataFrame:
     """Hits of each document that has any: id, th, places of the hits in the document."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "source"):
-            docs = from_bytes(next(r["docs"] for r in rows if r["docs"] is not None))
-            places = np.sort(np.concatenate([got(r["at"], True) for r in rows if r["docs"] is None] or [np.zeros(0, np.int64)]))
+            parts_ = {k: from_bytes(v) for k, v in pickle.loads(next(r["docs"] for r in rows if r["docs"] is not None)).items()}
+            docs, again = parts_["docs"], parts_["again"]
+            places = np.unique(np.concatenate([parts_["inner"].column("at").to_numpy(), *(got(r["at"], True) for r in rows if r["docs"] is None)]))
+            places = np.sort(np.concatenate([places, again.column("at").to_numpy()[found(again.column("as_").to_numpy(), places)]]))
             first = docs.column("first").to_numpy()
             # Empty texts share their first word with the next text; the last of them is the one with words.
             of = np.searchsorted(first, places, side="right") - 1
@@ -191,16 +234,12 @@ def per_document(found: DataFrame, parts: int, id_type: str) -> DataFrame:
             data = [(places[a:b] - first[of[a]]).astype("<u4").tobytes() for a, b in spans]
             yield pa.RecordBatch.from_arrays([docs.column("id").take(own), docs.column("th").take(own), pa.array(data, pa.binary())], ["id", "th", "hits"])
 
-    dealt = found.repartition(parts, "source").sortWithinPartitions("source")
+    dealt = matched.repartition(parts, "source").sortWithinPartitions("source")
     return dealt.mapInArrow(spread, f"id {id_type}, th long, hits binary")
 
 
-def words_of(text: str) -> list[str]:
-    return T.words(pa.array([text], pa.string()))[0].to_pylist()
-
-
-def kept_digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
+def kept_digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def with_hits(rows: DataFrame, marks: DataFrame, parts: int, id_type: str, all_texts: bool) -> DataFrame:
@@ -226,7 +265,7 @@ def with_hits(rows: DataFrame, marks: DataFrame, parts: int, id_type: str, all_t
                 if marked:
                     out.append((uid, key, None, None, z, b"".join(marked)))
                 else:
-                    words = words_of(opener.decompress(z).decode())
+                    words = opener.decompress(z).split()  # ASCII white space, as everywhere here
                     out.append((uid, key, len(words), kept_digest(words), z if all_texts else None, None))
                 uid += 1
             yield arrow(out, ["uid", "id", "n_words", "kept_sha256", "z", "hits"], [pa.int64(), b.schema.field("id").type, pa.int64(), pa.string(), pa.binary(), pa.binary()])
@@ -254,7 +293,7 @@ def candidates(marked: DataFrame, owners: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
         for b in ordered_slices(batches):
-            texts = pa.array([opener.decompress(z).decode() for z in b.column("z").to_pylist()], pa.string())
+            texts = pa.array([opener.decompress(z) for z in b.column("z").to_pylist()], pa.binary()).cast(pa.string())
             values, bounds = word_hashes(texts)
             near = [near_hits(np.frombuffer(h, "<u4").astype(np.int64), n) + a
                     for h, n, a in zip(b.column("hits").to_pylist(), np.diff(bounds).tolist(), bounds[:-1].tolist(), strict=True)]
@@ -311,7 +350,7 @@ def repeats(sent: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(settle, HITS)
 
 
-def covered(found: DataFrame, parts: int) -> DataFrame:
+def covered(repeated: DataFrame, parts: int) -> DataFrame:
     """uid and removed word places (as starts and ends) of each document with repeats."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +367,7 @@ def covered(found: DataFrame, parts: int) -> DataFrame:
                 out.append((int(uid[of[a]]), np.stack([starts, ends], 1).astype("<u4").tobytes()))
             yield arrow(out, ["uid", "removed"], [pa.int64(), pa.binary()])
 
-    dealt = found.repartition(parts, "source").sortWithinPartitions("source")
+    dealt = repeated.repartition(parts, "source").sortWithinPartitions("source")
     return scratch.table(dealt.mapInArrow(spread, "uid long, removed binary"), "substring-removed")
 
 
@@ -355,13 +394,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             out = []
             for key, z, spans in zip(*(b.column(c).to_pylist() for c in ("id", "z", "removed")), strict=True):
-                words = words_of(opener.decompress(z).decode())
+                words = opener.decompress(z).split()  # ASCII white space, as everywhere here
                 kept, at = [], 0
                 for start, end in np.frombuffer(spans or b"", "<u4").reshape(-1, 2).tolist():
                     kept += words[at:start]
                     at = end
                 kept += words[at:]
-                out.append((key, len(words), len(words) - len(kept), kept_digest(kept), " ".join(kept) if with_text else None))
+                out.append((key, len(words), len(words) - len(kept), kept_digest(kept), b" ".join(kept).decode() if with_text else None))
             yield arrow(out, ["id", "n_words", "n_removed", "kept_sha256", "kept_text"], [b.schema.field("id").type, pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     result = f"id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string"

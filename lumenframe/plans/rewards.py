@@ -27,7 +27,7 @@ r AS (SELECT *,
     0.5 * (1 - greatest(0, least(1, greatest(0, x16 - 4 * m16) / 0.25))) + 0.5 * CASE WHEN template IN ('drop', 'collision', 'roll') THEN greatest(0, least(1, m16 / 0.015)) ELSE greatest(0, least(1, 1 - m16 / 0.20)) END)) ELSE 0.0 END AS phys,
   CASE WHEN camera_motion NOT IN ('yaw_x', 'reobserve') THEN 1.0 WHEN fl IS NOT NULL THEN greatest(0, least(1, fl)) ELSE 0.0 END AS reobs,
   CASE WHEN v THEN greatest(0, least(1, (greatest(0, least(1, blur / 120)) + (1 - abs(coalesce(nullif(bright, 0), 0.5) - 0.5) * 2) + greatest(0, least(1, sat / 0.12)) + (1 - greatest(0, least(1, flick / 0.12)))) / 4)) ELSE 0.0 END AS quality,
-  CASE WHEN NOT v THEN 0.0 WHEN coalesce(t, 0) > 1e-4 AND m < 0.005 THEN 0.5 WHEN coalesce(t, 0) <= 1e-4 AND m < 0.002 AND template IN ('drop', 'collision', 'roll') THEN 0.25 ELSE 0.0 END AS frz FROM c),
+  CAST(CASE WHEN NOT v THEN 0.0 WHEN coalesce(t, 0) > 1e-4 AND m < 0.005 THEN 0.5 WHEN coalesce(t, 0) <= 1e-4 AND m < 0.002 AND template IN ('drop', 'collision', 'roll') THEN 0.25 ELSE 0.0 END AS DOUBLE) AS frz FROM c),
 s AS (SELECT *, (bg + cam + fg + phys + reobs + 0.5 * quality) / 5.5 - frz AS raw FROM r),
 z AS (SELECT *, greatest(0, least(1, raw)) AS total FROM s)
 """

@@ -45,10 +45,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals key, since, until (open at the end) of ``entries`` (key, action, since).
 
     An ``add`` holds from its date until the key's next entry that isn't an ``add``; equal dates count as one entry,
-    where an ``add`` wins.  Rows with a null key or date, or an unknown action, don't count.
+    where an ``add`` wins.  Hosts count in lower case, paths as they are.  Rows with a null key or date, or an unknown action, don't count.
     """
     known = entries.filter(F.col("key").isNotNull() & F.col("since").isNotNull() & F.col("action").isin("add", "remove"))
-    one = known.groupBy(F.lower("key").alias("key"), F.col("since").cast("date").alias("since")).agg(F.max(F.col("action") == "add").alias("on"))
+    host = F.regexp_extract("key", r"^([^/]*)", 1)
+    key = F.concat(F.lower(host), F.regexp_extract("key", r"(?s)^[^/]*(.*)$", 1))
+    one = known.groupBy(key.alias("key"), F.col("since").cast("date").alias("since")).agg(F.max(F.col("action") == "add").alias("on"))
     by_key = Window.partitionBy("key").orderBy("since")
     change = one.withColumn("was", F.lag("on").over(by_key)).filter(~F.col("on").eqNullSafe(F.col("was")))
     return change.withColumn("until", F.lead("since").over(by_key)).filter("`on`").select("key", "since", "until")

@@ -92,9 +92,9 @@ def first_match(spark, sf_dir):
 SELECT folder, coalesce(list_filter(files, lambda x: contains(lower(x), '7'))[1], files[1]) AS picked, files[1] AS first_name, len(files) AS n FROM f""")
 def folder_listing(spark, sf_dir):
     """A listing grouped by folder, and the file that a preference order takes."""
-    f = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("folder")).agg(F.array_sort(F.collect_list("s_name")).alias("files"))
-    liked = F.filter("files", lambda x: F.lower(x).contains("7"))
-    return f.select("folder", F.coalesce(F.get(liked, F.lit(0)), F.get("files", F.lit(0))).alias("picked"), F.get("files", F.lit(0)).alias("first_name"), F.size("files").alias("n"))
+    liked = F.when(F.lower("s_name").contains("7"), F.col("s_name"))
+    f = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("folder")).agg(F.min(liked).alias("liked"), F.min("s_name").alias("first_name"), F.count("s_name").cast("int").alias("n"))
+    return f.select("folder", F.coalesce("liked", "first_name").alias("picked"), "first_name", "n")
 
 
 @query(f"""WITH s AS ({SAMPLES_SQL}), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sample_id) AS nth FROM s)

@@ -28,17 +28,24 @@ def rolling(stream: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
 def score_arrivals(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str, poll: str | None = None) -> StreamingQuery:
     """Score each arriving clip and append the good ones to ``out``; what is there already isn't scored again.
 
-    ``score`` adds a column ``ok``.  Clips that fail come again with a later file.  A repeated batch overwrites its
-    own folder, so no clip is written twice.  Without ``poll`` the query ends when all files are read.
+    ``score`` adds a column ``ok``; every row is scored, and one good row of a clip is kept.  Rows of clips without a good
+    one go to ``_retry`` in ``out`` and are scored again with the next batch.  A repeated batch overwrites its
+    own folders, so no clip is written twice.  Without ``poll`` the query ends when all files are read.
     """
     spark = stream.sparkSession
 
     def take(batch: DataFrame, number: int) -> None:
         done = [p for p in _batches(spark, out) if p != f"batch={number}"]
-        todo = batch.dropDuplicates([key])
+        failed = [n for p in _batches(spark, f"{out}/_retry") if (n := int(p.removeprefix("batch="))) < number]
+        todo = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/_retry/batch={max(failed)}")) if failed else batch
         if done:
             todo = todo.join(spark.read.option("basePath", out).parquet(*[f"{out}/{p}" for p in done]).select(key), key, "left_anti")
-        score(todo).filter("ok").drop("ok").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scored = score(todo).withColumn("ok", F.coalesce("ok", F.lit(False))).persist()
+        good = scored.filter("ok").drop("ok").dropDuplicates([key])
+        again = scored.filter("NOT ok").join(good.select(key), key, "left_anti").select(*batch.columns)
+        again.write.mode("overwrite").parquet(f"{out}/_retry/batch={number}")
+        good.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scored.unpersist()
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()

@@ -1,0 +1,21 @@
+"""Good rows beside failed ones, and failed clips that are scored again."""
+
+from pyspark.sql import functions as F
+
+from lumenframe.streaming import progress as S
+
+
+def test_good_rows_of_a_backlog_count_and_failed_clips_come_again(spark, tmp_path):
+    inp, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ck"))
+    least = [0.0]
+    run = lambda: S.score_arrivals(S.clip_stream(spark, inp, "clip string, v double"), lambda d: d.withColumn("ok", F.col("v") > least[0]), out, ckpt, "clip").awaitTermination()
+    put = lambda rows: spark.createDataFrame(rows, "clip string, v double").coalesce(1).write.mode("append").parquet(inp)
+    read = lambda: sorted((r.clip, r.v) for r in spark.read.option("basePath", out).parquet(f"{out}/batch=*").select("clip", "v").collect())
+    mixed = [(f"c{i}", v) for i in range(8) for v in ((-1.0, 3.0) if i % 2 else (3.0, -1.0))]
+    put([*mixed, ("late", -2.0)])
+    run()
+    assert read() == [(f"c{i}", 3.0) for i in range(8)]
+    least[0] = -5.0
+    put([("new", 1.0), ("c0", 4.0)])
+    run()
+    assert read() == [*[(f"c{i}", 3.0) for i in range(8)], ("late", -2.0), ("new", 1.0)]

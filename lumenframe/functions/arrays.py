@@ -66,6 +66,22 @@ def unit(a: Column, least: float = 1e-12) -> Column:
     return F.transform(a, lambda x: x.cast("double") / size)
 
 
+def minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+
+
+def cross(a: Column, b: Column) -> Column:
+    """Cross product of two vectors of three."""
+    at = lambda v, i: F.get(v, F.lit(i))
+    return F.array(*[at(a, (i + 1) % 3) * at(b, (i + 2) % 3) - at(a, (i + 2) % 3) * at(b, (i + 1) % 3) for i in range(3)])
+
+
+def direction(a: Column, least: float = 1e-8) -> Column:
+    """The vector at length 1; one no longer than ``least`` has no direction and is an error."""
+    size = norm(a)
+    return F.transform(a, lambda x: x / F.when(size > least, size).otherwise(F.raise_error(F.lit("a vector without direction")).cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(unit(a), unit(b))
 
@@ -136,5 +152,28 @@ def drift(frame: Column, n: Column, width: Column, share: float = 0.04) -> Colum
     return F.rint((frame + 1) * width / F.greatest(n, F.lit(1)) * share).cast("int")
 
 
+def repeated(value: Column, n: Column | int) -> Column:
+    """The same pose or intrinsics for each of ``n`` frames."""
+    return F.array_repeat(value, n if isinstance(n, Column) else F.lit(n))
+
+
+def signed_pixels(v: Column) -> Column:
+    """Pixel values of 0 to 255 as -1 to 1."""
+    return F.transform(v, lambda x: x.cast("double") / 127.5 - 1)
+
+
+def unit_pixels(v: Column) -> Column:
+    """Values of -1 to 1 as 0 to 1."""
+    return F.transform(v, lambda x: (x.cast("double") + 1) / 2)
+
+
+def sampled_without_first(n: Column, size: int, before: bool) -> Column:
+    """Evenly sampled frame numbers without the first frame: it goes ``before`` sampling, else after it; a lone frame stays."""
+    whole = uniform_frames(n, size)
+    if before:
+        return F.when(n > 1, F.transform(uniform_frames(n - 1, size), lambda i: i + 1)).otherwise(whole)
+    return F.slice(whole, 2, size - 1) if size > 1 else whole
+
+
 def zero_actions(n: Column, channels: int = 4) -> Column:
     return F.array_repeat(F.array(*[F.lit(0.0)] * channels), n)

@@ -163,6 +163,26 @@ def lookup(values: Mapping[str, str], key: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(table, F.coalesce(key, F.lit(default))), F.lit(values[default]))
 
 
+def comparison_folder(label: Column) -> Column:
+    """Folder of a side-by-side comparison with the base model."""
+    return F.when(F.lower(label).contains("stage2"), "base_vs_stage2").otherwise("base_vs_stage1")
+
+
+def devices(visible: Column, n: Column | int = 0) -> Column:
+    """The devices named between commas, else 0 to n - 1 (8 for n = 0); at most n where n is given, and none is an error."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    named = F.filter(F.transform(F.split(F.coalesce(visible, F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
+    numbers = F.transform(F.sequence(F.lit(0), F.when(n > 0, n - 1).otherwise(7)), lambda i: i.cast("string"))
+    given = F.when(F.trim(F.coalesce(visible, F.lit(""))) != "", named).otherwise(numbers)
+    cut = F.when(n > 0, F.slice(given, 1, n)).otherwise(given)
+    return checked(cut, F.size(cut) > 0, "no device")
+
+
+def camera_angle(meta: Column, default: float) -> Column:
+    """The horizontal field of view that an archive's metadata gives, else ``default``."""
+    return F.coalesce(F.get_json_object(meta, "$.camera_angle_x").try_cast("double"), F.lit(default))
+
+
 def split_target(target: Column) -> Column:
     """entity and project of ``entity/project`` (no slash: project alone)."""
     parts = F.split(target, "/", 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,6 +11,9 @@ from pyspark.sql import Window
 from lumenframe.functions import arrays as A
 from lumenframe.functions import expr as E
 
+#: Fixed value: what names of cameras begin with.
+CAMERA_PREFIX = "CineCamera_"
+
 
 def clip_windows(lengths: DataFrame, size: int, stride: int, mode: str = "contiguous", key: str = "clip", length: str = "n") -> DataFrame:
     """key, window, start, frames for each window of each clip; one evenly sampled window in mode ``uniform``."""
@@ -109,29 +114,98 @@ def pose_actions(poses: DataFrame, key: str = "clip", frame: str = "frame", matr
     return steps
 
 
-def frustum_pose(points: list[list[Column]]) -> list[list[Column]]:
-    """Camera-to-world matrix from a drawn frustum: apex, then the four corners of its far plane in turn.
+def camera_groups(points: DataFrame, key: str) -> DataFrame:
+    """key, group, color, points of the drawn cameras (rows of ``ply_points``), without the red one, which is the moving camera.
+
+    A drawn camera has nine points and the colour of its first; so a group is small whatever the table.
+    """
+    xyz = F.array(*[F.col(c).cast("double") for c in "xyz"])
+    ordered = F.array_sort(F.collect_list(F.struct("point", xyz.alias("at"))))
+    groups = points.groupBy(key, F.col("camera").alias("group")).agg(
+        F.min_by(F.array(*[F.col(c).cast("int") for c in "rgb"]), "point").alias("color"), F.transform(ordered, lambda p: p["at"]).alias("points"))
+    return groups.filter(F.col("color") != F.array(F.lit(255), F.lit(0), F.lit(0)))
+
+
+def frustum_poses(groups: DataFrame, points: str = "points") -> DataFrame:
+    """``groups`` with ``m``, the 4 x 4 camera-to-world matrix of each drawn camera (an array of nine points).
+
+    Point 0 is the camera's place; 6 lies on its x axis, 7 on the side of y, and 8 against z.  A vector without
+    length is an error.
+    """
+    place = F.transform(F.get(points, F.lit(0)), lambda v: v.cast("double"))
+    away = lambda i: A.minus(F.get(points, F.lit(i)), F.col("_c"))
+    out = groups.withColumn("_c", place).withColumn("_x", A.direction(away(6)))
+    along = A.dot(away(7), F.col("_x"))
+    out = out.withColumn("_y", A.direction(F.zip_with(away(7), "_x", lambda h, x: h - along * x)))
+    out = out.withColumn("_z", A.direction(A.cross(F.col("_x"), F.col("_y"))))
+    turned = A.dot(F.col("_z"), A.direction(F.transform(away(8), lambda v: -v))) < 0
+    out = out.withColumn("_z", F.when(turned, F.transform("_z", lambda v: -v)).otherwise(F.col("_z")))
+    out = out.withColumn("_y", A.direction(A.cross(F.col("_z"), F.col("_x"))))
+    rows = [F.array(*[F.get(c, F.lit(i)) for c in ("_x", "_y", "_z", "_c")]) for i in range(3)]
+    return out.withColumn("m", F.array(*rows, F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]))).drop("_c", "_x", "_y", "_z")
+
+
+def camera_order(name: Column) -> Column:
+    """Sort key of cameras: the number after the prefix, then the name; names without one come last."""
+    number = F.regexp_extract(name, CAMERA_PREFIX + r"(\d+)", 1).try_cast("int")
+    return F.struct(F.coalesce(number, F.lit(10**9)).alias("number"), name.alias("name"))
+
+
+def camera_poses(points: DataFrame, cameras: DataFrame, key: str, camera: str = "camera") -> DataFrame:
+    """key, camera, m: the k-th camera by number beside the k-th drawn camera that isn't red; counts that differ are an error."""
+    names = cameras.select(key, camera).withColumn("_at", camera_order(F.col(camera)))
+    drawn = frustum_poses(camera_groups(points, key)).select(key, F.col("group").alias("_group"), "m")
+    return aligned(names, drawn, key, "_at", "_group").select(key, camera, "m")
+
+
+#: Cells of each pass of the search for a rank.
+CELLS = 4096
+
+
+def values_at(df: DataFrame, ranks: dict[str, Callable[[int], list[int]]]) -> dict[str, list[float]]:
+    """Exact values at 0-based ranks of several columns; ``ranks`` maps a column to the ranks for its count.
 
-    Right runs along the first edge, down along the second made square to it, and forward points from
-    the apex to the plane's middle.
+    Each pass counts the rows between the least and greatest value left in CELLS cells for each rank, and goes on in the cell that
+    holds the rank, until it holds a single value.  Counts are merged before the shuffle and at most CELLS rows for each rank
+    come to the driver, so nothing grows with the table.  Null, NaN and infinite values don't count.
     """
-    apex, corners = points[0], points[1:5]
-    sub = lambda a, b: [x - y for x, y in zip(a, b, strict=True)]
-    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
-    unit = lambda a: [x / F.greatest(F.sqrt(dot(a, a)), F.lit(1e-8)) for x in a]
-    right = unit(sub(corners[1], corners[0]))
-    edge = sub(corners[2], corners[1])
-    down = unit([e - dot(edge, right) * r for e, r in zip(edge, right, strict=True)])
-    forward = [right[1] * down[2] - right[2] * down[1], right[2] * down[0] - right[0] * down[2], right[0] * down[1] - right[1] * down[0]]
-    middle = [(corners[0][i] + corners[1][i] + corners[2][i] + corners[3][i]) / 4 for i in range(3)]
-    sign = F.when(dot(forward, sub(middle, apex)) < 0, -1.0).otherwise(1.0)
-    rows = [[right[i], down[i] * sign, forward[i] * sign, apex[i]] for i in range(3)]
-    return [*rows, [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in ranks])).alias("p")).select("p.*").filter(E.finite(F.col("v")))
+    ends = {r.c: r for r in long.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}  # a row a column
+    goals = [[c, k, r.low, r.high] for c, r in ends.items() for k in ranks[c](r.n)]
+    found = {c: [] for c in ranks}
+    order = list(goals)
+    while goals := [g for g in goals if g[2] != g[3]]:
+        held = F.explode(F.array(*[
+            F.when((F.col("c") == c) & F.col("v").between(low, high), F.struct(F.lit(i).alias("goal"), F.least(F.floor((F.col("v") - low) / F.lit(high - low) * CELLS), F.lit(CELLS - 1)).alias("cell")))
+            for i, (c, _, low, high) in enumerate(goals)])).alias("g")
+        cells = long.select("v", held).filter("g IS NOT NULL").groupBy("g.goal", "g.cell").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for i, g in enumerate(goals):
+            for r in sorted((r for r in cells if r.goal == i), key=lambda r: r.cell):
+                if g[1] < r.n:
+                    g[2], g[3] = r.low, r.high
+                    break
+                g[1] -= r.n
+    for c, _, value, _ in order:
+        found[c].append(value)
+    return found
 
 
 def action_scale(actions: DataFrame, channels: list[str], share: float = 0.95, least: float = 1e-6) -> DataFrame:
-    """One row: the exact percentile of each channel's size, not below ``least``; null values don't count."""
-    return actions.agg(*[F.greatest(F.coalesce(F.percentile(F.abs(F.col(c)), share), F.lit(least)), F.lit(least)).alias(c) for c in channels])
+    """One row: the exact percentile (interpolated) of each channel's size, not below ``least``; only finite values count."""
+    sizes = actions.select(*[F.abs(F.col(c)).alias(c) for c in channels])
+    parts: dict[str, float] = {}
+
+    def around(c: str) -> Callable[[int], list[int]]:
+        def ranks(n: int) -> list[int]:
+            at = share * (n - 1)
+            parts[c] = at - int(at)
+            return [int(at), min(int(at) + 1, n - 1)]
+
+        return ranks
+
+    found = values_at(sizes, {c: around(c) for c in channels})
+    row = [max(least, v[0] + (v[1] - v[0]) * parts[c]) if (v := found[c]) else least for c in channels]
+    return actions.sparkSession.createDataFrame([tuple(row)], ", ".join(f"`{c}` double" for c in channels))
 
 
 def normalise_actions(actions: DataFrame, scale: DataFrame, channels: list[str]) -> DataFrame:
@@ -147,6 +221,48 @@ def repeat_moving(df: DataFrame, moving: Column, times: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
 
 
+def archive_clips(frames: DataFrame, size: int, stride: int, mode: str = "contiguous") -> DataFrame:
+    """A row for each window of each camera of each archive: zip, camera, window_index, window_start_frame, window_end_frame, raw_frame_count, members.
+
+    ``frames`` (zip, camera, frames) holds the ordered picture names of each camera; a camera without pictures has no window.
+    """
+    cameras = frames.filter(F.size("frames") > 0).select("zip", "camera", "frames", F.size("frames").alias("n"))
+    at = F.array(F.lit(0)) if mode == "uniform" else A.window_starts(F.col("n"), size, stride)
+    taken = A.uniform_frames(F.col("n"), size) if mode == "uniform" else A.window_frames(F.col("start"), F.col("n"), size)
+    out = cameras.select("*", F.posexplode(at).alias("window_index", "start")).withColumn("taken", taken)
+    return out.select("zip", "camera", "window_index", F.get("taken", F.lit(0)).alias("window_start_frame"), F.element_at("taken", -1).alias("window_end_frame"),
+                      F.col("n").alias("raw_frame_count"), A.gather(F.col("frames"), F.col("taken")).alias("members"))
+
+
+def clip_counts(clips: DataFrame, moving: str) -> DataFrame:
+    """One row for each split: archives, clips, unique_clips, moving rows (of the camera ``moving``) and static rows (without action).
+
+    ``clips`` has split, source_zip, clip_path, camera_id and action_source.
+    """
+    return clips.groupBy("split").agg(
+        F.countDistinct("source_zip").alias("archives"), F.count("*").alias("clips"), F.countDistinct("clip_path").alias("unique_clips"),
+        F.count_if(F.col("camera_id") == moving).alias("moving"), F.count_if(F.col("action_source") == "static_camera_zero").alias("static"))
+
+
+def chosen_cameras(available: DataFrame, spec: str, key: str = "zip", camera: str = "camera") -> DataFrame:
+    """The cameras that ``spec`` names, all of them for an empty one, ``all`` or ``*``.
+
+    Else it is a list between commas of names, or of numbers that get the prefix; cameras that an archive hasn't are passed over.
+    """
+    wanted = (spec or "all").strip()
+    if wanted.lower() in ("all", "*"):
+        return available.select(key, camera).distinct()
+    names = [t if t.startswith(CAMERA_PREFIX) else CAMERA_PREFIX + t for t in (t.strip() for t in wanted.split(",")) if t]
+    return available.filter(F.col(camera).isin(names)).select(key, camera).distinct()
+
+
+def absent_cameras(available: DataFrame, spec: str, key: str = "zip", camera: str = "camera") -> DataFrame:
+    """The cameras of ``spec`` that an archive hasn't (for a warning)."""
+    names = [t if t.startswith(CAMERA_PREFIX) else CAMERA_PREFIX + t for t in (t.strip() for t in (spec or "").split(",")) if t and t.lower() not in ("all", "*")]
+    asked = available.select(key).distinct().select(key, F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias(camera))
+    return asked.join(available.select(key, camera), [key, camera], "left_anti")
+
+
 def epochs(df: DataFrame, repeat: int) -> DataFrame:
     """The table ``repeat`` times, with the number of the pass in ``epoch``."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(repeat, 1) - 1))))

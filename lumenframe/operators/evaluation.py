@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lumenframe import storage
 from lumenframe.functions import expr as E
 
 
@@ -40,17 +41,24 @@ def in_both(a: DataFrame, b: DataFrame, key: str = "clip_name") -> DataFrame:
     return a.join(b.select(key), key, "left_semi")
 
 
-def shards(df: DataFrame, order: str, n: int) -> DataFrame:
-    """``df`` with ``shard``: rows dealt in turn by position.
+def numbered(df: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
+    """``df`` with the 0-based position of each row by ``order`` in column ``name``.
 
-    Positions come from a range-partitioned sort: each partition counts its rows, and the few counts give the
-    partitions their offsets, so no task sees more than its range.
+    The rows are range-partitioned, sorted and stored once; each part counts its rows, and the few counts give the parts
+    their offsets, so no task sees more than its range.  Rows that are equal in ``order`` keep the places they are stored at.
     """
-    ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    base = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    offset = base.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    placed = ordered.join(F.broadcast(offset.drop("_n")), "_part")  # a row for each partition
-    return placed.withColumn("shard", F.pmod(F.col("_before") + F.col("_id") - F.col("_first"), F.lit(n)).cast("int")).drop("_part", "_id", "_first", "_before")
+    keys = [F.asc_nulls_first(c) for c in order]
+    sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    held = storage.table(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    base = held.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    placed = held.join(F.broadcast(base.withColumn("_before", before).drop("_n")), "_part")  # a row for each part
+    return placed.withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_part", "_id", "_first", "_before")
+
+
+def shards(df: DataFrame, order: str, n: int) -> DataFrame:
+    """``df`` with ``shard``: rows dealt in turn by position."""
+    return numbered(df, [order]).withColumn("shard", F.pmod("_at", F.lit(n)).cast("int")).drop("_at")
 
 
 def expected_files(expected: DataFrame, actual: DataFrame, sources: list[str]) -> DataFrame:
@@ -160,9 +168,22 @@ def cleanup_class(df: DataFrame, protected: str) -> DataFrame:
         ~F.coalesce("exists", F.lit(False)), "missing").otherwise("candidate"))
 
 
-def ordered_metrics(means: DataFrame, labels: DataFrame) -> DataFrame:
-    """label, text of the metrics that the ordered dimension (metric, label, ord) names, four digits, in its order."""
-    return means.join(F.broadcast(labels), "metric").orderBy("ord").select("label", F.format_string("%.4f", "mean").alias("text"))
+def ordered_metrics(means: DataFrame, order: list[str], labels: dict[str, str] | None = None) -> DataFrame:
+    """ord, label, text (four digits), n of the metrics (metric, mean, n) that ``order`` names; missing ones are passed over."""
+    at = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("metric"))
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for m in order for x in (m, (labels or {}).get(m, m))]), F.col("metric")), F.col("metric"))
+    return means.filter(at > 0).select(at.cast("int").alias("ord"), label.alias("label"), F.format_string("%.4f", "mean").alias("text"), "n")
+
+
+# Metrics of the physics summary in their order, and their labels.
+PHYSICS_LABELS = {
+    "physics_iq_style_score": "Score",
+    "spatiotemporal_iou_mean": "Spatiotemporal IoU",
+    "spatial_iou": "Spatial IoU",
+    "weighted_spatial_iou": "Weighted Spatial IoU",
+    "mse_mean": "MSE",
+    "compare_frame_count": "Frames",
+}
 
 
 def lineage(spark, **fields: str) -> DataFrame:
@@ -171,6 +192,58 @@ def lineage(spark, **fields: str) -> DataFrame:
     return row.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
 
 
+# The two branches of a checkpoint, its configuration, and the files of which one must hold the weights.
+BRANCHES = ["low_noise_model", "high_noise_model"]
+CONFIG_FILE = "config.json"
+WEIGHT_FILES = ["diffusion_pytorch_model.bin", "diffusion_pytorch_model.safetensors", "diffusion_pytorch_model.safetensors.index.json"]
+
+
+def checkpoint_errors(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """root, branch, error of checkpoints that lack a branch, its configuration or its weights; whole ones have no row.
+
+    ``files`` (root, branch, name) lists what is there.  Where a root has no file at all that is its one error.
+    """
+    seen = files.groupBy("root", "branch").agg(F.bool_or(F.col("name") == CONFIG_FILE).alias("config"), F.bool_or(F.col("name").isin(WEIGHT_FILES)).alias("weights"))
+    there = files.select("root").distinct().withColumn("there", F.lit(True))
+    want = roots.select("root").distinct().join(there, "root", "left").select(
+        "root", "there", F.explode(F.when(F.col("there"), F.array(*[F.lit(b) for b in BRANCHES])).otherwise(F.array(F.lit("")))).alias("branch"))
+    both = want.join(seen, ["root", "branch"], "left")
+    codes = F.array_compact(F.array(
+        F.when(F.col("there").isNull(), F.lit("missing_path")), F.when(F.col("there") & F.col("config").isNull(), F.lit("missing_directory")),
+        F.when(~F.col("config"), F.lit("missing_config")), F.when(~F.col("weights"), F.lit("missing_weights"))))
+    return both.select("root", "branch", F.explode(codes).alias("error"))
+
+
+def row_by_key(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:
+    """The row whose ``key`` is ``value`` (of several the first by ``position``), else the first row of all; none for an empty table."""
+    least = F.struct((~F.coalesce(F.col(key) == value, F.lit(False))).alias("other"), F.col(position).alias("at"))
+    one = rows.agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), least).alias("r"))
+    return one.filter("r IS NOT NULL").select("r.*")
+
+
+def epoch_means(log: DataFrame, epoch: str = "epoch", loss: str = "loss_total") -> DataFrame:
+    """index (from 1) and mean loss of each epoch that has a logged step."""
+    return log.groupBy((F.col(epoch) + 1).alias("index")).agg(F.avg(loss).alias("loss_total_mean"))
+
+
+def light_validation(rows: DataFrame, loss: str, position: str, most: int) -> DataFrame:
+    """One row: mean loss and number of the first ``most`` samples (a feature: a short check); 0 and 0 for none."""
+    first = rows.orderBy(position).limit(most)
+    return first.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("light_loss_total"), F.count(loss).alias("light_sample_count"))
+
+
+def counter_text(counts: DataFrame, by: list[str], key: str = "key", n: str = "n") -> DataFrame:
+    """``text`` of the counters of each group, as ``a:1,b:2`` in the order of their keys."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(n).cast("string").alias("n")))), lambda p: F.concat(p["k"], F.lit(":"), p["n"]))
+    return counts.groupBy(*by).agg(F.coalesce(F.nullif(F.array_join(each, ","), F.lit("")), F.lit("none")).alias("text"))
+
+
+def scalar_metrics(payload: Column) -> Column:
+    """The numbers of a metric record in JSON, by name; lists, objects and text go."""
+    held = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.transform_values(F.map_filter(held, lambda k, v: v.try_cast("double").isNotNull()), lambda k, v: v.cast("double"))
+
+
 def step_clock(log: DataFrame, by: str, time: str, step: str, total: int) -> DataFrame:
     """step_seconds, average, percent and eta of each logged step."""
     order = Window.partitionBy(by).orderBy(step)

@@ -122,18 +122,29 @@ def pair_errors(raw: Column) -> Column:
     return F.concat(missing_codes(raw, schemas.PAIR_FIELDS), F.array_compact(F.array(*sides)))
 
 
-def marginals(df: DataFrame, columns: list[str], default: str) -> DataFrame:
-    """field, value, n: counts by each of the columns on its own, in one pass; ``default`` for null values."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit(default)).alias("value")) for c in columns])
+def marginals(df: DataFrame, columns: list[str], default: str, raw: str | None = None) -> DataFrame:
+    """field, value, n: counts by each of the columns on its own, in one pass.
+
+    ``default`` stands for an absent key only: a column that ``df`` hasn't or, with ``raw``, a field that isn't a
+    key of the raw JSON text.  A null that is there counts as null.
+    """
+    have = set(df.columns)
+    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")) if raw else None
+
+    def value(c: str) -> Column:
+        own = F.col(c).cast("string") if c in have else F.lit(default)
+        return own if keys is None else F.when(F.array_contains(keys, c), own).otherwise(F.lit(default))
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in columns])
     return df.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
 
 
-def validation_report(checked: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """field, value, n: totals, bad samples, error codes and marginals of validated samples."""
+def validation_report(checked: DataFrame, columns: list[str] | None = None, raw: str | None = None) -> DataFrame:
+    """field, value, n: totals, bad samples, error codes and marginals of validated samples; an absent key counts as ``missing``."""
     totals = checked.agg(F.count("*").alias("total"), F.count_if(F.size("errors") > 0).alias("bad_samples"))
     totals = totals.select(F.explode(F.array(*[F.struct(F.lit("report").alias("field"), F.lit(c).alias("value"), F.col(c).alias("n")) for c in ("total", "bad_samples")])).alias("p")).select("p.*")
     codes = checked.select(F.lit("error").alias("field"), F.explode("errors").alias("value")).groupBy("field", "value").agg(F.count("*").alias("n"))
-    return totals.unionByName(codes).unionByName(marginals(checked, columns or ["source", "template", "camera_motion"], "missing"))
+    return totals.unionByName(codes).unionByName(marginals(checked, columns or ["source", "template", "camera_motion"], "missing", raw))
 
 
 def camera_audit(df: DataFrame) -> DataFrame:
@@ -146,6 +157,30 @@ def camera_audit(df: DataFrame) -> DataFrame:
         F.count_if("has_id_mask").alias("has_id_mask"), F.count_if(E.contains_any(low, REOBSERVE_WORDS)).alias("reobserve_candidates"))
 
 
+def audit_marginals(df: DataFrame, raw: str | None = None) -> DataFrame:
+    """field, value, n of the audit: counts by source, template and camera_motion; an absent key counts as ``unknown``."""
+    return marginals(df, ["source", "template", "camera_motion"], "unknown", raw)
+
+
+# The variants that an audit names.
+AUDIT_VARIANTS = ["correct_camera", "frozen_camera", "wrong_camera", "shuffled_camera", "short_prompt", "structured_prompt", "i2v_first_frame", "v2v_prefix_8_16"]
+
+
+def mask_note(id_path: Column) -> Column:
+    """Where a background mask comes from."""
+    return F.when(F.coalesce(id_path, F.lit("")) != "", "simulator_id_mask").otherwise("fallback_required_sam_or_flow_propagation")
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by ``order``; all rows for n = 0."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+def readable(frames: Column, least: int = 1) -> Column:
+    """Whether a clip has enough frames that can be read, one at least; null counts as none."""
+    return F.coalesce(frames, F.lit(0)) >= max(1, least)
+
+
 def source_limit(df: DataFrame, n: int, source: str = "source", order: str = "sample_id") -> DataFrame:
     """The first n rows of each source by ``order``; all rows for n = 0."""
     if not n:
@@ -222,13 +257,24 @@ def prompt(level: str, template: Column, camera_motion: Column) -> Column:
     return F.format_string(PROMPT_FULL, event, camera)
 
 
+# Words of the videos that are taken first.
+LIKED_WORDS = ["preview", "aligned"]
+
+
 def preferred_video(names: Column) -> Column:
     """The first name, in order, with ``preview`` or ``aligned`` in it, else the first."""
     ordered = F.array_sort(names)
-    liked = F.filter(ordered, lambda v: F.lower(v).contains("preview") | F.lower(v).contains("aligned"))
+    liked = F.filter(ordered, lambda v: E.contains_any(F.lower(v), LIKED_WORDS))
     return F.coalesce(F.get(liked, F.lit(0)), F.get(ordered, F.lit(0)))
 
 
+def folder_videos(files: DataFrame, folder: str = "folder", name: str = "name") -> DataFrame:
+    """folder, video, n: the name that ``preferred_video`` takes in each folder and how many there are, without an array of the folder."""
+    liked = F.when(E.contains_any(F.lower(name), LIKED_WORDS), F.col(name))
+    found = files.groupBy(folder).agg(F.min(liked).alias("liked"), F.min(name).alias("least"), F.count(name).alias("n"))
+    return found.select(folder, F.coalesce("liked", "least").alias("video"), "n")
+
+
 def first_existing(files: Column, folder: Column, names: list[str]) -> Column:
     """Path of the first of the names that the folder's listing has."""
     return F.coalesce(*[F.when(F.array_contains(files, n), F.concat(folder, F.lit(f"/{n}"))) for n in names])

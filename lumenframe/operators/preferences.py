@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import expr as E
+from lumenframe.operators import manifest as M
+from lumenframe.schemas import PAIR_FIELDS
 
 # Kinds of corruption, those that need a mask, those that can be rendered, and the default choice for pairs.
 CORRUPTIONS = [
@@ -68,11 +70,22 @@ def pairs(rewards: DataFrame, samples: DataFrame, chosen: list[str] | None = Non
         F.lit("gt_vs_corrupt").alias("pair_type"), "margin", F.lit(1.0).alias("weight"), F.coalesce("quality_flags", F.array().cast("array<string>")).alias("quality_flags"))
 
 
-def anchored(pairs_: DataFrame, min_margin: float = 0.05, min_winner: float = 0.0, max_freeze: float = 0.6) -> DataFrame:
-    """Pairs fit for anchored training; missing numbers count as 0."""
+def anchored(pairs_: DataFrame, min_margin: float = 0.05, min_winner: float = 0.0, max_freeze: float = 0.6, raw: str | None = None) -> DataFrame:
+    """Valid pairs fit for anchored training; missing numbers count as 0.
+
+    With ``raw`` (the pair's JSON text) a pair is valid where ``pair_errors`` finds nothing.  Without it every field of a pair
+    must be a column, and neither the fields nor the sides' videos may be null, but for the margin.
+    """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    whole = F.col("winner.video").isNotNull() & F.col("loser.video").isNotNull() & F.col("pair_id").isNotNull()
-    return pairs_.filter(whole & (zero("margin") >= min_margin) & (zero("winner.reward.reward_total") >= min_winner) & (zero("winner.reward.components.freeze.penalty") <= max_freeze))
+    if raw:
+        valid = F.size(M.pair_errors(F.col(raw))) == 0
+    elif lost := [c for c in PAIR_FIELDS if c not in pairs_.columns]:
+        raise ValueError(f"pairs without {', '.join(lost)}")
+    else:
+        valid = F.col("winner.video").isNotNull() & F.col("loser.video").isNotNull()
+        for c in PAIR_FIELDS:
+            valid = valid & F.col(c).isNotNull() if c != "margin" else valid
+    return pairs_.filter(valid & (zero("margin") >= min_margin) & (zero("winner.reward.reward_total") >= min_winner) & (zero("winner.reward.components.freeze.penalty") <= max_freeze))
 
 
 def self_rollout(pairs_: DataFrame, min_margin: float = 0.1, min_winner_quality: float = 0.5) -> DataFrame:

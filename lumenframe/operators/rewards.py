@@ -136,3 +136,26 @@ def score(stats: DataFrame, weights: Mapping[str, float] | None = None) -> DataF
     w = F.create_map(*[F.lit(x) for kv in (WEIGHTS | dict(weights or {})).items() for x in kv])
     return held.withColumn("reward_raw", raw).select(
         "sample_id", E.clamp01(F.col("reward_raw")).alias("reward_total"), "reward_raw", w.alias("weights"), "components", "source", "template", "camera_motion")
+
+
+def configured_weights(config: Mapping[str, object] | None) -> dict[str, float]:
+    """Weights of a configuration: ``weights``, else ``reward_weights``, else none."""
+    held = config or {}
+    return dict(held.get("weights") or held.get("reward_weights") or {})
+
+
+def with_candidate(df: DataFrame, column: str) -> DataFrame:
+    """``df`` whose ``candidate_video_path`` is the text of ``column`` where there is any, else as it was."""
+    was = F.col("candidate_video_path") if "candidate_video_path" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("candidate_video_path", F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), was) if column else was)
+
+
+def score_batch(samples: DataFrame, stats: DataFrame, config: Mapping[str, object] | None = None, candidate_column: str = "") -> DataFrame:
+    """Reward records of samples by the statistics of the video that each is scored on.
+
+    That is the candidate's video where a sample has one, else its own; ``stats`` has ``video_path`` and the statistics that
+    ``score`` reads.  A sample without statistics is scored as one without a video.
+    """
+    chosen = with_candidate(samples, candidate_column).withColumn("_video", E.or_else(F.col("candidate_video_path"), F.col("video_path")))
+    joined = chosen.join(stats.withColumnRenamed("video_path", "_video"), "_video", "left")
+    return score(joined, configured_weights(config))

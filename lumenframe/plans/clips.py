@@ -1,4 +1,7 @@
-"""Queries over clips: events of a user stand for the frames of a clip, embeddings for poses and pixels."""
+"""Queries over clips: events of a user stand for the frames of a clip, embeddings for poses and pixels.
+
+Fifty embeddings in order of id are a clip, so clips are small and their number grows with the table.
+"""
 
 from __future__ import annotations
 
@@ -35,20 +38,26 @@ def pad_truncate(spark, sf_dir):
     return c.select("conv_id", F.aggregate(six, F.lit(0).cast("long"), lambda x, y: x + y).alias("total"), F.size(six).cast("long").alias("n"))
 
 
-@query("""WITH f AS (SELECT label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
-s AS (SELECT label, sqrt((embedding[1]::DOUBLE - p[1]) ^ 2 + (embedding[2]::DOUBLE - p[2]) ^ 2 + (embedding[3]::DOUBLE - p[3]) ^ 2) AS step FROM f)
-SELECT label, count(*) AS num_frames, round(sum(step), 6) AS translation_total, round(avg(step), 6) AS translation_mean, sum(step) > 1e-4 AS has_moving_camera FROM s GROUP BY 1""")
+def _vectors(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").withColumns({"clip": F.floor(F.col("vec_id") / 50), "frame": F.col("vec_id") % 50})
+
+
+_CLIPS = "e AS (SELECT *, vec_id // 50 AS clip FROM embeddings), f AS (SELECT clip, vec_id, embedding, lag(embedding) OVER (PARTITION BY clip ORDER BY vec_id) AS p FROM e)"
+
+
+@query(f"""WITH {_CLIPS},
+s AS (SELECT clip, sqrt((embedding[1]::DOUBLE - p[1]) ^ 2 + (embedding[2]::DOUBLE - p[2]) ^ 2 + (embedding[3]::DOUBLE - p[3]) ^ 2) AS step FROM f)
+SELECT clip, count(*) AS num_frames, round(sum(step), 6) AS translation_total, round(avg(step), 6) AS translation_mean, sum(step) > 1e-4 AS has_moving_camera FROM s GROUP BY 1""")
 def motion_stats(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    f = e.select("label", "vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(a) for i, a in enumerate("xyz")])
-    return C.path_length(f, "label", "vec_id", ["x", "y", "z"]).withColumns({c: F.round(c, 6) for c in ("translation_total", "translation_mean")})
+    f = _vectors(spark, sf_dir).select("clip", "frame", *[F.element_at("embedding", i + 1).cast("double").alias(a) for i, a in enumerate("xyz")])
+    return C.path_length(f, "clip", "frame", ["x", "y", "z"]).withColumns({c: F.round(c, 6) for c in ("translation_total", "translation_mean")})
 
 
-@query("""WITH f AS (SELECT label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
-d AS (SELECT label, list_sum(list_transform(list_zip(embedding, p), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / 64 / 255 AS d FROM f WHERE p IS NOT NULL)
-SELECT label, count(*) AS num_pairs, round(avg(d), 6) AS mean_absdiff, round(max(d), 6) AS max_absdiff FROM d GROUP BY 1""")
+@query(f"""WITH {_CLIPS},
+d AS (SELECT clip, list_sum(list_transform(list_zip(embedding, p), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / 64 / 255 AS d FROM f WHERE p IS NOT NULL)
+SELECT clip, count(*) AS num_pairs, round(avg(d), 6) AS mean_absdiff, round(max(d), 6) AS max_absdiff FROM d GROUP BY 1""")
 def absdiff(spark, sf_dir):
-    out = C.difference_stats(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    out = C.difference_stats(_vectors(spark, sf_dir), "clip", "frame", "embedding")
     return out.withColumns({c: F.round(c, 6) for c in ("mean_absdiff", "max_absdiff")})
 
 
@@ -59,19 +68,18 @@ def flicker(spark, sf_dir):
     return C.flicker(e, "user_id", "at", "value").withColumns({c: F.round(c, 6) for c in ("brightness_mean", "brightness_flicker")})
 
 
-@query("""WITH f AS (SELECT label, count(*) AS n, arg_min(embedding, vec_id) AS a, arg_max(embedding, vec_id) AS b FROM embeddings GROUP BY 1)
-SELECT label, round(1 - list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / 64 / 255, 6) AS similarity FROM f WHERE n >= 4""")
+@query("""WITH f AS (SELECT vec_id // 50 AS clip, count(*) AS n, arg_min(embedding, vec_id) AS a, arg_max(embedding, vec_id) AS b FROM embeddings GROUP BY 1)
+SELECT clip, round(1 - list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / 64 / 255, 6) AS similarity FROM f WHERE n >= 4""")
 def first_last(spark, sf_dir):
-    return C.first_last(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+    return C.first_last(_vectors(spark, sf_dir), "clip", "frame", "embedding").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
-d AS (SELECT a.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ^ 2)) AS s FROM f a JOIN f b ON b.label = a.label + 1 AND a.k = b.k)
-SELECT label, round(sum(s) / (count(*) * 64), 6) AS mse, round(10 * log10(255.0 * 255.0 / (sum(s) / (count(*) * 64))), 6) AS psnr FROM d GROUP BY 1""")
+@query("""WITH d AS (SELECT a.vec_id // 50 AS clip, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ^ 2)) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 50)
+SELECT clip, round(sum(s) / (count(*) * 64), 6) AS mse, round(10 * log10(255.0 * 255.0 / (sum(s) / (count(*) * 64))), 6) AS psnr FROM d GROUP BY 1""")
 def psnr(spark, sf_dir):
-    """Each label's vectors against those of the next label, place by place."""
-    f = read(spark, sf_dir, "embeddings").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    return C.psnr(f, f.withColumn("label", F.col("label") - 1), "label", "k", "embedding").withColumns({c: F.round(c, 6) for c in ("mse", "psnr")})
+    """Each clip's vectors against those of the next clip, frame by frame."""
+    f = _vectors(spark, sf_dir)
+    return C.psnr(f, f.withColumn("clip", F.col("clip") - 1), "clip", "frame", "embedding").withColumns({c: F.round(c, 6) for c in ("mse", "psnr")})
 
 
 @query("""SELECT greatest(quantile_cont(abs(l_quantity - 25), 0.95), 1e-6) AS l_quantity, greatest(quantile_cont(abs(l_discount - 0.05), 0.95), 1e-6) AS l_discount FROM lineitem""")
@@ -114,11 +122,15 @@ def intrinsics(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", k.alias("k")).select("p_partkey", F.round("k.fx", 6).alias("fx"), "k.cx", "k.cy")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, lead(o_totalprice) OVER w - o_totalprice AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-p AS (SELECT o.o_custkey, o.o_orderkey, o.d, lag(d) OVER (PARTITION BY o.o_custkey ORDER BY t.o_orderdate, o.o_orderkey) AS was FROM o JOIN orders t USING (o_orderkey))
-SELECT o_custkey, o_orderkey, round(coalesce(d, was, 0), 2) AS action FROM p""")
+@query("""WITH p AS (SELECT vec_id // 50 AS clip, vec_id % 50 AS frame, embedding[1]::DOUBLE AS t, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS z FROM embeddings),
+n AS (SELECT *, lead(t) OVER w - t AS dt, lead(x) OVER w - x AS dx, lead(z) OVER w - z AS dz FROM p WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+a AS (SELECT clip, frame, sin(t) * dx + cos(t) * dz AS forward, cos(t) * dx - sin(t) * dz AS strafe, atan2(sin(dt), cos(dt)) AS yaw FROM n)
+SELECT clip, frame, round(coalesce(forward, lag(forward) OVER w, 0), 4) AS forward, round(coalesce(strafe, lag(strafe) OVER w, 0), 4) AS strafe, round(coalesce(yaw, lag(yaw) OVER w, 0), 4) AS yaw, 0.0::DOUBLE AS pitch
+FROM a WINDOW w AS (PARTITION BY clip ORDER BY frame)""")
 def action_deltas(spark, sf_dir):
-    """Step to the next row; the last one repeats the step before, a lone row has none."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = read(spark, sf_dir, "orders").withColumn("d", F.lead("o_totalprice").over(w) - F.col("o_totalprice"))
-    return o.select("o_custkey", "o_orderkey", F.round(F.coalesce("d", F.lag("d").over(w), F.lit(0.0)), 2).alias("action"))
+    """Actions from each camera pose to the next: turns about the vertical and steps in the plane, in closed form in the SQL."""
+    v = lambda i: F.element_at("embedding", i).cast("double")
+    t, o, one = v(1), F.lit(0.0), F.lit(1.0)
+    m = F.array(F.array(F.cos(t), o, F.sin(t), v(2)), F.array(o, one, o, o), F.array(-F.sin(t), o, F.cos(t), v(3)), F.array(o, o, o, one))
+    out = C.pose_actions(_vectors(spark, sf_dir).select("clip", "frame", m.alias("m")))
+    return out.select("clip", "frame", *[(F.round(c, 4) + 0.0).alias(c) for c in ("forward", "strafe", "yaw", "pitch")])

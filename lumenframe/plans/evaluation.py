@@ -102,16 +102,17 @@ def progress(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS model, s_acctbal AS a FROM supplier)
-SELECT model, CASE WHEN CAST(model AS INTEGER) % 2 = 0 THEN round(a, 2) END AS pmf, round(a / 2, 4) AS psnr, round(a, 2) AS fvd FROM s""")
+SELECT model, CASE WHEN CAST(model AS INTEGER) % 2 = 0 THEN round(a, 2) END AS pmf, round(a / 2, 6) AS psnr, CASE WHEN CAST(model AS INTEGER) % 5 > 0 THEN round(a / 4, 6) END AS ssim, round(a / 8, 6) AS lpips, round(a, 2) AS fvd FROM s""")
 def model_summary(spark, sf_dir):
     a = F.col("s_acctbal")
     text = lambda c: c.cast("string")
     r = read(spark, sf_dir, "supplier").select(
         text(F.col("s_suppkey")).alias("model"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('{"means":{"physics_iq_style_score":{"mean":'), text(a), F.lit("}}}"))).otherwise("{}").alias("physics"),
-        F.concat(F.lit('{"aggregate_metrics":{"psnr":{"mean":'), text(a / 2), F.lit("}}}")).alias("evaluation"),
+        F.concat(F.lit('{"aggregate_metrics":{"psnr":{"mean":'), text(a / 2), F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit('},"ssim":{"mean":'), text(a / 4))).otherwise(""),
+                 F.lit('},"lpips":{"mean":'), text(a / 8), F.lit("}}}")).alias("evaluation"),
         F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('{"fvd":'), text(a), F.lit("}"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('{"aggregate_metrics":{"fvd":{"mean":'), text(a), F.lit("}}}"))).otherwise(
             F.concat(F.lit('{"metrics":{"fvd":'), text(a), F.lit("}}"))).alias("fvd"))
-    return V.model_summary(r).select("model", F.round("pmf", 2).alias("pmf"), F.round("psnr", 4).alias("psnr"), F.round("fvd", 2).alias("fvd"))
+    return V.model_summary(r).select("model", F.round("pmf", 2).alias("pmf"), *[F.round(c, 6).alias(c) for c in ("psnr", "ssim", "lpips")], F.round("fvd", 2).alias("fvd"))
 
 
 _CHECKPOINTS = """c AS (SELECT l_suppkey AS model, l_orderkey * 10 + l_linenumber AS step, l_quantity AS pmf, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_tax END AS fvd, l_discount AS psnr, l_linenumber AS ssim, l_partkey AS lpips FROM lineitem),
@@ -128,16 +129,24 @@ def best_checkpoint(spark, sf_dir):
     return V.best_checkpoint(_checkpoints(spark, sf_dir), ["model"]).select("model", "step", "pmf")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM orders)
-SELECT o_orderkey, CASE WHEN was IS NULL OR o_totalprice > was THEN 'best' ELSE 'pruned' END AS status FROM o""")
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'P' AS failed, struct_pack(a := -floor(o_totalprice / 50000), b := o_totalprice % 1000) AS k FROM orders),
+w AS (SELECT *, min(CASE WHEN NOT failed THEN k END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM o)
+SELECT o_orderkey, CASE WHEN failed THEN 'failed' WHEN was IS NULL OR k < was THEN 'best' ELSE 'pruned' END AS status FROM w""")
 def retention(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("pmf"), *[F.lit(0.0).alias(c) for c in ("fvd", "psnr", "ssim", "lpips")], F.lit(False).alias("failed"))
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 50000).cast("double").alias("pmf"), (F.col("o_totalprice") % 1000).alias("fvd"),
+                                             *[F.lit(0.0).alias(c) for c in ("psnr", "ssim", "lpips")], (F.col("o_orderstatus") == "P").alias("failed"))
     return V.retention(o, "o_custkey", "o_orderkey").select("o_orderkey", "status")
 
 
-@query("SELECT label, count(*) AS n, true AS all_finite, round(max(abs(v)), 6) AS max_abs, round(avg(abs(v)), 6) AS mean_abs FROM (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1")
+@query("""WITH v AS (SELECT vec_id // 20 AS item, vec_id % 97 = 5 AS bad, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT item, count(*) AS n, NOT bool_or(bad) AS all_finite, round(max(CASE WHEN NOT bad THEN abs(v) END), 6) AS max_abs FROM v GROUP BY 1""")
 def numeric_audit(spark, sf_dir):
-    return V.require_finite(V.numeric_audit(read(spark, sf_dir, "embeddings"), "label", "embedding")).withColumns({c: F.round(c, 6) for c in ("max_abs", "mean_abs")})
+    """Arrays of which some hold infinite values; the largest finite size is made from the finite ones."""
+    e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("item"), (F.col("vec_id") % 97 == 5).alias("bad"), "embedding")
+    given = F.when(F.col("bad"), F.transform("embedding", lambda v: F.lit(float("inf")).cast("float"))).otherwise(F.col("embedding"))
+    audit = V.numeric_audit(e.withColumn("values", given), "item", "values").drop("mean_abs", "max_abs")
+    finite = V.require_finite(V.numeric_audit(e.filter("NOT bad"), "item", "embedding")).select("item", F.round("max_abs", 6).alias("max_abs"))
+    return audit.join(finite, "item", "left")
 
 
 @query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' | ' || printf('%.4f', r_regionkey / 3.0::DOUBLE) || ' |' AS line FROM region")
@@ -172,10 +181,11 @@ def step_counts(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.step_count(F.col("p_size"), 8, 4, 3).alias("steps"))
 
 
-@query("""WITH e AS (SELECT label, vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)
+@query("""WITH e AS (SELECT vec_id, embedding, lead(embedding) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS n FROM embeddings)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], n::DOUBLE[]), 6) AS cos FROM e WHERE n IS NOT NULL""")
 def cosine(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").withColumn("n", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("n IS NOT NULL")
+    clip = Window.partitionBy(F.floor(F.col("vec_id") / 50)).orderBy("vec_id")
+    e = read(spark, sf_dir, "embeddings").withColumn("n", F.lead("embedding").over(clip)).filter("n IS NOT NULL")
     return e.select("vec_id", F.round(A.cosine(F.col("embedding"), F.col("n")), 6).alias("cos"))
 
 
@@ -205,3 +215,65 @@ def flow_loss(spark, sf_dir):
     """Flow-matching loss of a zero prediction, with the reversed vector as noise."""
     x = read(spark, sf_dir, "embeddings").select("embedding", F.reverse("embedding").alias("noise"), F.transform("embedding", lambda v: F.lit(0.0)).alias("zero"), F.lit(1.5).alias("w"))
     return T.flow_loss(x, "embedding", "noise", "zero", "w").select(F.round("loss", 6).alias("loss"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_suppkey AS root FROM lineitem), f AS (SELECT l_suppkey AS root, CASE WHEN l_linenumber % 2 = 0 THEN 'low_noise_model' ELSE 'high_noise_model' END AS branch,
+  CASE l_quantity % 4 WHEN 0 THEN 'config.json' WHEN 1 THEN 'diffusion_pytorch_model.bin' ELSE 'readme' END AS name FROM lineitem WHERE l_tax = 0.08 AND l_discount = 0.1 AND l_quantity > 40),
+w AS (SELECT root, branch FROM r, (VALUES ('low_noise_model'), ('high_noise_model')) b(branch) WHERE root IN (SELECT root FROM f)),
+s AS (SELECT w.*, count(name) AS n, count_if(name = 'config.json') AS c, count_if(name LIKE 'diff%') AS x FROM w LEFT JOIN f USING (root, branch) GROUP BY ALL)
+SELECT root, '' AS branch, 'missing_path' AS error FROM r WHERE root NOT IN (SELECT root FROM f) UNION ALL SELECT root, branch, 'missing_directory' FROM s WHERE n = 0
+UNION ALL SELECT root, branch, 'missing_config' FROM s WHERE n > 0 AND c = 0 UNION ALL SELECT root, branch, 'missing_weights' FROM s WHERE n > 0 AND x = 0""")
+def checkpoint_check(spark, sf_dir):
+    """Checkpoints (suppliers) whose files are rare lines, with what they lack."""
+    line = read(spark, sf_dir, "lineitem")
+    few = line.filter("l_tax = 0.08 AND l_discount = 0.1 AND l_quantity > 40")
+    kind = F.col("l_quantity") % 4
+    files = few.select(F.col("l_suppkey").alias("root"), F.when(F.col("l_linenumber") % 2 == 0, "low_noise_model").otherwise("high_noise_model").alias("branch"),
+                       F.when(kind == 0, "config.json").when(kind == 1, "diffusion_pytorch_model.bin").otherwise("readme").alias("name"))
+    return V.checkpoint_errors(line.select(F.col("l_suppkey").alias("root")), files)
+
+
+@query("""SELECT * FROM (SELECT c_custkey, c_mktsegment, 1 AS asked FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1)
+UNION ALL SELECT * FROM (SELECT c_custkey, c_mktsegment, 2 FROM customer ORDER BY c_custkey LIMIT 1)""")
+def row_lookup(spark, sf_dir):
+    """A row by its key, and the first row where no row has the key."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    found = V.row_by_key(c, "c_mktsegment", "BUILDING", "c_custkey").withColumn("asked", F.lit(1))
+    return found.unionByName(V.row_by_key(c, "c_mktsegment", "none", "c_custkey").withColumn("asked", F.lit(2)))
+
+
+@query("SELECT user_id % 10 + 1 AS index, round(avg(value), 6) AS loss_total_mean FROM events GROUP BY 1")
+def epoch_means(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("epoch"), F.col("value").alias("loss_total"))
+    return V.epoch_means(e).withColumn("loss_total_mean", F.round("loss_total_mean", 6))
+
+
+@query("SELECT round(avg(value), 6) AS light_loss_total, count(*) AS light_sample_count FROM (SELECT value FROM events ORDER BY event_id LIMIT 200)")
+def light_validation(spark, sf_dir):
+    """The feature is a short check of the first 200 samples."""
+    return V.light_validation(read(spark, sf_dir, "events"), "value", "event_id", 200).withColumn("light_loss_total", F.round("light_loss_total", 6))
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS text FROM c GROUP BY 1")
+def counter_text(spark, sf_dir):
+    counts = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
+    return V.counter_text(counts, ["user_id"])
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(props ->> '$.k' AS DOUBLE) END AS k, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS n FROM events""")
+def scalar_metrics(spark, sf_dir):
+    """The numbers of a metric record; lists and text go."""
+    k = F.get_json_object("props", "$.k")
+    payload = F.concat(F.lit('{"loss": 1.5, "name": "x", "list": [1], "k": '), F.when(F.col("event_id") % 3 == 0, F.lit('"text"')).otherwise(k), F.lit("}"))
+    e = read(spark, sf_dir, "events").withColumn("m", V.scalar_metrics(payload))
+    return e.select("event_id", F.col("m")["k"].alias("k"), F.size("m").alias("n"))
+
+
+@query("""WITH m AS (SELECT unnest(['mse_mean', 'physics_iq_style_score', 'other', 'spatial_iou']) AS metric, unnest([avg(l_tax), avg(l_quantity), avg(l_discount), avg(l_extendedprice)]) AS mean, count(*) AS n FROM lineitem)
+SELECT o AS ord, label, printf('%.4f', mean) AS text, n FROM m JOIN (VALUES (1, 'physics_iq_style_score', 'Score'), (3, 'spatial_iou', 'Spatial IoU'), (5, 'mse_mean', 'MSE')) d(o, metric, label) USING (metric)""")
+def physics_summary(spark, sf_dir):
+    """Metrics in the fixed order of the physics summary with their labels."""
+    line = read(spark, sf_dir, "lineitem")
+    means = V.metric_means(line.select(F.col("l_tax").alias("mse_mean"), F.col("l_quantity").alias("physics_iq_style_score"), F.col("l_discount").alias("other"), F.col("l_extendedprice").alias("spatial_iou")),
+                           ["mse_mean", "physics_iq_style_score", "other", "spatial_iou"])
+    return V.ordered_metrics(means, list(V.PHYSICS_LABELS), V.PHYSICS_LABELS)

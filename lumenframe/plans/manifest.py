@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import expr as E
@@ -88,13 +88,12 @@ def first_match(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", E.first_match(f, M.TEMPLATE_WORDS_A).alias("template_a"), E.first_match(f, M.TEMPLATE_WORDS_B).alias("template_b"), E.first_match(f, M.CAMERA_WORDS).alias("camera"))
 
 
-@query("""WITH f AS (SELECT s_nationkey AS folder, list(s_name ORDER BY s_name) AS files FROM supplier GROUP BY 1)
-SELECT folder, coalesce(list_filter(files, lambda x: contains(lower(x), '7'))[1], files[1]) AS picked, files[1] AS first_name, len(files) AS n FROM f""")
+@query("""WITH f AS (SELECT s_nationkey AS folder, CASE s_suppkey % 9 WHEN 4 THEN 'x_Preview_' WHEN 7 THEN 'w_aligned_' ELSE '' END || s_name AS name FROM supplier)
+SELECT folder, coalesce(min(CASE WHEN regexp_matches(lower(name), 'preview|aligned') THEN name END), min(name)) AS video, count(*) AS n FROM f GROUP BY 1""")
 def folder_listing(spark, sf_dir):
-    """A listing grouped by folder, and the file that a preference order takes."""
-    liked = F.when(F.lower("s_name").contains("7"), F.col("s_name"))
-    f = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("folder")).agg(F.min(liked).alias("liked"), F.min("s_name").alias("first_name"), F.count("s_name").cast("int").alias("n"))
-    return f.select("folder", F.coalesce("liked", "first_name").alias("picked"), "first_name", "n")
+    """A listing grouped by folder, and the video that a preference order takes."""
+    name = F.concat(F.when(F.col("s_suppkey") % 9 == 4, "x_Preview_").when(F.col("s_suppkey") % 9 == 7, "w_aligned_").otherwise(""), "s_name")
+    return M.folder_videos(read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("folder"), name.alias("name")))
 
 
 @query(f"""WITH s AS ({SAMPLES_SQL}), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sample_id) AS nth FROM s)
@@ -104,27 +103,48 @@ def source_limit(spark, sf_dir):
     return M.source_limit(samples(spark, sf_dir), 25).select("source", "sample_id")
 
 
-@query(f"""WITH s AS ({SAMPLES_SQL}), lost AS (
-  SELECT sample_id, 'missing_path:' || f AS code FROM (SELECT sample_id, unnest(['poses_path', 'video_path']) AS f, unnest([poses_path, video_path]) AS p FROM s)
-  WHERE p IS NOT NULL AND p <> '' AND NOT starts_with(p, 'hdf5://') AND p NOT IN (SELECT '/clips/' || doc_id || '/video.mp4' FROM labels)),
-e AS (SELECT sample_id, 'invalid:source' AS code FROM s WHERE source NOT IN ('phyinone', 'movingcam_synthetic') UNION ALL SELECT * FROM lost)
+def _raw(absent: str) -> Column:
+    """A sample's JSON text, in which every thirteenth lacks the field ``absent``."""
+    one = lambda c: F.when(F.col("sample_id").cast("long") % 13 != 0, 1) if c == absent else F.lit(1)
+    return F.to_json(F.struct(*[one(c).alias(c) for c in M.schemas.SAMPLE_FIELDS]))
+
+
+@query(f"""WITH s AS ({SAMPLES_SQL}), f AS (SELECT '/clips/' || doc_id || '/video.mp4' AS p FROM labels UNION ALL SELECT '/clips/' || doc_id || '/intrinsics.npy' FROM labels WHERE quality = 1),
+lost AS (
+  SELECT sample_id, 'missing_path:' || f AS code FROM (SELECT sample_id, unnest(['poses_path', 'video_path', 'intrinsics_path']) AS f, unnest([poses_path, video_path, intrinsics_path]) AS p FROM s)
+  WHERE p IS NOT NULL AND p <> '' AND NOT starts_with(p, 'hdf5://') AND p NOT IN (SELECT p FROM f)),
+e AS (SELECT sample_id, 'invalid:source' AS code FROM s WHERE source NOT IN ('phyinone', 'movingcam_synthetic') UNION ALL SELECT sample_id, 'missing:fps' FROM s WHERE CAST(sample_id AS BIGINT) % 13 = 0 UNION ALL SELECT * FROM lost)
 SELECT sample_id, count(*) AS n_errors, string_agg(code, ',' ORDER BY code) AS codes FROM e GROUP BY 1""")
 def validation_errors(spark, sf_dir):
-    """Samples with an unknown source or a path that the listing (videos of labelled documents) hasn't."""
-    files = read(spark, sf_dir, "labels").select(F.concat(F.lit("/clips/"), F.col("doc_id").cast("string"), F.lit("/video.mp4")).alias("path"))
-    s = samples(spark, sf_dir).drop("intrinsics_path").withColumn("raw", F.to_json(F.struct(*[F.lit(1).alias(c) for c in M.schemas.SAMPLE_FIELDS])))
-    bad = M.validation_errors(s, "raw", files).filter(F.size("errors") > 0)
+    """Samples with a missing key, an unknown source or a path that the listing (files of labelled documents) hasn't."""
+    marks = read(spark, sf_dir, "labels").select(F.concat(F.lit("/clips/"), F.col("doc_id").cast("string")).alias("d"), "quality")
+    files = marks.select(F.concat("d", F.lit("/video.mp4")).alias("path")).unionByName(marks.filter("quality = 1").select(F.concat("d", F.lit("/intrinsics.npy")).alias("path")))
+    bad = M.validation_errors(samples(spark, sf_dir).withColumn("raw", _raw("fps")), "raw", files.distinct()).filter(F.size("errors") > 0)
     return bad.select("sample_id", F.size("errors").cast("long").alias("n_errors"), F.array_join(F.array_sort("errors"), ",").alias("codes"))
 
 
-@query(f"""WITH s AS ({SAMPLES_SQL}), m AS (
-  SELECT 'source' AS field, source AS value FROM s UNION ALL SELECT 'template', template FROM s UNION ALL SELECT 'camera_motion', camera_motion FROM s
-  UNION ALL SELECT 'error', 'invalid:source' FROM s WHERE source = 'other')
+#: Every thirteenth sample lacks the key of its template; an unknown template is a null.
+MARGINALS_SQL = """
+SELECT 'source' AS field, source AS value FROM s UNION ALL SELECT 'camera_motion', camera_motion FROM s
+UNION ALL SELECT 'template', CASE WHEN CAST(sample_id AS BIGINT) % 13 = 0 THEN '{absent}' ELSE nullif(template, 'unknown') END FROM s
+"""
+
+
+def _with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).withColumns({"raw": _raw("template"), "template": F.nullif("template", F.lit("unknown"))})
+
+
+@query(f"""WITH s AS ({SAMPLES_SQL}), m AS ({MARGINALS_SQL.format(absent="missing")}
+  UNION ALL SELECT 'error', 'invalid:source' FROM s WHERE source = 'other' UNION ALL SELECT 'error', 'missing:template' FROM s WHERE CAST(sample_id AS BIGINT) % 13 = 0)
 SELECT field, value, count(*) AS n FROM m GROUP BY ALL
-UNION ALL SELECT 'report', 'total', count(*) FROM s UNION ALL SELECT 'report', 'bad_samples', count(*) FROM s WHERE source = 'other'""")
+UNION ALL SELECT 'report', 'total', count(*) FROM s UNION ALL SELECT 'report', 'bad_samples', count(*) FROM s WHERE source = 'other' OR CAST(sample_id AS BIGINT) % 13 = 0""")
 def manifest_report(spark, sf_dir):
-    s = samples(spark, sf_dir).withColumn("raw", F.to_json(F.struct(*[F.lit(1).alias(c) for c in M.schemas.SAMPLE_FIELDS])))
-    return M.validation_report(M.validation_errors(s, "raw"))
+    return M.validation_report(M.validation_errors(_with_nulls(spark, sf_dir), "raw"), raw="raw")
+
+
+@query(f"WITH s AS ({SAMPLES_SQL}), m AS ({MARGINALS_SQL.format(absent='unknown')}) SELECT field, value, count(*) AS n FROM m GROUP BY ALL")
+def audit_marginals(spark, sf_dir):
+    return M.audit_marginals(_with_nulls(spark, sf_dir), "raw")
 
 
 @query(f"""WITH s AS ({SAMPLES_SQL}) SELECT count(*) AS total, CAST(count_if(has_moving_camera) AS BIGINT) AS moving_camera, CAST(count_if(coalesce(poses_path, '') <> '') AS BIGINT) AS has_pose,
@@ -156,11 +176,11 @@ _EVENTS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in M.EVENT_PHRASES.items(
 _CAMERAS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in M.CAMERA_PHRASES.items()) + "}"
 
 
-@query(f"""WITH s AS ({SAMPLES_SQL}) SELECT sample_id, '{M.PROMPT_SHORT}' AS p0, 
+@query(f"""WITH s AS ({SAMPLES_SQL}) SELECT sample_id, '{M.PROMPT_SHORT}' AS p0, '{M.PROMPT_STRUCTURED}' AS p1,
  'A synthetic indoor physical scene with ' || coalesce({_EVENTS}[template], 'a physical event') || '. The static background should remain the same 3D scene while ' ||
  coalesce({_CAMERAS}[camera_motion], 'the camera follows the provided trajectory') || '. Foreground object color, shape, and identity should remain stable. The generated video must follow the provided camera poses and intrinsics.' AS p2 FROM s""")
 def prompts(spark, sf_dir):
-    return samples(spark, sf_dir).select("sample_id", M.prompt("P0", F.col("template"), F.col("camera_motion")).alias("p0"), M.prompt("P2", F.col("template"), F.col("camera_motion")).alias("p2"))
+    return samples(spark, sf_dir).select("sample_id", *[M.prompt(k, F.col("template"), F.col("camera_motion")).alias(k.lower()) for k in ("P0", "P1")], M.prompt("P2", F.col("template"), F.col("camera_motion")).alias("p2"))
 
 
 @query("""SELECT p_partkey, trim(replace(string_split(regexp_replace(n, '_trajectory$', ''), '__')[1], '_', ' ')) AS prompt, TRY_CAST(nullif(regexp_extract(p_brand, '(\\d+)', 1), '') AS INTEGER) AS camera FROM
@@ -191,15 +211,17 @@ def json_fallback(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", E.json_first(F.col("props"), "$.fvd", "$.k").alias("found"), F.get_json_object("props", "$.k").try_cast("double").alias("k"))
 
 
-@query("""WITH f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), c AS (SELECT doc_id, list_distinct(['/a/' || doc_id, CASE WHEN doc_id % 2 = 0 THEN '/a/' || doc_id END, 'rel/' || source]) AS x, lang FROM documents)
-SELECT c.doc_id, CASE WHEN f.doc_id IS NOT NULL THEN '/a/' || c.doc_id ELSE '/a/' || c.doc_id END AS picked, lang FROM c LEFT JOIN f USING (doc_id)""")
+@query("""WITH f AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1)
+SELECT doc_id, CASE WHEN q = 1 AND doc_id % 3 = 0 THEN '/root/rel/' || source ELSE '/a/' || doc_id END AS picked, q IS NOT NULL AND q = 1 AND doc_id % 3 < 2 AS found FROM documents LEFT JOIN f USING (doc_id)""")
 def reference_choice(spark, sf_dir):
-    """The first readable candidate path, else the first."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.array(F.concat(F.lit("/a/"), F.col("doc_id").cast("string"))))
-    path = F.concat(F.lit("/a/"), F.col("doc_id").cast("string"))
-    c = E.reference_candidates(F.lit("/root"), [path, F.when(F.col("doc_id") % 2 == 0, path), F.concat(F.lit("rel/"), "source")])
-    return d.join(good, "doc_id", "left").select("doc_id", E.first_readable(c, F.coalesce("good", F.array().cast("array<string>"))).alias("picked"), "lang")
+    """The first candidate path that can be read, else the first: of good documents one in three can be read at its last candidate only, one at all, one at none."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source")
+    path, last, k = F.concat(F.lit("/a/"), F.col("doc_id").cast("string")), F.concat(F.lit("rel/"), "source"), F.col("doc_id") % 3
+    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    d = d.join(good, "doc_id", "left").withColumn("there", F.when((F.col("q") == 1) & (k == 0), F.array(F.concat(F.lit("/root/"), last), F.lit("/b"))).when(
+        (F.col("q") == 1) & (k == 1), F.array(F.concat(F.lit("/root/"), last), path)).otherwise(F.array(F.lit("/b"))))
+    c = E.reference_candidates(F.lit("/root"), [path, F.when(F.col("doc_id") % 2 == 0, path), last])
+    return d.select("doc_id", E.first_readable(c, F.col("there")).alias("picked"), F.arrays_overlap(c, "there").alias("found"))
 
 
 @query("""SELECT p_partkey, CASE WHEN path = '' THEN 'blank' WHEN starts_with(path, 'P') THEN 'protected' WHEN p_size > 40 THEN 'high_risk' WHEN p_partkey % 3 <> 0 THEN 'missing' ELSE 'candidate' END AS decision
@@ -213,3 +235,23 @@ def cleanup_decision(spark, sf_dir):
  CASE WHEN poses_path IS NULL THEN 'none' WHEN starts_with(poses_path, 'hdf5://') THEN 'extract' ELSE 'link' END AS poses, CASE WHEN intrinsics_path = '' THEN 'none' ELSE 'link' END AS intrinsics, true AS dummy_action FROM s""")
 def camera_inputs(spark, sf_dir):
     return M.camera_inputs(samples(spark, sf_dir), prefix_frames=8).select("sample_id", "input_mode", "prompt", "poses", "intrinsics", "dummy_action")
+
+
+@query(f"""WITH s AS ({SAMPLES_SQL}) SELECT sample_id, CASE WHEN intrinsics_path = '' THEN 'fallback_required_sam_or_flow_propagation' ELSE 'simulator_id_mask' END AS note,
+ CASE WHEN contains(lower(source), 'one') THEN 'base_vs_stage2' ELSE 'base_vs_stage1' END AS folder, coalesce(CASE WHEN CAST(sample_id AS BIGINT) % 4 > 0 THEN CAST(sample_id AS BIGINT) % 4 * 10 END, 0) >= 8 AS readable,
+ array_to_string((CASE CAST(sample_id AS BIGINT) % 3 WHEN 0 THEN ['0', '1', '2', '3', '4', '5', '6', '7'] WHEN 1 THEN ['2', '5', '7'] ELSE ['9'] END)[1:CASE WHEN CAST(sample_id AS BIGINT) % 4 > 0 THEN CAST(sample_id AS BIGINT) % 4 ELSE 8 END], '+') AS devices,
+ CASE WHEN CAST(sample_id AS BIGINT) % 2 = 0 THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END AS angle FROM s""")
+def sample_notes(spark, sf_dir):
+    """Small rules of a sample: where masks come from, comparison folder, readable frames, devices, camera angle."""
+    i = F.col("sample_id").cast("long")
+    visible = F.when(i % 3 == 1, " 2, 5,,7 ").when(i % 3 == 2, "9,")
+    return samples(spark, sf_dir).select(
+        "sample_id", M.mask_note(F.col("intrinsics_path")).alias("note"), E.comparison_folder(F.when(F.col("source") == "phyinone", "Stage2-x").otherwise("Stage1")).alias("folder"),
+        M.readable(F.when(i % 4 > 0, i % 4 * 10), 8).alias("readable"), F.array_join(E.devices(visible, (i % 4).cast("int")), "+").alias("devices"),
+        E.camera_angle(F.when(i % 2 == 0, F.lit('{"camera_angle_x": 0.5}')).otherwise("{}"), 0.75).alias("angle"))
+
+
+@query(f"WITH s AS ({SAMPLES_SQL}) SELECT sample_id, source FROM s ORDER BY source, sample_id LIMIT 30")
+def first_samples(spark, sf_dir):
+    """The feature is a limit: the first thirty samples in order."""
+    return M.first_rows(samples(spark, sf_dir), 30, "source", "sample_id").select("sample_id", "source")

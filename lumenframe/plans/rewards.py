@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lumenframe import storage
+from lumenframe.operators import manifest as M
 from lumenframe.operators import preferences as P
 from lumenframe.operators import rewards as R
 from lumenframe.plans.registry import query, read
+from lumenframe.schemas import PAIR_FIELDS
 
 STATS_SQL = """
 f AS (SELECT user_id, value, lag(value) OVER w AS p, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -77,10 +80,11 @@ def corruptions(spark, sf_dir):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = clip_stats(spark, sf_dir)
+    """Statistics and rewards are stored, as a pair takes its reward record several times."""
+    st = storage.table(clip_stats(spark, sf_dir), "clip-stats")
     none = F.lit(None).cast("string")
     s = st.select("sample_id", none.alias("prompt_path"), none.alias("poses_path"), none.alias("intrinsics_path"), F.concat(F.lit("/v/"), "sample_id").alias("video_path"), F.array().cast("array<string>").alias("quality_flags"))
-    return P.pairs(R.score(st), s)
+    return P.pairs(storage.table(R.score(st), "rewards"), s)
 
 
 PAIRS_SQL = STATS_SQL + """, p AS (SELECT 'pair_' || substr(sha1(sample_id || k), 1, 12) AS pair_id, sample_id, k AS corruption, total, frz, total - greatest(0, total - 0.35) AS margin
@@ -93,9 +97,37 @@ def pairs(spark, sf_dir):
                                         F.round("margin", 6).alias("margin"), F.round("loser.reward.reward_total", 6).alias("loser_total"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT pair_id FROM p WHERE margin >= 0.2 AND total >= 0.45 AND frz <= 0.4")
+@query(f"WITH {PAIRS_SQL} SELECT pair_id FROM p WHERE margin >= 0.2 AND total >= 0.45 AND frz <= 0.4 AND CAST(sample_id AS BIGINT) % 5 NOT IN (1, 3)")
 def anchored_pairs(spark, sf_dir):
-    return P.anchored(_pairs(spark, sf_dir), 0.2, 0.45, 0.4).select("pair_id")
+    """Pairs fit for training; of every five samples one's pairs lack the key of the flags, and one's the loser's video."""
+    p = _pairs(spark, sf_dir)
+    k = F.regexp_extract("winner.video", r"(\d+)", 1).cast("long") % 5
+    keys = [F.when(k != 1, 1).alias(c) if c == "quality_flags" else F.lit(1).alias(c) for c in PAIR_FIELDS if c not in ("winner", "loser")]
+    raw = F.to_json(F.struct(*keys, F.struct(F.lit("v").alias("video")).alias("winner"), F.struct(F.when(k != 3, "v").alias("video"), F.lit("s").alias("source")).alias("loser")))
+    return P.anchored(p.withColumn("raw", raw), 0.2, 0.45, 0.4, "raw").select("pair_id")
+
+
+@query(f"""WITH {STATS_SQL}, y AS (SELECT *, CASE WHEN CAST(sample_id AS BIGINT) % 4 = 0 THEN CAST(CAST(sample_id AS BIGINT) + 1 AS VARCHAR) ELSE sample_id END AS of FROM st)
+SELECT y.sample_id, round(CASE WHEN o.np > 0 THEN greatest(0, least(1, exp(-(o.x - o.m) / 0.2))) ELSE 0.0 END, 6) AS bg, y.of AS scored FROM y LEFT JOIN st o ON o.sample_id = y.of""")
+def candidate_scores(spark, sf_dir):
+    """Samples of which every fourth has a candidate's video, that of the next clip; the weights come from a configuration."""
+    st = storage.table(clip_stats(spark, sf_dir), "clip-stats")
+    i = F.col("sample_id").cast("long")
+    known = ["source", "template", "camera_motion", "has_id_mask", "id_path", "translation_total"]
+    s = st.select("sample_id", *known, F.col("sample_id").alias("video_path"), F.when(i % 4 == 0, (i + 1).cast("string")).when(i % 4 == 1, "").alias("generated"))
+    out = R.score_batch(s, st.withColumnRenamed("sample_id", "video_path").drop(*known), {"reward_weights": {"bg": 2.0}}, "generated")
+    scored = F.when(i % 4 == 0, (i + 1).cast("string")).otherwise(F.col("sample_id"))
+    return out.filter(F.col("weights")["bg"] == 2.0).select("sample_id", F.round("components.bg.score", 6).alias("bg"), scored.alias("scored"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS a, o_orderkey % 4 = 0 AS b FROM orders)
+SELECT o_orderkey, CASE WHEN a THEN 'missing:margin' ELSE '' END || CASE WHEN a AND b THEN ',' ELSE '' END || CASE WHEN b THEN 'missing:winner.video' ELSE '' END AS errors FROM p""")
+def pair_errors(spark, sf_dir):
+    """What the raw texts of pairs lack."""
+    k = F.col("o_orderkey")
+    keys = [F.when(k % 3 != 0, 1).alias(c) if c == "margin" else F.lit(1).alias(c) for c in PAIR_FIELDS if c not in ("winner", "loser")]
+    raw = F.to_json(F.struct(*keys, F.struct(F.when(k % 4 != 0, "v").alias("video"), F.lit("s").alias("source")).alias("winner"), F.struct(F.lit("v").alias("video")).alias("loser")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(M.pair_errors(raw), ",").alias("errors"))
 
 
 @query("SELECT o_orderkey AS pair_id FROM orders WHERE o_orderstatus = 'F' AND o_totalprice / 100000 >= 0.1")

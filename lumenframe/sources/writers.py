@@ -2,43 +2,65 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from lumenframe.functions import expr as E
+
+
+def counted(df: DataFrame, write: Callable[[DataFrame], None], **more: Column) -> Row:
+    """Write ``df`` once and return ``n``, its number of rows, and ``more`` aggregates, which are taken while it is written."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]))
+    return Row(**seen.get)
+
 
 def write_jsonl(df: DataFrame, path: str, dry_run: bool = False) -> int:
     """JSON lines with the keys in order; returns the number of rows.  A dry run only counts."""
-    if not dry_run:
-        df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(path)
-        return df.sparkSession.read.text(path).count()
-    return df.count()
+    if dry_run:
+        return df.count()
+    return counted(df.select(*sorted(df.columns)), lambda d: d.write.option("ignoreNullFields", False).json(path)).n
 
 
 def write_csv_rows(df: DataFrame, path: str, columns: list[str], dry_run: bool = False) -> int:
-    """CSV with a header and these columns in this order."""
-    if not dry_run:
-        df.select(*columns).write.option("header", True).csv(path)
-    return df.count()
+    """CSV with a header and these columns in this order; returns the number of rows."""
+    if dry_run:
+        return df.count()
+    return counted(df.select(*columns), lambda d: d.write.option("header", True).csv(path)).n
+
+
+#: The splits of a manifest.
+SPLITS = ["train", "val", "test", "reobserve", "camera_only", "static_camera_physics", "moving_camera_physics", "stress"]
 
 
 def write_splits(df: DataFrame, path: str, dry_run: bool = False) -> dict[str, int]:
-    """A folder of JSON lines for each value of ``split``; returns the counts."""
-    if not dry_run:
-        df.write.partitionBy("split").json(path)
-    return {r.split: r.n for r in df.groupBy("split").agg(F.count("*").alias("n")).orderBy("split").collect()}  # a row for each split
+    """A folder of JSON lines for each value of ``split``; returns the counts of those that have rows."""
+    by_split = lambda d: {r.split: r.n for r in d.groupBy("split").agg(F.count("*").alias("n")).orderBy("split").collect()}  # noqa: E731  a row for each split
+    if dry_run:
+        return by_split(df)
+    own = {f"s{i}": F.count_if(F.col("split") == s) for i, s in enumerate(SPLITS)}
+    seen = counted(df, lambda d: d.write.partitionBy("split").json(path), **own)
+    counts = {s: seen[f"s{i}"] for i, s in enumerate(SPLITS) if seen[f"s{i}"]}
+    return counts if sum(counts.values()) == seen.n else by_split(df)
 
 
-def write_json_document(value: object, path: str) -> None:
+def write_json_document(value: object, path: str, dry_run: bool = False) -> None:
     """A small document, written by the driver with its keys in order."""
+    if dry_run:
+        return
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
 
 
-def write_config(value: dict, path: str) -> None:
+def write_config(value: dict, path: str, dry_run: bool = False) -> None:
     """A small YAML document, written by the driver; JSON, which YAML readers take, without a YAML library."""
+    if dry_run:
+        return None
     try:
         import yaml
     except ImportError:
@@ -65,3 +87,29 @@ def calibration_report(overall: dict, by_corruption: DataFrame, least: float = 0
     if (overall["win_rate"] or 0.0) < least:
         lines.append(f"- WARNING: the win rate is below {least}")
     return "\n".join([*lines, "", markdown_table(by_corruption), ""])
+
+
+# Columns of the summary over all models, and which way each metric is better.
+SUMMARY_COLUMNS = {"pmf": "PMF \u2191", "psnr": "PSNR \u2191", "ssim": "SSIM \u2191", "lpips": "LPIPS \u2193", "fvd": "FVD \u2193"}
+DIRECTIONS = {"pmf": "higher", "psnr": "higher", "ssim": "higher", "lpips": "lower", "fvd": "lower"}
+
+
+def summary_table(models: DataFrame) -> DataFrame:
+    """Method and the metrics of each model (model, pmf, psnr, ssim, lpips, fvd), rounded to four digits, blank where there is no number."""
+    return models.select(F.col("model").alias("Method"), *[E.round_or_blank(F.col(m)).alias(label) for m, label in SUMMARY_COLUMNS.items()])
+
+
+def write_final_summary(models: DataFrame, folder: str, dry_run: bool = False, **about: str) -> dict:
+    """metrics_summary.csv, .md and .json of a few models in ``folder``, by the driver; returns the JSON document."""
+    rows = models.collect()  # a row for each model
+    table = summary_table(models).collect()
+    summary = {"metrics_mode": "physinone", "directions": DIRECTIONS, **about, "rows": [r.asDict() for r in rows]}
+    if not dry_run:
+        head = ["Method", *SUMMARY_COLUMNS.values()]
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        with open(f"{folder}/metrics_summary.csv", "w", encoding="utf-8", newline="") as f:
+            csv.writer(f).writerows([head, *map(list, table)])
+        lines = ["| " + " | ".join(cells) + " |" for cells in (head, ["---"] * len(head), *map(list, table))]
+        Path(f"{folder}/metrics_summary.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        write_json_document(summary, f"{folder}/metrics_summary.json")
+    return summary

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -14,23 +16,57 @@ def clip_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
-def once_per_key(stream: DataFrame, key: str, ok: str | None = None) -> DataFrame:
-    """The first good row of each key; rows that failed aren't remembered, so a later one of the key counts."""
+def once_per_key(stream: DataFrame, key: str, ok: str | None = None, time: str | None = None, horizon: str | None = None) -> DataFrame:
+    """The first good row of each key; rows that failed aren't remembered, so a later one of the key counts.
+
+    Keys are remembered for good, so the state grows with their number.  With ``time`` and ``horizon`` a key is forgotten
+    when event time is past it by the horizon, and the state is bounded by the keys of that span.
+    """
     good = stream.filter(F.coalesce(F.col(ok), F.lit(False))) if ok else stream
+    if time and horizon:
+        return good.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
     return good.dropDuplicates([key])
 
 
+def each_alone(rows: DataFrame, score: Callable[[dict], dict], columns: str) -> DataFrame:
+    """``rows`` with ``columns`` (a DDL) as ``score`` gives them for each row, and ``ok`` and ``error``.
+
+    A row that ``score`` fails on has nulls, ``ok`` false and the error's text, and the others go on.
+    """
+    names = [f.name for f in T.StructType.fromDDL(columns).fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                try:
+                    given = score(row)
+                    out.append([*(given.get(n) for n in names), True, None])
+                except Exception as e:  # whatever a scorer raises belongs to its row
+                    out.append([*(None for _ in names), False, f"{type(e).__name__}: {e}"])
+            yield b.assign(**{n: [o[i] for o in out] for i, n in enumerate([*names, "ok", "error"])})
+
+    given = T.StructType.fromDDL(f"{columns}, ok boolean, error string")
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *given.fields]))
+
+
+def reports_due(before: int, after: int, every: int) -> list[int]:
+    """The multiples of ``every`` that a count has reached on its way from ``before`` to ``after``, all of them."""
+    return list(range((before // every + 1) * every, after + 1, every))
+
+
 def rolling(stream: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Count and means so far, rewritten as a whole on each batch."""
     return stream.groupBy(*by).agg(F.count("*").alias("processed"), *[F.avg(m).alias(m) for m in metrics])
 
 
-def score_arrivals(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str, poll: str | None = None) -> StreamingQuery:
+def score_arrivals(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str, poll: str | None = None, every: int = 0) -> StreamingQuery:
     """Score each arriving clip and append the good ones to ``out``; what is there already isn't scored again.
 
     ``score`` adds a column ``ok``; every row is scored, and one good row of a clip is kept.  Rows of clips without a good
     one go to ``_retry`` in ``out`` and are scored again with the next batch.  A repeated batch overwrites its
-    own folders, so no clip is written twice.  Without ``poll`` the query ends when all files are read.
+    own folders, so no clip is written twice.  Without ``poll`` the query ends when all files are read.  With ``every``
+    each batch writes a row (processed) to ``_reports`` for every multiple that the number of scored clips has passed.
     """
     spark = stream.sparkSession
 
@@ -46,6 +82,12 @@ def score_arrivals(stream: DataFrame, score: Callable[[DataFrame], DataFrame], o
         again.write.mode("overwrite").parquet(f"{out}/_retry/batch={number}")
         good.write.mode("overwrite").parquet(f"{out}/batch={number}")
         scored.unpersist()
+        if every:
+            stored = lambda names: spark.read.parquet(*[f"{out}/{p}" for p in names]).count() if names else 0  # noqa: E731  from the files' footers
+            before = stored(done)
+            due = reports_due(before, before + stored([f"batch={number}"]), every)
+            if due:
+                spark.createDataFrame([(n,) for n in due], "processed long").write.mode("overwrite").parquet(f"{out}/_reports/batch={number}")
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()

@@ -191,11 +191,105 @@ def test_actions_of_a_quarter_turn(spark):
     assert got["a", 1].forward == 2.0 and got["b", 0].yaw == 0.0 and abs(got["c", 0].yaw) == pytest.approx(3.1415927)
 
 
-def test_frustum(spark):
-    pts = [(0.0, 0, 0), (-1, -1, 2), (1, -1, 2), (1, 1, 2), (-1, 1, 2)]
-    m = C.frustum_pose([[F.lit(float(x)) for x in p] for p in pts])
-    got = spark.range(1).select(F.array(*[F.array(*r) for r in m]).alias("m")).first().m
-    assert got == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+FRUSTUM = [(0, 0, 0), (1, 1, 2), (-1, 1, 2), (-1, -1, 2), (1, -1, 2), (0, 0, 0)]
+
+
+def drawn(spark, six, seven, eight, place=(0, 0, 0)):
+    points = [list(map(float, p)) for p in (place, *FRUSTUM[1:], six, seven, eight)]
+    return C.frustum_poses(spark.createDataFrame([(points,)], "points array<array<double>>"))
+
+
+def test_frustum_axes_come_from_the_last_three_points(spark):
+    m = drawn(spark, (1, 0, 0), (0, 1, 0), (0, 0, 1)).first().m
+    assert [[round(v, 9) + 0.0 for v in r] for r in m] == [[1, 0, 0, 0], [0, -1, 0, 0], [0, 0, -1, 0], [0, 0, 0, 1]]
+    m = drawn(spark, (3, 2, 5), (1.5, 4, 5), (1, 2, 1), (1, 2, 5)).first().m
+    assert [[round(v, 9) + 0.0 for v in r] for r in m] == [[1, 0, 0, 1], [0, 1, 0, 2], [0, 0, 1, 5], [0, 0, 0, 1]]
+
+
+def test_frustum_without_length_is_an_error(spark):
+    with pytest.raises(Exception, match="without direction"):
+        drawn(spark, (0, 0, 1e-9), (0, 1, 0), (0, 0, 1)).collect()
+
+
+def test_red_cameras_do_not_count(spark):
+    rows = [("z", g, p, float(x), float(y), float(z), 255, 0 if g == 1 else 9, 0) for g in range(3) for p, (x, y, z) in enumerate([(g, 0, 0), *FRUSTUM[1:], (g + 1, 0, 0), (g, 1, 0), (g, 0, -1)])]
+    points = spark.createDataFrame(rows, "zip string, camera int, point int, x double, y double, z double, r int, g int, b int")
+    names = lambda *n: spark.createDataFrame([("z", x) for x in n], "zip string, camera string")
+    got = {r.camera: r.m[0][3] for r in C.camera_poses(points, names("CineCamera_10", "CineCamera_9"), "zip").collect()}
+    assert got == {"CineCamera_9": 0.0, "CineCamera_10": 2.0}
+    with pytest.raises(Exception, match="counts differ"):
+        C.camera_poses(points, names("CineCamera_1", "CineCamera_2", "CineCamera_3"), "zip").collect()
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=5000), [1.0] * 900 + [2.0] * 100, [5.0], [1e-300, 1e300, 3.0, 3.0], rng.integers(0, 4, 777).astype(float)):
+        df = spark.createDataFrame([(float(v), None) for v in values] + [(None, None), (float("nan"), None)], "a double, b double")
+        got = C.action_scale(df, ["a", "b"]).first()
+        assert got.a == pytest.approx(max(1e-6, float(np.percentile(np.abs(values), 95))), rel=1e-12) and got.b == 1e-6
+    assert C.action_scale(df.limit(0), ["a"]).first().a == 1e-6
+
+
+def test_percentiles_look_at_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELLS", 3)
+    df = spark.range(1000).select((F.col("id") * F.col("id")).cast("double").alias("a"))
+    assert C.values_at(df, {"a": lambda n: [0, 1, n // 2, n - 1]}) == {"a": [0.0, 1.0, 500.0**2, 999.0**2]}
+
+
+def test_pairs_without_fields_are_not_anchored(spark):
+    raw = spark.createDataFrame([('{"pair_id":1,"condition":{},"winner":{"video":"a"},"loser":{"video":"b"},"pair_type":"t","margin":1,"quality_flags":[]}',),
+                                 ('{"pair_id":1,"winner":{"video":"a"},"loser":{"video":"b"},"pair_type":"t","margin":1,"quality_flags":[]}',)], "raw string")
+    reward = F.struct(F.lit(0.5).alias("reward_total"), F.struct(F.struct(F.lit(0.0).alias("penalty")).alias("freeze")).alias("components"))
+    p = raw.select("raw", F.lit(1.0).alias("margin"), F.struct(F.lit("a").alias("video"), reward.alias("reward")).alias("winner"), F.struct(F.lit("b").alias("video")).alias("loser"))
+    assert P.anchored(p, raw="raw").count() == 1
+    with pytest.raises(ValueError, match="condition"):
+        P.anchored(p)
+
+
+def test_absent_keys_and_nulls_count_apart(spark):
+    s = spark.createDataFrame([('{"source":null}', None), ('{"source":"a"}', "a"), ("{}", None)], "raw string, source string")
+    assert {(r.value, r.n) for r in M.marginals(s, ["source"], "missing", "raw").collect()} == {(None, 1), ("a", 1), ("missing", 1)}
+    assert {(r.field, r.value, r.n) for r in M.marginals(s, ["source", "other"], "unknown").collect()} == {("source", None, 2), ("source", "a", 1), ("other", "unknown", 3)}
+
+
+def test_final_summary_files(spark, tmp_path):
+    import csv
+    import json
+
+    m = spark.createDataFrame([("base", 1.0, 2.0, None, 0.12345, float("inf"))], "model string, pmf double, psnr double, ssim double, lpips double, fvd double")
+    writers.write_final_summary(m, str(tmp_path / "q"), manifest_path="m.jsonl")
+    rows = list(csv.reader(open(tmp_path / "q" / "metrics_summary.csv", encoding="utf-8")))
+    assert rows[1] == ["base", "1.0", "2.0", "", "0.1235", ""] and (tmp_path / "q" / "metrics_summary.md").read_text(encoding="utf-8").count("\n") == 3
+    assert json.load(open(tmp_path / "q" / "metrics_summary.json"))["manifest_path"] == "m.jsonl"
+    writers.write_final_summary(m, str(tmp_path / "dry"), dry_run=True)
+    assert not (tmp_path / "dry").exists()
+
+
+def test_reports_catch_up(spark, tmp_path):
+    from lumenframe.streaming import progress as S
+
+    assert S.reports_due(0, 9, 10) == [] and S.reports_due(9, 31, 10) == [10, 20, 30] and S.reports_due(10, 10, 10) == []
+    inp, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for start, stop in ((0, 7), (7, 26)):
+        spark.range(start, stop).selectExpr("cast(id as string) clip").coalesce(1).write.mode("append").parquet(inp)
+        S.score_arrivals(S.clip_stream(spark, inp, "clip string"), lambda d: d.withColumn("ok", F.lit(True)), out, str(tmp_path / "ck"), "clip", every=10).awaitTermination()
+    assert sorted(r.processed for r in spark.read.parquet(f"{out}/_reports/batch=*").collect()) == [10, 20]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from lumenframe import storage
+
+    class Conf(dict):
+        get = lambda self, k, d=None: dict.get(self, k, d)
+
+    context = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: Conf()})()
+    session = type("S", (), {"conf": Conf(), "sparkContext": context})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(session)
+    session.conf[storage.SETTING] = "hdfs:///x/"
+    assert storage.shared_dir(session) == "hdfs:///x"
 
 
 def test_psnr_of_equal_clips_is_infinite(spark):

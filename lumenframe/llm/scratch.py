@@ -1,43 +1,5 @@
-"""Tables and files that several stages share, kept under ``spark.checkpoint.dir``."""
+"""Tables and files that several stages share; see ``lumenframe.storage``."""
 
-from __future__ import annotations
+from lumenframe.storage import new_path, partitions, shared_dir, table
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Where the setting is missing (local runs and
-    tests) a fresh temporary folder is set for the session.
-    """
-    path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
-        spark.conf.set(SETTING, path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one run of one operator."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    The lineage ends here: a lost executor costs only the tasks that read these files again.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    """Reducers that the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+__all__ = ["new_path", "partitions", "shared_dir", "table"]

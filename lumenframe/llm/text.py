@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,3 +49,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(ends):
         return np.zeros(0, np.int64)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
+
+
+class Remembered:
+    """What has been made of texts, up to a number of bytes; then it starts anew.  Long texts aren't remembered."""
+
+    def __init__(self, most: int = 64 << 20, longest: int = 256) -> None:
+        self.most, self.longest, self.held, self.known = most, longest, 0, {}
+
+    def parts(self, values: list[str], made: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """The bytes of each of the distinct values; those that aren't known are made, in one go."""
+        if self.held > self.most:
+            self.known, self.held = {}, 0
+        out = list(map(self.known.get, values))
+        new = [i for i, p in enumerate(out) if p is None]
+        for i, p in zip(new, made([values[i] for i in new]), strict=True):
+            out[i] = p
+            if len(values[i]) <= self.longest:
+                self.known[values[i]] = p
+                self.held += 200 + 4 * len(values[i]) + len(p)  # objects and table too
+        return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lumenframe.llm import lzprint, packing, pieces, scratch, secrets, simhash, substring, tokenfile, tokens, toxicity, urlfilter
-from lumenframe.llm.exact_dedup import directory, drop_copies, exact_dedup
+from lumenframe.llm.exact_dedup import directory, drop_copies, exact_dedup, routed
 from tests.llm.common import DOCS, WORD, clashing, odd_rows, random_docs
 
 
@@ -63,12 +63,35 @@ def test_exact_dedup(spark, odd):
     assert drop_copies(clashing(odd)).count() == len(groups)
 
 
-def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(2000).select(F.xxhash64("id").alias("key"))
-    rows = directory(keys, 100).collect()
-    held = keys.join(spark.createDataFrame(rows), F.shiftrightunsigned("key", 52).cast("int") == F.col("slot")).groupBy("bucket").count().collect()
-    assert sum(r["count"] for r in held) == 2000 and max(r["count"] for r in held) <= 100 and len(held) > 16
-    assert len({r.bucket for r in directory(keys, 10_000).collect()}) == 1
+@pytest.mark.parametrize("shift", [0, 20, 40])
+def test_directory_splits_overfull_buckets(spark, shift):
+    """Keys that share their first ``shift`` bits fill few slots, whose buckets are split below the slots."""
+    keys = spark.range(2000).select(F.shiftrightunsigned(F.xxhash64("id"), shift).alias("key"))
+    found = directory(keys, 20, 100)
+    rows = routed(keys, found).groupBy("bucket", "owner").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    unsigned = lambda x: x % (1 << 64)
+    assert sum(r.n for r in rows) == 2000 and max(r.n for r in rows) <= 100 and len(rows) == len({r.bucket for r in rows}) > 16
+    rows.sort(key=lambda r: unsigned(r.bucket))
+    assert [r.owner for r in rows] == sorted(r.owner for r in rows) and len({r.owner for r in rows}) in (range(10, 21) if not shift else range(1, 21))
+    assert len({r.bucket for r in routed(keys, directory(keys, 20, 10_000)).select("bucket").distinct().collect()}) == 1
+
+
+def test_another_directory_gives_other_routes_and_the_same_rows(spark):
+    rows = [(i, f"text {i % 150}", "en", "s", None) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    few, many = (sorted(exact_dedup(df, capacity=c).collect(), key=str) for c in (1000, 2))
+    assert few == many and sum(r.kept for r in few) == 150
+    keys = df.select(F.xxhash64("text").alias("key")).distinct()
+    routes = [{(r.bucket, r.owner) for r in routed(keys, directory(keys, 8, c)).collect()} for c in (1000, 2)]
+    assert len(routes[0]) == 1 and len(routes[1]) > 70
+
+
+def test_hot_texts_are_merged_under_salts(spark, monkeypatch):
+    monkeypatch.setattr("lumenframe.llm.exact_dedup.LEAST_HOT", 10)
+    rows = [(i if i % 3 else None, "the same" if i % 3 < 2 else f"text {i}", "en", "s", None) for i in range(300)]
+    got = exact_dedup(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    same = [r for r in got if r.group_size > 1]
+    assert len(same) == 200 and {r.group_size for r in same} == {200} and {r.keep_id for r in same} == {1} and sum(r.kept for r in got) == 101
 
 
 def test_secret_base_kinds(spark, odd):

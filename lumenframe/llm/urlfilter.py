@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenframe.llm import scratch
-
-#: Days in a time bucket: an interval is laid into each bucket that it meets, so a capture meets few.
-BUCKET_DAYS = 32
-#: Copies of each interval, over which the captures of a key and bucket are spread.
-SALTS = 16
+from lumenframe.llm.skew import HOT_SHARE, LEAST_HOT, hot_keys, join_hot
 
 
 def host_of(url: Column) -> Column:
@@ -41,23 +37,21 @@ def keys_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>"))))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """Validity intervals key, since, until (open at the end) of ``entries`` (key, action, since).
+def changes(entries: DataFrame) -> DataFrame:
+    """Days on which a key's state changes, from ``entries`` (key, action, since): key, since, on.
 
-    An ``add`` holds from its date until the key's next entry that isn't an ``add``; equal dates count as one entry,
-    where an ``add`` wins.  Hosts count in lower case, paths as they are.  Rows with a null key or date, or an unknown action, don't count.
+    An ``add`` holds from its date until the key's next entry that isn't an ``add``; equal dates count as one entry, where
+    an ``add`` wins.  So the validity intervals of a key run from each ``on`` to the row after it.  Hosts count in lower case,
+    paths as they are.  Rows with a null key, an unknown action, or a date that is null or can't be read, don't count.
+    A key has at most one row a day, however many entries it has.
     """
-    known = entries.filter(F.col("key").isNotNull() & F.col("since").isNotNull() & F.col("action").isin("add", "remove"))
+    since = F.col("since").try_cast("date")
+    known = entries.filter(F.col("key").isNotNull() & since.isNotNull() & F.col("action").isin("add", "remove"))
     host = F.regexp_extract("key", r"^([^/]*)", 1)
     key = F.concat(F.lower(host), F.regexp_extract("key", r"(?s)^[^/]*(.*)$", 1))
-    one = known.groupBy(key.alias("key"), F.col("since").cast("date").alias("since")).agg(F.max(F.col("action") == "add").alias("on"))
-    by_key = Window.partitionBy("key").orderBy("since")
-    change = one.withColumn("was", F.lag("on").over(by_key)).filter(~F.col("on").eqNullSafe(F.col("was")))
-    return change.withColumn("until", F.lead("since").over(by_key)).filter("`on`").select("key", "since", "until")
-
-
-def bucket(day: Column) -> Column:
-    return F.floor(F.unix_date(day) / BUCKET_DAYS).cast("int")
+    one = known.groupBy(key.alias("key"), since.alias("since")).agg(F.max(F.col("action") == "add").alias("on"))
+    was = F.coalesce(F.lag("on").over(Window.partitionBy("key").orderBy("since")), F.lit(False))
+    return one.withColumn("was", was).filter(F.col("on") != F.col("was")).drop("was")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
@@ -65,26 +59,29 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
 
     Returns the id, host, fetched (date), blocked, n_active (active entries that name the URL), matched_key
     (the longest of them, of equally long ones the greatest) and listed_since (its date).  An entry names a URL
-    by its host, a parent domain, or the host with a leading part of the path.  A URL without a host, or
-    a null URL or date, is not blocked.  Rows that repeat an id are rows of their own; empty tables give
-    no row, or no match.  Only ids, URLs and dates are read.
+    by its host, a parent domain, or the host with a leading part of the path.  A URL without a host, a null URL, and
+    a date that is null or can't be read (fetched is null then) are not blocked.  Rows that repeat an id are rows of their own;
+    empty tables give no row, or no match.  Only ids, URLs and dates are read.
 
-    Keys, time bucket and salt are the join key, so a host or entry with a third of all captures is spread
-    over buckets and SALTS tasks; nothing is broadcast by hint.
+    The as-of join lays captures and changes of a key in one order of days, and each capture takes the last change before or on
+    its day.  Nothing depends on how far days lie apart.  Keys with more than 1/HOT_SHARE of all lookups are split into so many
+    parts that none is larger; their changes (one a day at most) go to each part.
     """
-    plain = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(fetched_col).cast("date").alias("fetched"))
+    plain = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(fetched_col).try_cast("date").alias("fetched"))
     held = scratch.table(plain.withColumn("uid", F.monotonically_increasing_id()), "captures")
-    asked = held.filter(F.col("host").isNotNull() & F.col("fetched").isNotNull()).select(
-        "uid", "fetched", F.explode(keys_of(F.col("host"), F.col("path"))).alias("key"))
-    asked = asked.withColumn("bucket", bucket(F.col("fetched"))).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    last = held.agg(F.max("fetched")).first()[0]
-    dated = intervals(entries).filter(F.col("since") <= F.lit(last))
-    end = F.least(F.coalesce(F.date_sub("until", 1), F.lit(last)), F.lit(last))
-    laid = dated.withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(end))))
-    laid = laid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    active = (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    met = asked.join(laid, ["key", "bucket", "salt"]).filter(active)
-    of_row = met.groupBy("uid").agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("key").alias("n"), "key", "since")).alias("m"))
+    listed = scratch.table(changes(entries), "list-changes")
+    asked = held.filter(F.col("host").isNotNull() & F.col("fetched").isNotNull()).select("uid", F.col("fetched").alias("day"), F.explode(keys_of(F.col("host"), F.col("path"))).alias("key"))
+    uses = scratch.table(asked.groupBy("key").agg(F.count("*").alias("n")), "list-uses")
+    named = uses.join(listed.select("key").distinct(), "key", "left_semi")
+    most = max((uses.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE, LEAST_HOT)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    left = join_hot(asked, named, "key", "n", "uid", hot=hot_keys(uses, "key", "n")).select(
+        "key", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"), "day", F.lit(1).alias("is_capture"), "uid", F.lit(None).cast("struct<on:boolean,since:date>").alias("change"))
+    right = listed.join(named, "key").select(
+        "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("since").alias("day"), F.lit(0).alias("is_capture"), F.lit(None).cast("long").alias("uid"), F.struct("on", "since").alias("change"))
+    order = Window.partitionBy("key", "part").orderBy("day", "is_capture").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = left.unionByName(right).withColumn("last", F.last("change", True).over(order)).filter("is_capture = 1 AND last.on")
+    of_row = met.groupBy("uid").agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("key").alias("n"), "key", F.col("last.since").alias("since"))).alias("m"))
     out = held.join(of_row, "uid", "left")
     return out.select(F.col("id").alias(id_col), "host", "fetched", F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).alias("n_active"),
                       F.col("m.key").alias("matched_key"), F.col("m.since").alias("listed_since"))

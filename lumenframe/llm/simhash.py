@@ -15,14 +15,14 @@ from xxhash import xxh64_intdigest
 from lumenframe.llm import scratch
 from lumenframe.llm import text as T
 from lumenframe.llm.components import components
-from lumenframe.llm.skew import join_hot
+from lumenframe.llm.skew import hot_keys, join_hot
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 #: The 64 bits are cut into RADIUS + 2 blocks: RADIUS differing bits leave at least two blocks as they are.
 BLOCKS = 4
-#: Members above which a shard has no tree; its fingerprints are linked by their one-bit neighbours.
+#: Members above which a shard is split by further blocks.
 LARGEST_TREE = 512
 
 
@@ -115,55 +115,72 @@ def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def shard_keys(fp: Column) -> Column:
-    """The shards of a fingerprint: for every two blocks, the fingerprint with all other bits cleared."""
-    width = 64 // BLOCKS
-    masks = []
-    for pair in combinations(range(BLOCKS), 2):
-        mask = sum(((1 << width) - 1) << (width * b) for b in pair)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    return F.array(*[F.struct(F.lit(i).alias("pair"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+def finer(mask: int) -> list[int]:
+    """The masks of the shards that a shard is split into: its free bits are cut into BLOCKS blocks, of which any two are fixed too."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    width = len(free) // BLOCKS
+    blocks = [sum(1 << b for b in free[i * width : (i + 1) * width]) for i in range(BLOCKS)]
+    return [mask | a | b for a, b in combinations(blocks, 2)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sharded(rows: DataFrame, masks: Column) -> DataFrame:
+    """``fp``, ``mask``, ``shard`` for each of the masks of each row: members of a shard agree in the bits of its mask."""
+    out = rows.select("fp", F.explode(masks).alias("mask"))
+    return out.withColumn("shard", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
 
 
 def links(fps: DataFrame, largest: int = LARGEST_TREE) -> DataFrame:
     """Edges a, b among the distinct fingerprints of ``fps`` that join all within RADIUS bits.
 
-    Fingerprints within the radius share two blocks, so they meet in the shard of that pair and value.  Each
-    shard of two to ``largest`` members is a BK-tree.  In larger shards every fingerprint is sent to
-    itself and its 64 one-bit neighbours instead: two that differ in at most two bits meet there, and
-    at most 65 ever meet, so no task gets a large group.
+    Fingerprints within the radius differ in at most two of four blocks, so they meet in the shard of two blocks that are equal, and
+    every shard is a BK-tree.  A shard of more than ``largest`` members is split in the same way by its free bits: 32 are free
+    at first, then 16, then 8, where a shard has at most 256 members.  So any two within the radius meet in a tree, and no tree is large.
     """
-    shards = fps.select("fp", F.explode(shard_keys(F.col("fp"))).alias("s")).select("fp", "s.pair", "s.key")
-    sizes = shards.groupBy("pair", "key").agg(F.count("*").alias("n"))
-    large = scratch.table(sizes.filter(F.col("n") > largest).select("pair", "key"), "large-shards")
-    parts = scratch.partitions(fps.sparkSession)
-    dealt = shards.join(large, ["pair", "key"], "left_anti").repartition(parts, "pair", "key").sortWithinPartitions("pair", "key", "fp")
+    masks, shards, found = [0], fps, None
+    while (free := 64 - masks[0].bit_count()) > 8:
+        below = {m: finer(m) for m in masks}
+        lists = F.create_map(*[c for m, own in below.items() for c in (F.lit(signed(m)), F.array(*[F.lit(signed(x)) for x in own]))])
+        shards = sharded(shards, F.element_at(lists, F.col("mask") if "mask" in shards.columns else F.lit(0).cast("long")))
+        masks = [x for own in below.values() for x in own]
+        if free <= 16:  # at most 256 members each
+            return tree_pairs(shards) if found is None else found.unionByName(tree_pairs(shards))
+        sizes = scratch.table(shards.groupBy("shard").agg(F.count("*").alias("n")), "simhash-shards")
+        large = sizes.filter(F.col("n") > largest)
+        told = join_hot(shards, large, "shard", "n", "fp", "left", hot_keys(sizes, "shard", "n"))
+        pairs = tree_pairs(told.filter("n IS NULL"))
+        found = pairs if found is None else found.unionByName(pairs)
+        if not large.limit(1).count():
+            break
+        shards = scratch.table(told.filter("n IS NOT NULL").drop("n", "shard"), "simhash-large")
+    return found
+
+
+def tree_pairs(shards: DataFrame) -> DataFrame:
+    """Edges a, b of each shard (fp, shard), found with its BK-tree."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for last, b in with_last(batches):
-            cols = [b.column(c).to_numpy() for c in ("pair", "key", "fp")]
+            cols = [b.column(c).to_numpy() for c in ("shard", "fp")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-            starts = np.concatenate([[0], change])
-            ends = np.concatenate([change, [len(cols[2])]])
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(cols[0]) != 0) + 1])
+            ends = np.concatenate([starts[1:], [len(cols[0])]])
             if not last:
                 rest = [c[starts[-1] :] for c in cols]
                 starts, ends = starts[:-1], ends[:-1]
             found: list[tuple[int, int]] = []
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                found += tree_links(cols[2][s:e].view(np.uint64).tolist(), RADIUS)
+                found += tree_links(cols[1][s:e].view(np.uint64).tolist(), RADIUS)
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    by_tree = dealt.mapInArrow(search, "a long, b long")
-    crowded = shards.join(large, ["pair", "key"], "left_semi").select("fp").distinct()
-    flips = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)]]
-    met = crowded.select("fp", F.explode(F.array(*flips)).alias("at"))
-    least = met.groupBy("at").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
-    by_flip = least.select("a", F.explode("all").alias("b")).filter("a <> b")
-    return by_tree.unionByName(by_flip)
+    dealt = shards.select("shard", "fp").repartition(scratch.partitions(shards.sparkSession), "shard").sortWithinPartitions("shard", "fp")
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:

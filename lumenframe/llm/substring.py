@@ -3,14 +3,17 @@
 The word sequences of all documents are cut into non-overlapping reference blocks of BLOCK words, the
 index.  Every rolling window of BLOCK words probes it.  A repeated window of WINDOW >= 2 * BLOCK - 1 words
 always holds a whole block of its earlier place, so the words around hits are the only candidates; hits
-are extended to all windows of WINDOW words that hold one, and those are compared in full by hash, which
-gives the maximal exact repeats.  Hashes travel packed: one row for each slice of texts and owner of a
-hash range, so neither pairs nor groups are ever formed.
+are extended to all windows of WINDOW words that hold one, and those are compared by 128 bits made from two
+independent hashes of each word, which gives the maximal exact repeats.  (Among 10^13 windows the chance that any two different
+ones agree in all bits is below 10^-12.)  Hashes travel packed: one row for each slice of texts and owner of a
+hash range, so neither pairs nor groups are ever formed.  Owners grow in number with the bytes of text, so what a
+task holds at one time is bounded, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -20,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from lumenframe.llm import scratch
 from lumenframe.llm import text as T
@@ -28,6 +31,10 @@ from lumenframe.llm import text as T
 WINDOW = 20
 BLOCK = 10
 
+#: Bytes of text for each reducer at most, and owners for each reducer.
+TASK_BYTES = 32 << 20
+OWNERS = 8
+
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -55,11 +62,21 @@ def rolling(values: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, and the offsets of each text."""
+    """Two 64-bit hashes of each word of all texts, and the offsets of each text."""
     flat, bounds = T.words(texts)
     codes, distinct = T.coded(flat)
-    hashes = np.fromiter((xxh64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
-    return (hashes[codes] if len(codes) else np.zeros(0, np.uint64)), bounds
+    hashes = np.frombuffer(b"".join(map(xxh3_128_digest, distinct.to_pylist())), "<u8").reshape(-1, 2)
+    return (hashes[codes] if len(codes) else np.zeros((0, 2), np.uint64)), bounds
+
+
+def first_places(hashes: np.ndarray) -> np.ndarray:
+    """Whether each row of two hashes is the first of its kind."""
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    ordered = hashes[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)]) if len(order) else np.zeros(0, bool)
+    first = np.zeros(len(hashes), bool)
+    first[order[new]] = True
+    return first
 
 
 def starts_of(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +148,7 @@ def anchors(rows: DataFrame, owners: int) -> DataFrame:
         for b in T.slices(batches):
             values, bounds = word_hashes(b.column("text"))
             at, inside = starts_of(bounds, BLOCK)
-            hashes = rolling(values, BLOCK, BASES[0])[at]
+            hashes = rolling(values[:, 0], BLOCK, BASES[0])[at]
             first, rest, of_rest = told_apart(hashes)
             block = inside % BLOCK == 0
             indexed = np.zeros(len(first), bool)  # a block is among the places of the hash
@@ -298,14 +315,12 @@ def candidates(marked: DataFrame, owners: int) -> DataFrame:
             near = [near_hits(np.frombuffer(h, "<u4").astype(np.int64), n) + a
                     for h, n, a in zip(b.column("hits").to_pylist(), np.diff(bounds).tolist(), bounds[:-1].tolist(), strict=True)]
             at = np.concatenate([*near, np.zeros(0, np.int64)])
-            hashes = rolling(values, WINDOW, BASES[0])[at] if len(at) else np.zeros(0, np.uint64)
-            routes = rolling(values, WINDOW, BASES[1])[at] % np.uint64(owners) if len(at) else hashes
-            _, first = np.unique(hashes, return_index=True)  # the first place of each
-            again = np.ones(len(at), bool)
-            again[first] = False
+            hashes = np.stack([rolling(values[:, k], WINDOW, BASES[k])[at] if len(at) else np.zeros(0, np.uint64) for k in (0, 1)], 1)
+            again = ~first_places(hashes)
             source = b.column("uid")[0].as_py()
+            sent = hashes[~again]
             out = [(o, source, w, None, None, h, a, None) for o, w, _, _, h, a in
-                   packed(routes[~again], at[~again], hashes[~again], np.zeros(int((~again).sum()), bool), owners)]
+                   packed(sent[:, 1] % np.uint64(owners), at[~again], sent, np.zeros(len(sent), bool), owners)]
             docs = pa.RecordBatch.from_arrays([b.column("uid"), pa.array(bounds[:-1]), pa.array(np.diff(bounds))], ["uid", "first", "n"])
             out.append((source % owners, source, True, None, None, None, put(at[again], True), as_bytes(docs)))
             yield arrow(out, PACKED_NAMES, PACKED_TYPES)
@@ -335,11 +350,8 @@ def repeats(sent: DataFrame, parts: int) -> DataFrame:
             out = [(r["source"], True, r["at"], r["docs"]) for r in rows if r["docs"] is not None]
             rows = sorted((r for r in rows if r["docs"] is None), key=lambda r: r["source"])
             if rows:
-                hashes = [np.frombuffer(r["hash"], np.uint64) for r in rows]
-                flat = np.concatenate(hashes)
-                _, first = np.unique(flat, return_index=True)  # the least index: sources and places ascend
-                later = np.ones(len(flat), bool)
-                later[first] = False
+                hashes = [np.frombuffer(r["hash"], np.uint64).reshape(-1, 2) for r in rows]
+                later = ~first_places(np.concatenate(hashes))  # sources and places ascend
                 ends = np.cumsum([len(h) for h in hashes]).tolist()
                 for r, a, b in zip(rows, [0, *ends], ends, strict=False):
                     if later[a:b].any():
@@ -379,11 +391,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and empty texts have no words.  With ``with_text`` the kept words are returned too, as ``kept_text``.
     An empty table gives an empty result.
     """
-    parts = scratch.partitions(df.sparkSession)
-    owners = 2 * parts
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
+    parts = max(scratch.partitions(df.sparkSession), math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / TASK_BYTES))
+    owners = OWNERS * parts
     marks = scratch.table(per_document(hits(anchors(rows, owners), parts), parts, id_type), "substring-anchors")
     docs = with_hits(rows, marks, parts, id_type, with_text)
     marked = docs.filter("hits IS NOT NULL").select("uid", "id", "z", "hits")

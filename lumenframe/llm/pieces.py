@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: What an unknown character costs below the worst piece.
 PENALTY = 10.0
-REMEMBERED = 300_000
+#: Ids that are decoded at one time.
+DECODED = 1 << 20
 
 
 def default_model() -> str:
@@ -58,7 +60,8 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values()) - PENALTY
         self.letters = {c for p in self.score for c in p}
-        self.known: dict[str, bytes] = {}
+        self.piece_chars = [len(d.decode("utf-8", "replace")) for d in self.data]
+        self.known = T.Remembered()
         lengths = np.array([len(d) for d in self.data])
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
         self.pool = np.frombuffer(b"".join(self.data), np.uint8)
@@ -75,59 +78,75 @@ class Pieces:
 
         The sorted words are the leaves of their trie in depth-first order: going from one word to the next, the
         best scores of all ends in the common prefix stay, and only ends after it are searched.
+        Scores and best last pieces lie in arrays of 12 bytes for each character, so a text without spaces is searched, too.
         """
-        score, longest = self.score, self.longest
-        best, back, before = [0.0], [(0, -1)], ""
+        score, longest, of_piece = self.score, self.longest, self.piece_chars
+        best, last, before = array("d", [0.0]), array("i", [-1]), ""
         for word in sorted(words):
-            n, common = len(word), 0
-            for a, b in zip(word, before, strict=False):
-                if a != b:
-                    break
-                common += 1
-            del best[common + 1 :], back[common + 1 :]
+            n, common = len(word), common_prefix(word, before)
+            del best[common + 1 :], last[common + 1 :]
             for end in range(common + 1, n + 1):
-                top, start = best[end - 1] + self.unknown, (end - 1, -1)
+                top, piece = best[end - 1] + self.unknown, -1
                 for begin in range(max(0, end - longest), end):
                     found = score.get(word[begin:end])
                     if found is not None and best[begin] + found[0] > top:
-                        top, start = best[begin] + found[0], (begin, found[1])
+                        top, piece = best[begin] + found[0], found[1]
                 best.append(top)
-                back.append(start)
-            ids: list[int] = []
+                last.append(piece)
+            ids = array("I")
             at = n
             while at:
-                begin, piece = back[at]
+                piece = last[at]
                 if piece < 0:
-                    ids += reversed([int(self.byte_id[x]) for x in word[begin:at].encode()])
+                    at -= 1
+                    ids.extend(reversed([int(self.byte_id[x]) for x in word[at].encode()]))
                 else:
                     ids.append(piece)
-                at = begin
+                    at -= of_piece[piece]
+            ids.reverse()
             before = word
-            yield word, np.array(ids[::-1], "<u4").tobytes()
+            yield word, ids.tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text."""
         chunks, bounds = marked_words(texts)
         codes, distinct = T.coded(chunks)
-        values = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parts = list(map(self.known.get, values))
-        place = {values[i]: i for i, p in enumerate(parts) if p is None}
-        for word, ids in self.search(list(place)):
-            parts[place[word]] = self.known[word] = ids
+        parts = self.known.parts(distinct.to_pylist(), self.ids_of)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         of_word = lengths[codes] if len(codes) else np.zeros(0, np.int64)
         pool = np.frombuffer(b"".join(parts), "<u4")
         ids = pool[T.ragged((np.cumsum(lengths) - lengths)[codes], of_word)] if len(codes) else pool
         return ids, np.concatenate([[0], np.cumsum(of_word)])[bounds]
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, in their order."""
+        found = dict(self.search(words))
+        return [found[w] for w in words]
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The texts of the runs of ids, as bytes."""
-        n = self.lengths[ids]
-        flat = self.pool[T.ragged(self.starts[ids], n)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(n)])[bounds].tolist()
-        return [flat[a + 1 : b] if b > a else b"" for a, b in zip(ends, ends[1:], strict=False)]
+        flat = []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            flat.append(self.pool[T.ragged(self.starts[part], self.lengths[part])].tobytes())
+        text = b"".join(flat)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])[bounds].tolist()
+        return [text[a + 1 : b] if b > a else b"" for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def common_prefix(a: str, b: str) -> int:
+    """Characters that two words begin with alike."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 32:  # the first difference lies in [low, n)
+        middle = (low + n) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            n = middle
+    return next(i for i in range(low, n) if a[i] != b[i])
 
 
 def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -12,8 +12,6 @@ import pyarrow.compute as pc
 
 from lumenframe.llm import text as T
 
-#: Chunks, and words, that a worker remembers the ids of; then it starts anew.
-REMEMBERED = 300_000
 #: Chunks that are a word of plain letters and marks after it.
 SIMPLE, MARKS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]*$", ".,;:!?"
 
@@ -49,8 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.names = byte_names()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = T.Remembered(), T.Remembered()
         whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         for text in ("Ab 'c", "d\n\n <|endoftext|>x\t9", " \r\n"):
             if whole(text) != [i for w in text.split() for i in whole(w)]:
@@ -69,14 +66,9 @@ class Encoder:
         named = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
 
-    def _parts(self, values: list[str], known: dict[str, bytes], made: Callable[[list[str]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all values in a row, and how many each has; those that aren't known are made."""
-        if len(known) > REMEMBERED:
-            known.clear()
-        parts = list(map(known.get, values))
-        new = [i for i, p in enumerate(parts) if p is None]
-        for i, p in zip(new, made([values[i] for i in new]), strict=True):
-            parts[i] = known[values[i]] = p
+    def _parts(self, values: list[str], known: T.Remembered, made: Callable[[list[str]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all values in a row, and how many each has."""
+        parts = known.parts(values, made)
         return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
     def _wholly(self, values: list[str]) -> Iterable[bytes]:

@@ -55,12 +55,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def loose_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Tokens with both letters and digits and much entropy that touch no base span."""
-    found = []
+    found, at, covered = [], 0, 0  # covered: where the base spans that start before a token end
     for m in LOOSE.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            covered, at = max(covered, base[at][2]), at + 1
         value = m[0]
-        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and entropy(value) >= LEAST_ENTROPY:
-            if not any(a < m.end() and m.start() < b for a, _, b, _ in base):
-                found.append((m.start(), 3, m.end(), value))
+        if covered <= m.start() and re.search("[0-9]", value) and re.search("[A-Za-z]", value) and entropy(value) >= LEAST_ENTROPY:
+            found.append((m.start(), 3, m.end(), value))
     return found
 
 

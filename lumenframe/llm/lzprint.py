@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
@@ -15,8 +16,8 @@ from lumenframe.llm import scratch
 
 #: Least phrase hashes that a signature keeps; the likeness has a standard error of about 0.5 / sqrt(SIGNATURE).
 SIGNATURE = 128
-#: Ranges of ids for each reducer.
-RANGES = 8
+#: Ranges of ids for each reducer, and how many there are at most.
+RANGES, MOST_RANGES = 8, 1 << 14
 
 
 def parse(data: bytes, at: int, seen: set[bytes], found: list[bytes]) -> int:
@@ -103,6 +104,18 @@ class Parsed:
         return self.text[: len(self.text) - self.third] + ending, self._ending(ending, set(self.phrases))
 
 
+def range_of(value: Column, cuts: list, kind: str) -> Column:
+    """How many of the ascending cuts are no greater than the value: first which run of cuts, then the place in the run."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts)) + 1
+    runs = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    below = lambda held: F.size(F.filter(held, lambda c: c <= value))
+    run = below(F.lit([r[0] for r in runs]).cast(f"array<{kind}>")) - 1
+    within = below(F.get(F.array(*[F.lit(r).cast(f"array<{kind}>") for r in runs]), run))
+    return F.when(run < 0, 0).otherwise(run * width + within)
+
+
 def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text and its edited form, a row for each document.
 
@@ -119,17 +132,16 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = df.schema[id_col].dataType.simpleString()
     parts = scratch.partitions(spark)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = min(4096, RANGES * parts)
-    cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    held = F.lit(sorted(set(cuts))).cast(f"array<{id_type}>") if cuts else F.array().cast(f"array<{id_type}>")
-    bucket = F.coalesce(F.size(F.filter(held, lambda c: c <= F.col("id"))), F.lit(-1))
-    placed = rows.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(bucket))
+    ranges = min(MOST_RANGES, RANGES * parts)
+    cuts = sorted(set(rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
+    placed = rows.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(range_of(F.col("id"), cuts, id_type)))
     tops = sorted(placed.groupBy("bucket").agg(F.max("id").alias("top")).collect())  # a row for each range
     if not tops:
         return spark.createDataFrame([], f"{id_col} {id_type}, {RESULT}")
-    follows = {b: tops[(i + 1) % len(tops)][0] for i, (b, _) in enumerate(tops)}
-    lead = F.create_map(*[F.lit(x) for b, top in tops for x in (b, top)])
-    guest = F.when(F.col("id").eqNullSafe(F.try_element_at(lead, F.col("bucket"))), F.try_element_at(F.create_map(*[F.lit(x) for b in follows for x in (b, follows[b])]), F.col("bucket")))
+    edges = [(b, top, tops[(i + 1) % len(tops)][0]) for i, (b, top) in enumerate(tops)]
+    edges = F.broadcast(spark.createDataFrame(edges, f"bucket int, top {id_type}, guest int"))  # at most MOST_RANGES + 1 rows
+    placed = placed.join(edges, "bucket")
+    guest = F.when(F.col("id").eqNullSafe(F.col("top")), F.col("guest"))
     copies = F.array_compact(F.array(
         F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")),
         F.when(guest.isNotNull(), F.struct(guest.alias("to"), F.lit(True).alias("guest")))))

@@ -239,7 +239,7 @@ def counter_text(counts: DataFrame, by: list[str], key: str = "key", n: str = "n
 
 
 def scalar_metrics(payload: Column) -> Column:
-    """The numbers of a metric record in JSON, by name; lists, objects and text go."""
+    """The numbers of a metric record in JSON, by name; lists, objects and other text go."""
     held = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
     return F.transform_values(F.map_filter(held, lambda k, v: v.try_cast("double").isNotNull()), lambda k, v: v.cast("double"))
 

@@ -18,6 +18,7 @@ SAMPLE_DEFAULTS = {"has_moving_camera": False, "has_depth": False, "has_id_mask"
 SOURCES = ["phyinone", "movingcam_synthetic"]
 CHECKED_PATHS = ["video_path", "hdf5_path", "poses_path", "intrinsics_path", "prompt_path"]
 
+# The layout of a reward record.
 COMPONENT = "struct<score:double,status:string>"
 REWARD_DDL = (
     "sample_id string, reward_total double, reward_raw double, weights map<string,double>, "
@@ -34,6 +35,7 @@ CLIP_COLUMNS = [
     "control_type",
 ]
 ACTION_COLUMNS = ["action_source", "action_channels", "action_scale_forward", "action_scale_strafe", "action_scale_yaw", "action_scale_pitch"]
+# Columns of metric tables and logs, and of cleanup candidates.
 METRIC_COLUMNS = ["clip_name", "clip_path", "prompt", "reference_videopath", "candidate_videopath", "psnr", "ssim", "lpips"]
 PHYSICS_METRICS = ["compare_frame_count", "mse_mean", "spatiotemporal_iou_mean", "spatial_iou", "weighted_spatial_iou", "physics_iq_style_score"]
 METRIC_LOG_DDL = "time double, step bigint, payload string"

@@ -263,7 +263,7 @@ def hdf5_keys(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def decode_frames(files: DataFrame, max_frames: int = 16, stride: int = 1, size: tuple[int, int] | None = None, required: bool = False) -> DataFrame:
-    """path, frame, width, height, gray_mean, blur, brightness, saturation, gray of each decoded frame.
+    """path, frame, width, height, gray_mean, blur, brightness, saturation, pixels of each decoded frame.
 
     Needs OpenCV on the executors; a file that can't be read has no row, or is an error if ``required``.
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +18,8 @@ from lumenframe.llm import scratch
 from lumenframe.llm import text as T
 from lumenframe.llm.tokens import Encoder, default_tokenizer
 
+#: Bytes of text for each file at most, about; small inputs have a file for each reducer.
+FILE_BYTES = 256 << 20
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH = 2048
 BATCH = 128
@@ -106,7 +110,8 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     id_type = df.schema[id_col].dataType.simpleString()
     path = tokenizer or default_tokenizer()
     ids = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ids.repartitionByRange(scratch.partitions(spark), "id").sortWithinPartitions("id", "text")
+    files = max(scratch.partitions(spark), math.ceil((ids.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / FILE_BYTES))
+    ordered = ids.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = Encoder.of(path), TaskContext.get()
@@ -137,12 +142,10 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
 def read_tokens(index: DataFrame) -> DataFrame:
     """Read the files of an index back: id, start (ids of all documents before), n_tokens, ids_crc32."""
     sizes = sorted(index.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each file
-    before, total = {}, 0
-    for part, n in sizes:
-        before[part] = total
-        total += n
+    before = list(itertools.accumulate((n for _, n in sizes), initial=0))
+    offsets = index.sparkSession.createDataFrame([(part, at) for (part, _), at in zip(sizes, before, strict=False)], "part long, before long")
     id_type = index.schema["id"].dataType.simpleString()
-    dealt = index.repartition(scratch.partitions(index.sparkSession), "part").sortWithinPartitions("part", "start")
+    dealt = index.join(offsets, "part").repartition(max(scratch.partitions(index.sparkSession), len(sizes)), "part").sortWithinPartitions("part", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
@@ -152,9 +155,8 @@ def read_tokens(index: DataFrame) -> DataFrame:
                 if path != name:
                     name, file = path, SequenceFile(path)
                 crc.append(zlib.crc32(file.ids(start, n).astype("<u4")))
-            first = np.array([before[p] for p in b.column("part").to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(first + b.column("start").to_numpy()), b.column("n_tokens"), pa.array(crc, pa.int64())],
+                [b.column("id"), pa.array(b.column("before").to_numpy() + b.column("start").to_numpy()), b.column("n_tokens"), pa.array(crc, pa.int64())],
                 ["id", "start", "n_tokens", "ids_crc32"])
 
     return dealt.mapInArrow(read, f"id {id_type}, start long, n_tokens long, ids_crc32 long")

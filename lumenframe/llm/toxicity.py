@@ -51,6 +51,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def nn_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both parts of the risk from the scores of positive and unlabelled rows: prior * E+[l(z)], and Eu[l(-z)] - prior * E+[l(-z)], which isn't below 0 for a true prior."""
+    toxic, clean = (lambda p: -np.log(np.maximum(p, 1e-12))), (lambda p: -np.log1p(-np.minimum(p, 1 - 1e-12)))
+    return prior * toxic(zp).mean(), clean(zu).mean() - prior * clean(zp).mean()
+
+
+def nn_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What to follow by the margins of positive and unlabelled rows: the risk's gradient, or that of the second part backwards where it is negative."""
+    if nn_risk(zp, zu, prior)[1] >= 0:
+        return np.full(len(zp), -prior / len(zp)), zu / len(zu)
+    return prior * zp / len(zp), -zu / len(zu)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """Weights and constant that minimise the non-negative risk with the logistic loss.
 
@@ -70,14 +83,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     pos, unl = pick(positive), pick(unlabelled)
     w, b = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
     z = [(np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(r) for r in rows])])) for rows in (pos, unl)]
-    loss = lambda p: -np.log1p(-np.minimum(p, 1 - 1e-12))  # noqa: E731  l(-z)
     moments = np.zeros((2, len(kept) + 1))
     for t in range(1, STEPS + 1):
         zp, zu = (sigmoid(margins(i, e, w, b)) for i, e in z)
-        if loss(zu).mean() >= prior * loss(zp).mean():
-            gp, gu = np.full(len(zp), -prior / len(zp)), zu / len(zu)
-        else:
-            gp, gu = prior * zp / len(zp), -zu / len(zu)
+        gp, gu = nn_gradient(zp, zu, prior)
         g = np.append(DECAY * w, gp.sum() + gu.sum())
         for (i, e), own in zip(z, (gp, gu), strict=True):
             g[:-1] += np.bincount(i, np.repeat(own, np.diff(e)), len(kept))
@@ -177,7 +186,11 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that aren't predicted toxic, with the columns of ``df``."""
+    """The rows of ``df`` that aren't predicted toxic, with the columns of ``df``.
+
+    Null and empty texts have the constant's score, rows that repeat others go or stay with them, null ids count as any other, and
+    without a confirmed toxic row, or without rows, nothing goes.
+    """
     model = fit(df, labels, id_col, text_col)
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     plain = df.toDF(*names.values())

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh32_intdigest, xxh64_intdigest
 
 from lumenframe.llm import lzprint, packing, pieces, scratch, secrets, simhash, substring, tokenfile, tokens, toxicity, urlfilter
 from lumenframe.llm.exact_dedup import directory, drop_copies, exact_dedup, routed
@@ -107,6 +107,21 @@ def test_short_assignments_use_up_their_text():
     assert secrets.base_spans("ſecret=abcdefgh1") == []
 
 
+def test_repositories_of_one_owner_make_an_example_too(spark):
+    few, many = "Zk93hQpL72mXvB10sTqW", "Ab12Cd34Ef56Gh78Ij90"
+    rows = [(i, f"see {many} ok", None, f"one/r{i}", None) for i in range(3)] + [(5 + i, f"see {few} ok", None, f"two/r{i}", None) for i in range(2)]
+    got = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i].spans == "" and got[i].n_example == 1 for i in range(3)) and all(got[i].spans == "owned:4:24" and got[i].n_live == 1 for i in (5, 6))
+
+
+def test_loose_tokens_touch_no_base_span():
+    text = " ".join(f"token=abcdefgh{i}Xy9 Zk93hQpL72mXvB10s{i:03d} AKIA{'B' * 16}/Zk93hQpL72mXv{i:04d}" for i in range(300))
+    base = secrets.base_spans(text)
+    plain = [(m.start(), 3, m.end(), m[0]) for m in secrets.LOOSE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and secrets.entropy(m[0]) >= secrets.LEAST_ENTROPY
+             and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+    assert secrets.loose_spans(text, base) == plain and len(plain) == 300
+
+
 def test_ownership_tells_examples_from_live_keys(spark):
     live, example = "Zk93hQpL72mXvB10sTqW", "Ab12Cd34Ef56Gh78Ij90"
     rows = [(i, f"see {example} ok", None, f"owner{i}/r", None) for i in range(4)] + [(9, f"my {live}", None, "owner9/r", None)]
@@ -131,6 +146,53 @@ def test_lz_parse():
     assert more == found
 
 
+def plain_phrases(data):
+    """The phrases of an LZ78 parse, a trie walk for each."""
+    trie, found, at = {}, set(), 0
+    while at < len(data):
+        node, start = trie, at
+        while at < len(data) and data[at] in node:
+            node, at = node[data[at]], at + 1
+        if at == len(data):
+            break
+        node[data[at]] = {}
+        at += 1
+        found.add(data[start:at])
+    return found
+
+
+def plain_signature(text):
+    return sorted({xxh32_intdigest(p) for p in plain_phrases(text.encode())})[: lzprint.SIGNATURE]
+
+
+def plain_likeness(a, b):
+    union = sorted({*a, *b})[: lzprint.SIGNATURE]
+    return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+
+def test_lz_likeness_equals_a_plain_version(spark):
+    rows = [r for r in odd_rows() if r[0] is not None][:14] + [(100 + i, t, None, None, None) for i, (_, t, *_) in enumerate(random_docs(6, 60))]
+    got = {r.doc_id: r for r in lzprint.neighbour_fingerprints(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    between = 0
+    for r, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        t, x = r[1] or "", nxt[1] or ""
+        k = len(t) // 3
+        own, edited, other = (set(plain_signature(v)) for v in (t, t[: len(t) - k] + x[:k], x))
+        g = got[r[0]]
+        assert g.fingerprint == "".join(f"{h:08x}" for h in sorted(own)) and g.edited_fingerprint == "".join(f"{h:08x}" for h in sorted(edited))
+        assert (g.near_edited, g.near_next) == pytest.approx((plain_likeness(own, edited), plain_likeness(own, other)), abs=1e-12)
+        between += 0 < g.near_next < 1
+    assert between > 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 200])
+def test_ranges_of_ids(spark, n):
+    cuts = [3 * i for i in range(n)]
+    got = spark.range(-2, 3 * n + 2).select("id", lzprint.range_of(F.col("id"), cuts, "bigint").alias("r")).collect()
+    assert all(r.r == sum(c <= r.id for c in cuts) for r in got)
+
+
 def test_lz_neighbours(spark):
     rows = [r for r in odd_rows() if r[0] is not None][:14] + [(100 + i, t, None, None, None) for i, (_, t, *_) in enumerate(random_docs(5, 40))]
     got = {r.doc_id: r for r in lzprint.neighbour_fingerprints(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
@@ -215,6 +277,29 @@ def test_best_fit_takes_the_tightest_window():
     assert [fit.place(n) for n in (7, 6, 4, 3, 3, 2)] == [(0, 0), (1, 0), (1, 6), (0, 7), (2, 0), (2, 3)]
 
 
+def plain_best_fit(lengths, window):
+    """Rests in decreasing length into the window with the least room: the room that each window has in the end."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if not fits:
+            rooms.append(window)
+            fits = [len(rooms) - 1]
+        rooms[min(fits, key=lambda i: rooms[i])] -= n
+    return sorted(rooms)
+
+
+def test_packing_a_table_equals_plain_best_fit(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["a", "word", "of", "many"], rng.integers(0, 200))), "en", "s", None) for i in range(300)]
+    got = packing.pack(clashing(spark.createDataFrame(rows, DOCS).repartition(4)), window=64).collect()
+    used = collections.Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert sorted(64 - n for n in used.values()) == plain_best_fit([r.length for r in got], 64)
+    assert all(r.length == min(64, r.doc_tokens - r.start) and r.start % 64 == 0 for r in got) and len({r.doc_id for r in got}) == 300
+
+
 def test_packing(spark, odd):
     got = packing.pack(odd).collect()
     ids = collections.defaultdict(list)
@@ -235,6 +320,26 @@ def test_packing(spark, odd):
     assert sum(r.length for r in got) > 0.9 * packing.WINDOW * (len(places) - 1)
 
 
+@pytest.mark.parametrize("prior, negative", [(0.2, False), (0.9, True)])
+def test_non_negative_risk_and_its_gradient(prior, negative):
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=30)
+    plus, unl = slice(0, 10), slice(10, 30)
+    loss = lambda m: float(np.log1p(np.exp(-m)).mean())
+
+    def plain(z):
+        return prior * loss(z[plus]), loss(-z[unl]) - prior * loss(-z[plus])
+
+    if negative:
+        z[unl] -= 4
+    score = toxicity.sigmoid(z)
+    assert toxicity.nn_risk(score[plus], score[unl], prior) == pytest.approx(plain(z), rel=1e-9) and (plain(z)[1] < 0) == negative
+    followed = (lambda z: -plain(z)[1]) if negative else (lambda z: sum(plain(z)))
+    step = 1e-6 * np.eye(30)
+    numeric = [(followed(z + s) - followed(z - s)) / 2e-6 for s in step]
+    assert np.concatenate(toxicity.nn_gradient(score[plus], score[unl], prior)) == pytest.approx(numeric, abs=1e-6)
+
+
 def test_toxicity_learns_from_positives_and_unlabelled(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(200)]
@@ -308,6 +413,35 @@ def test_no_split_of_the_library_scores_better():
         assert library.decode(own) == library.decode(other) and score(own) >= score(other)
 
 
+def test_long_words_take_little_memory():
+    """A text without spaces is one word: 12 bytes a character for the search, and no cache holds it."""
+    import tracemalloc
+
+    p = pieces.Pieces.of(pieces.default_model())
+    text = "abcdefghij漢" * 30_000
+    tracemalloc.start()
+    ids, bounds = p.encode(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert p.decode(ids, bounds) == [text.encode()] and peak < 50 * len(text) and not any(len(w) > 300 for w in p.known.known)
+
+
+def test_caches_start_anew_when_full():
+    from lumenframe.llm.text import Remembered
+
+    held = Remembered(most=10_000, longest=5)
+    make = lambda new: [v.encode() for v in new]
+    for i in range(300):
+        assert held.parts([f"v{i}", "too long for it"], make) == [f"v{i}".encode(), b"too long for it"]
+    assert held.held < 11_000 and "too long for it" not in held.known and "v299" in held.known
+
+
+def test_common_prefix():
+    for a, b in (("", "x"), ("abc", "abd"), ("x" * 1000 + "a", "x" * 1000 + "b"), ("same", "same"), ("ab" * 500, "ab" * 400 + "b")):
+        n = pieces.common_prefix(a, b)
+        assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
 def test_round_trips_are_exact(spark, odd):
     got = pieces.round_trip(odd).collect()
     assert all(r.exact for r in got) and {r.n_pieces for r in got if r.doc_id in (0, 1)} == {0}

@@ -1,44 +1,131 @@
-"""The corpus pipeline on the smallest tables, stage by stage."""
+"""The corpus pipeline stage by stage, each on its own input, against plain versions."""
 
 import collections
+import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
+from tests.llm.common import DOCS, clashing, odd_rows
+from tests.llm.test_nearcopies import kept_of, shingles, similar_pairs
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def bare(text):
+    return re.sub(r"[\x20\x09-\x0D]", "", text or "")
+
+
+def kept_copies(rows):
+    """Ids that exact dedup keeps: of equal texts the longest, then the smallest id."""
+    groups = collections.defaultdict(list)
+    for doc_id, text in rows:
+        groups[bare(text)].append((-len(text or ""), doc_id))
+    return {min(g)[1] for g in groups.values()}
+
+
+def masked(text):
+    """Base secrets replaced; kinds that overlap are one run."""
+    from lumenframe.llm.secrets import MASK, base_spans
+
+    out, at = [], 0
+    for start, _, end, _ in base_spans(text):
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
-def test_stages_keep_the_columns_and_work_on_what_is_kept(spark):
-    from lumenframe.llm import scratch, secrets
+def tokens_of(texts):
+    from tokenizers import Tokenizer
+
+    from lumenframe.llm.tokens import default_tokenizer
+
+    t = Tokenizer.from_file(default_tokenizer())
+    return [[*e.ids, 2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_stages_do_what_plain_versions_do(spark):
+    from lumenframe.llm import scratch
+    from lumenframe.llm.packing import WINDOW
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r for r in docs.collect()}
         out = scratch.table(stage(spark, docs, SF), name)
-        before, after = ({r.doc_id for r in d.select("doc_id").collect()} for d in (docs, out))
-        assert after <= before
+        rows = out.collect()
+        after = {r.doc_id for r in rows}
         if k < 4:
-            assert out.columns == names
-        if name in ("secrets", "packing"):
-            assert after == before
+            assert out.columns == names and len(rows) == len(after)
+        if name in ("toxicity", "exact_dedup", "simhash"):
+            assert all(r == before[r.doc_id] for r in rows)
         if name == "exact_dedup":
-            texts = [r.text for r in out.collect()]
-            bare = collections.Counter("".join(t.split(" ")).replace("\n", "") for t in texts if t)
-            assert max(bare.values()) == 1
+            assert after == kept_copies([(i, r.text) for i, r in before.items()]) and len(after) < len(before)
+        if name == "simhash":
+            sets = {i: shingles(r.text) for i, r in before.items()}
+            assert after == kept_of(sets, similar_pairs(sets))
         if name == "secrets":
-            assert secrets.secret_scan(out).filter("n_assign + n_access + n_hex > 0").count() == 0
+            changed = 0
+            for r in rows:
+                text = before[r.doc_id].text
+                assert r.text is None if text is None else len(r.text) == r.n_chars
+                if text and not re.search(r"[A-Za-z0-9+/_-]{20,}", text):
+                    assert r.text == masked(text)
+                changed += r.text != text
+            assert after == set(before) and changed
+        if name == "packing":
+            ids = dict(zip(before, tokens_of([r.text for r in before.values()]), strict=True))
+            seen, room = collections.defaultdict(list), collections.defaultdict(list)
+            for r in rows:
+                part = ids[r.doc_id][r.start : r.start + r.length]
+                assert len(part) == r.length > 0 and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+                seen[r.doc_id].append((r.start, r.length))
+                room[r.sequence_id].append((r.offset, r.length))
+            gapless = lambda runs: all(a == sum(n for _, n in sorted(runs)[:i]) for i, (a, _) in enumerate(sorted(runs)))
+            assert set(seen) == set(ids) and all(gapless(v) and sum(n for _, n in v) == len(ids[i]) for i, v in seen.items())
+            assert all(gapless(v) and sum(n for _, n in v) <= WINDOW for v in room.values())
         docs = out
 
 
 def test_toxic_documents_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    kept = {r.doc_id for r in STAGES["toxicity"](spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
     marks = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()
     clean, toxic = ([i for i, y in marks if y == v] for v in (0, 1))
     assert sum(i in kept for i in clean) / len(clean) > 0.97 and sum(i not in kept for i in toxic) / len(toxic) > 0.5
 
 
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stages_take_empty_tables(spark, name):
+    out = STAGES[name](spark, spark.createDataFrame([], DOCS), SF)
+    assert out.count() == 0 and (name == "packing" or out.columns == DOCS.replace(",", "").split()[::2])
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stages_take_odd_rows_and_further_columns(spark, name):
+    rows = odd_rows()
+    df = clashing(spark.createDataFrame(rows, DOCS).repartition(3))
+    out = STAGES[name](spark, df, SF)
+    got = out.collect()
+    given = collections.Counter(r[0] for r in rows)
+    if name == "packing":
+        assert {r.doc_id for r in got} == set(given)
+        return
+    assert out.columns == df.columns
+    ids = collections.Counter(r.doc_id for r in got)
+    if name in ("toxicity", "secrets"):
+        assert ids == given
+    else:
+        assert all(n <= given[i] for i, n in ids.items())
+    if name == "exact_dedup":
+        assert len(got) == len({bare(r[1]) for r in rows})
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0

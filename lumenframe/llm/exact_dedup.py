@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,8 +17,8 @@ IGNORED = " \t\n\x0b\x0c\r"
 TOP = 12
 #: Entries (distinct keys) that a bucket holds at least and at most before it is split.
 SMALLEST, LARGEST = 64, 250_000
-#: Key ranges for each reducer.
-OWNERS = 8
+#: Characters of text for each reducer at most, about, and key ranges for each reducer.
+TASK_CHARS, OWNERS = 32 << 20, 8
 SALTS = 64
 
 
@@ -88,19 +90,18 @@ def routed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return placed.withColumns({"bucket": bucket, "owner": owner.cast("int")}).drop("slot", "depth", "owners")
 
 
-def build_index(texts: DataFrame, digests: DataFrame, found: DataFrame) -> DataFrame:
+def build_index(texts: DataFrame, digests: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """Index of the distinct texts: owner, bucket, key, chain, sha, keep_id, keep_chars, keep_uid, group_size.
 
     ``texts`` (key, norm, n, id) are dealt to the owners of their buckets, which compare texts of equal key by their bytes: texts that
     differ are chained, equal ones are one entry.  Keys with more than 1/HOT_SHARE of all rows (fewer than HOT_SHARE of them) are
     first merged under SALTS salts, so no owner gets all their rows.  ``digests`` (uid, id, n, key, sha) tell fully equal rows apart.
     """
-    spark = texts.sparkSession
     most = max(digests.count() / HOT_SHARE, LEAST_HOT)
     hot = digests.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > most).select("key", F.lit(True).alias("hot"))
     placed = routed(texts.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), found)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "n", F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(0).cast("int")
-    dealt = placed.withColumn("salt", salt).repartition(scratch.partitions(spark), "owner", "salt")
+    dealt = placed.withColumn("salt", salt).repartition(parts, "owner", "salt")
     keep = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), "id")).alias("keep")
     merged = dealt.groupBy("owner", "salt", "bucket", "key", "hot", "norm").agg(F.count("*").alias("group_size"), keep)
     some = scratch.table(merged.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("norm", F.when(F.col("hot"), F.col("norm"))).drop("salt"), "exact-merged")
@@ -125,13 +126,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     Keys and digests are made once and stored.  Texts move once, to the owners of their buckets; then the digests probe the index: the
     directory names a row's bucket, and its entry there has its key and digest.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"),
                      F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n"))
     rows = rows.withColumn("key", F.xxhash64("norm"))
     digests = scratch.table(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "n", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-digests")
-    found = directory(digests.select("key").distinct(), OWNERS * scratch.partitions(spark), capacity)
-    index = build_index(rows, digests, found)
+    parts = max(scratch.partitions(df.sparkSession), math.ceil((digests.agg(F.sum("n")).first()[0] or 0) / TASK_CHARS))
+    found = directory(digests.select("key").distinct(), OWNERS * parts, capacity)
+    index = build_index(rows, digests, found, parts)
     # Hot groups: fewer than HOT_SHARE by definition, so their list may be broadcast.
     most = max(digests.count() / HOT_SHARE, LEAST_HOT)
     hot = F.broadcast(index.filter(F.col("group_size") > most).select("key", "sha", F.lit(True).alias("hot")))

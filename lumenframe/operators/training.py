@@ -25,11 +25,16 @@ def noise_schedule(spark: SparkSession, steps: int = STEPS, shift: float = SHIFT
     return raw.select("idx", "sigma", "timestep", "branch", (F.col("w") / F.avg("w").over(every)).alias("weight"), (F.col("w") / F.avg("w").over(Window.partitionBy("branch"))).alias("branch_weight"))
 
 
-def sample_timesteps(df: DataFrame, schedule: DataFrame, branch: str, seed: int) -> DataFrame:
-    """A uniform index of the branch for each row, with its weight; repeats with the seed, not with other libraries' generators."""
+def sample_timesteps(df: DataFrame, schedule: DataFrame, branch: str, seed: int, key: str | None = None) -> DataFrame:
+    """A uniform index of the branch for each row, with its weight; other libraries' generators aren't repeated.
+
+    With ``key`` the index is a hash of the key and the seed, so it stays the same however the rows are dealt; without it the rows'
+    places count.
+    """
     picks = schedule.filter(F.col("branch") == branch).select(F.row_number().over(Window.partitionBy("branch").orderBy("idx")).alias("_k"), "idx", "sigma", F.col("branch_weight").alias("weight"))
     n = picks.count()
-    return df.withColumn("_k", (F.floor(F.rand(seed) * n) + 1).cast("int")).join(F.broadcast(picks), "_k").drop("_k")  # at most the schedule's steps
+    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(n, 1))) if key else F.floor(F.rand(seed) * n)
+    return df.withColumn("_k", (drawn + 1).cast("int")).join(F.broadcast(picks), "_k").drop("_k")  # at most the schedule's steps
 
 
 def noised(x: Column, noise: Column, sigma: Column) -> Column:

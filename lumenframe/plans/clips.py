@@ -134,3 +134,15 @@ def action_deltas(spark, sf_dir):
     m = F.array(F.array(F.cos(t), o, F.sin(t), v(2)), F.array(o, one, o, o), F.array(-F.sin(t), o, F.cos(t), v(3)), F.array(o, o, o, one))
     out = C.pose_actions(_vectors(spark, sf_dir).select("clip", "frame", m.alias("m")))
     return out.select("clip", "frame", *[(F.round(c, 4) + 0.0).alias(c) for c in ("forward", "strafe", "yaw", "pitch")])
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), w AS (SELECT conv_id, n, unnest(list_distinct(list_concat(range(0, greatest(n - 3, 0) + 1, 2), [greatest(n - 3, 0)]))) AS a FROM c),
+f AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, role FROM conversations)
+SELECT w.conv_id AS clip, a AS first, p AS place, f.frame, role FROM w, range(0, 3) r(p) JOIN f ON f.conv_id = w.conv_id AND f.frame = least(a + p, n - 1)""")
+def window_members(spark, sf_dir):
+    """The turns that each window of three takes."""
+    c = read(spark, sf_dir, "conversations")
+    f = c.select(F.col("conv_id").alias("clip"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("frame"), "role")
+    w = C.clip_windows(f.groupBy("clip").agg(F.count("*").alias("n")), 3, 2)
+    out = C.clip_members(w, f).join(w.select("clip", "window", F.col("start").alias("first")), ["clip", "window"])
+    return out.select("clip", *[F.col(x).cast("long").alias(x) for x in ("first", "place", "frame")], "role")

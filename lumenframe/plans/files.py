@@ -163,3 +163,24 @@ def known_outputs(spark, sf_dir):
     """Produced files that the manifest knows, with their row there."""
     done = read(spark, sf_dir, "labels").select("doc_id").distinct()
     return V.known(done, read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Camera_Poses' WHEN 1 THEN 'scene/camera_pose_world' WHEN 2 THEN 'poses' END AS poses, CASE s_suppkey % 4 WHEN 0 THEN 12 WHEN 1 THEN 7 WHEN 2 THEN 9 END AS n FROM supplier""")
+def key_choice(spark, sf_dir):
+    """The array of poses among the keys of a file: equal to a hint but for case, else containing one; and its length."""
+    k = F.col("s_suppkey") % 4
+    pairs = F.when(k == 0, F.create_map(F.lit("my_camera_pose"), F.lit(3), F.lit("Camera_Poses"), F.lit(12))).when(k == 1, F.create_map(F.lit("depth"), F.lit(5), F.lit("scene/camera_pose_world"), F.lit(7))).when(
+        k == 2, F.create_map(F.lit("x_camera_matrix"), F.lit(8), F.lit("poses"), F.lit(9))).otherwise(F.create_map(F.lit("other"), F.lit(1)))
+    f = read(spark, sf_dir, "supplier").select("s_suppkey", pairs.alias("m"))
+    best = M.best_key(F.map_keys("m"), ["camera_pose", "camera_poses", "poses", "camera_matrix"])
+    return f.select("s_suppkey", best.alias("poses"), F.try_element_at(F.col("m"), best).alias("n"))
+
+
+@query("SELECT r_name AS name, r_regionkey AS n FROM region UNION ALL SELECT 'absent', 7")
+def json_document(spark, sf_dir):
+    """A JSON document written and read, and the default of one that isn't there."""
+    path = storage.new_path(spark, "document")
+    r = read(spark, sf_dir, "region").select("r_name", "r_regionkey")
+    r.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "r_regionkey")))).alias("value")).write.text(path)  # five rows
+    whole = S.read_json_document(spark, path) | S.read_json_document(spark, f"{path}-none", {"absent": 7})
+    return spark.createDataFrame(list(whole.items()), "name string, n int")

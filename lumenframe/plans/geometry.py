@@ -133,3 +133,30 @@ def pose_records(spark, sf_dir):
     rows = S.camera_frames(read(spark, sf_dir, "embeddings").select("vec_id", text.alias("text")), "vec_id", "text")
     at = lambda i, j: F.get(F.get("m", F.lit(i)), F.lit(j))
     return rows.select("vec_id", F.col("frame").cast("long").alias("frame"), (F.round(at(0, 3), 4) + 0.0).alias("x"), at(3, 3).alias("one"))
+
+
+_TOKENS = "[[{0}[1:16], {0}[17:32]], [{0}[33:48], {0}[49:64]]]"
+_COS = "list_cosine_similarity({0}[{1}][{2}], {0}[{1}][{3}])"
+_SPATIAL = " + ".join(f"greatest(abs({_COS.format('s', f, i, j)} - {_COS.format('t', f, i, j)}) - 0.1, 0)" for f in (1, 2) for i in (1, 2) for j in (1, 2))
+_CENTRE = "list_transform(range(1, 17), lambda i: ({0}[{1}][1][i] / sqrt(list_dot_product({0}[{1}][1], {0}[{1}][1])) + {0}[{1}][2][i] / sqrt(list_dot_product({0}[{1}][2], {0}[{1}][2]))) / 2)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding::DOUBLE[]) AS b FROM embeddings), c AS (SELECT vec_id, {_TOKENS.format('a')} AS s, {_TOKENS.format('b')} AS t FROM v),
+m AS (SELECT *, list_dot_product({_CENTRE.format('s', 1)}, {_CENTRE.format('s', 2)}) AS x, list_dot_product({_CENTRE.format('t', 1)}, {_CENTRE.format('t', 2)}) AS y FROM c)
+SELECT vec_id, round(({_SPATIAL}) / 8, 6) AS spatial, round(greatest(abs(x - y) - 0.1, 0), 6) AS temporal FROM m""")
+def relation_losses(spark, sf_dir):
+    """Spatial and temporal relation losses of two frames of two tokens against those of the reversed vector."""
+    e = F.col("embedding")
+    clip = lambda c: F.array(*[F.array(*[F.slice(c, 32 * f + 16 * k + 1, 16) for k in (0, 1)]) for f in (0, 1)])
+    out = read(spark, sf_dir, "embeddings").select("vec_id", clip(e).alias("s"), clip(F.reverse(e)).alias("t")).withColumn("l", T.relation_loss(F.col("s"), F.col("t")))
+    return out.select("vec_id", F.round("l.spatial", 6).alias("spatial"), F.round("l.temporal", 6).alias("temporal"))
+
+
+@query("SELECT count(*) AS n, true AS in_branch, true AS same_again FROM embeddings")
+def drawn_timesteps(spark, sf_dir):
+    """A step of the low branch for each row: all of that branch, and the same ones for the same seed."""
+    e, schedule = read(spark, sf_dir, "embeddings").select("vec_id"), T.noise_schedule(spark)
+    a, b = (T.sample_timesteps(d, schedule, "low", 5, "vec_id") for d in (e, e.repartition(5)))
+    low = schedule.filter("branch = 'low'").select("idx", F.lit(True).alias("low"))
+    both = a.join(b.select("vec_id", F.col("idx").alias("again")), "vec_id").join(F.broadcast(low), "idx", "left")
+    return both.agg(F.count("*").alias("n"), F.bool_and(F.coalesce("low", F.lit(False))).alias("in_branch"), F.bool_and(F.col("idx") == F.col("again")).alias("same_again"))

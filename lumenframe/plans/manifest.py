@@ -255,3 +255,34 @@ def sample_notes(spark, sf_dir):
 def first_samples(spark, sf_dir):
     """The feature is a limit: the first thirty samples in order."""
     return M.first_rows(samples(spark, sf_dir), 30, "source", "sample_id").select("sample_id", "source")
+
+
+@query(f"""WITH s AS ({SAMPLES_SQL}), a AS (SELECT sample_id, source FROM s WHERE source = 'phyinone'), b AS (SELECT sample_id, source FROM s WHERE source = 'movingcam_synthetic'),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sample_id) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+SELECT sample_id, source, row_number() OVER (ORDER BY source, sample_id) AS place FROM n WHERE k <= 40""")
+def built_manifest(spark, sf_dir):
+    """Two scans of sources joined to one manifest in order (the feature is a limit of forty for each source); places are made on the eighty rows."""
+    s = samples(spark, sf_dir)
+    m = M.build_manifest([s.filter("source = 'phyinone'"), s.filter("source = 'movingcam_synthetic'").drop("fps")], 40).coalesce(1)
+    return m.select("sample_id", "source", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+@query("""SELECT CASE WHEN k = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN k = 0 THEN CAST(round_even(0.1 * n, 0) AS BIGINT) ELSE n - CAST(round_even(0.1 * n, 0) AS BIGINT) END AS n, true AS stable FROM (SELECT count(*) AS n FROM documents), range(0, 2) r(k)""")
+def shuffled_split(spark, sf_dir):
+    """A tenth of the rows by a seeded hash; the same seed gives the same rows however they are dealt."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    a = M.shuffle_split(d, "doc_id", 0.1, 7)
+    b = M.shuffle_split(d.repartition(5), "doc_id", 0.1, 7).withColumnRenamed("split", "other")
+    return a.join(b, "doc_id").groupBy("split").agg(F.count("*").alias("n"), F.bool_and(F.col("split") == F.col("other")).alias("stable"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN p_partkey % 2 = 0 THEN 'team' END AS entity, p_brand AS project,
+ CASE p_partkey % 3 WHEN 0 THEN 'blocks.w' WHEN 1 THEN 'blocks.w' ELSE 'head.w' END AS name, CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(p_size / 4.0::DOUBLE AS VARCHAR) END AS shown FROM part""")
+def text_rules(spark, sf_dir):
+    """Truth from words, targets, names of weights without prefixes, and rounded numbers."""
+    size, k = F.col("p_size"), F.col("p_partkey")
+    word = F.when(size % 3 == 0, F.when(k % 2 == 0, " Yes ").otherwise("on")).when(size % 3 == 1, F.when(k % 2 == 0, "").otherwise("OFF"))
+    target = E.split_target(F.when(k % 2 == 0, F.concat(F.lit("team/"), "p_brand")).otherwise(F.col("p_brand")))
+    names = E.strip_prefixes(F.create_map(F.when(k % 3 == 0, "module.blocks.w").when(k % 3 == 1, "pipe.dit.blocks.w").otherwise("head.w"), F.lit(1)), ["pipe.dit.", "module."])
+    shown = E.round_or_blank(F.when(size % 4 == 0, float("nan")).otherwise(size / 4.0))
+    return read(spark, sf_dir, "part").select("p_partkey", E.bool_from_text(word).alias("flag"), target["entity"].alias("entity"), target["project"].alias("project"), F.map_keys(names)[0].alias("name"), shown.alias("shown"))

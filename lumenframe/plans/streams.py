@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lumenframe import storage
 from lumenframe.plans.registry import query, read
 from lumenframe.streaming import progress as S
 
@@ -38,3 +39,11 @@ def stream_windows(spark, sf_dir):
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("v", 4).alias("v"))
 
 
+@query("SELECT event_type, count(*) AS scored, round(sum(value * 2), 4) AS total FROM events WHERE value >= 1 GROUP BY 1")
+def scored_arrivals(spark, sf_dir):
+    """Clips scored as they arrive; rows that fail (small values) wait for another try, the others are written once."""
+    out, state = storage.new_path(spark, "scores"), storage.new_path(spark, "scores-state")
+    rows = _stream(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    S.score_arrivals(rows, lambda d: d.withColumns({"score": F.col("value") * 2, "ok": F.col("value") >= 1}), out, state, "event_id", every=1000).awaitTermination()
+    done = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return done.groupBy("event_type").agg(F.count("*").alias("scored"), F.round(F.sum("score"), 4).alias("total"))

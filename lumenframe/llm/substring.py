@@ -31,9 +31,8 @@ from lumenframe.llm import text as T
 WINDOW = 20
 BLOCK = 10
 
-#: Bytes of text for each reducer at most, and owners for each reducer.
-TASK_BYTES = 32 << 20
-OWNERS = 8
+#: Bytes of text for each reducer and for each owner at most, about; there is an owner for each reducer at least.
+TASK_BYTES, OWNED_BYTES = 32 << 20, 4 << 20
 
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -394,8 +393,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
-    parts = max(scratch.partitions(df.sparkSession), math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / TASK_BYTES))
-    owners = OWNERS * parts
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(scratch.partitions(df.sparkSession), math.ceil(total / TASK_BYTES))
+    owners = max(parts, math.ceil(total / OWNED_BYTES))
     marks = scratch.table(per_document(hits(anchors(rows, owners), parts), parts, id_type), "substring-anchors")
     docs = with_hits(rows, marks, parts, id_type, with_text)
     marked = docs.filter("hits IS NOT NULL").select("uid", "id", "z", "hits")

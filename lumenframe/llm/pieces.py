@@ -1,4 +1,9 @@
-"""SentencePiece encoding by a Viterbi search that words with common prefixes share, and exact decoding."""
+"""SentencePiece encoding by a Viterbi search that words with common prefixes share, and exact decoding.
+
+What the best path to each end of a word is depends on the model.  A unigram model has scores that add up: the path with the greatest sum.
+A model of merges has ranks that don't: there a path is good where each two neighbours are what the merges make of
+their text, and exactly one path to each end is (it is the merges' own result), so the ids are the library's.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +28,10 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 PENALTY = 10.0
 #: Ids that are decoded at one time.
 DECODED = 1 << 20
+# Kinds of models in model files.
+UNIGRAM, MERGES = 1, 2
+#: Pairs of neighbours that a worker remembers the test of (some 100 bytes each); then it starts anew.
+MOST_PAIRS = 1 << 19
 
 
 def default_model() -> str:
@@ -36,7 +45,8 @@ class Pieces:
 
     _made: dict[str, "Pieces"] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: int | None = None) -> None:
+        """``kind`` is UNIGRAM or MERGES; the model file says which by default."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -44,6 +54,10 @@ class Pieces:
             model.ParseFromString(f.read())
         if model.normalizer_spec.name != "identity" or model.normalizer_spec.remove_extra_whitespaces or not model.normalizer_spec.add_dummy_prefix:
             raise ValueError("only models without normalisation and with a space before texts are known here")
+        self.kind = kind or model.trainer_spec.model_type
+        if self.kind not in (UNIGRAM, MERGES):
+            raise ValueError("only unigram models and models of merges are known here")
+        self.pairs: dict[int, bool] = {}
         self.score: dict[str, tuple[float, int]] = {}
         self.byte_id = np.zeros(256, np.uint32)
         self.data: list[bytes] = []
@@ -58,6 +72,12 @@ class Pieces:
                 if "\n" in plain or " " in plain.lstrip(" "):
                     raise ValueError("a piece crosses words")
         self.longest = max(map(len, self.score))
+        self.ids = {text: i for text, (_, i) in self.score.items()}
+        tails: dict[str, set[int]] = {}
+        for text in self.score:
+            if len(text) > 1:
+                tails.setdefault(text[-3:], {1, 2} if text[-2:] in self.score else {1}).add(len(text))
+        self.by_tail = {tail: tuple(sorted(lengths, reverse=True)) for tail, lengths in tails.items()}
         self.unknown = min(s for s, _ in self.score.values()) - PENALTY
         self.letters = {c for p in self.score for c in p}
         self.piece_chars = [len(d.decode("utf-8", "replace")) for d in self.data]
@@ -77,24 +97,18 @@ class Pieces:
         """Best pieces of each of the distinct words, as ids in a row, in sorted order.
 
         The sorted words are the leaves of their trie in depth-first order: going from one word to the next, the
-        best scores of all ends in the common prefix stay, and only ends after it are searched.
+        best paths to all ends in the common prefix stay, and only ends after it are searched.
         Scores and best last pieces lie in arrays of 12 bytes for each character, so a text without spaces is searched, too.
+        A last piece below 0 is a character that no piece is; its bytes are written.
         """
-        score, longest, of_piece = self.score, self.longest, self.piece_chars
         best, last, before = array("d", [0.0]), array("i", [-1]), ""
+        extend = self._greatest if self.kind == UNIGRAM else self._merged
         for word in sorted(words):
-            n, common = len(word), common_prefix(word, before)
+            common = common_prefix(word, before)
             del best[common + 1 :], last[common + 1 :]
-            for end in range(common + 1, n + 1):
-                top, piece = best[end - 1] + self.unknown, -1
-                for begin in range(max(0, end - longest), end):
-                    found = score.get(word[begin:end])
-                    if found is not None and best[begin] + found[0] > top:
-                        top, piece = best[begin] + found[0], found[1]
-                best.append(top)
-                last.append(piece)
+            extend(word, best, last)
             ids = array("I")
-            at = n
+            at = len(word)
             while at:
                 piece = last[at]
                 if piece < 0:
@@ -102,11 +116,67 @@ class Pieces:
                     ids.extend(reversed([int(self.byte_id[x]) for x in word[at].encode()]))
                 else:
                     ids.append(piece)
-                    at -= of_piece[piece]
+                    at -= self.piece_chars[piece]
             ids.reverse()
             before = word
             yield word, ids.tobytes()
 
+    def _greatest(self, word: str, best: array, last: array) -> None:
+        """Go on to each end of the word with the greatest sum of scores."""
+        score, longest = self.score, self.longest
+        for end in range(len(best), len(word) + 1):
+            top, piece = best[end - 1] + self.unknown, -1
+            for begin in range(max(0, end - longest), end):
+                found = score.get(word[begin:end])
+                if found is not None and best[begin] + found[0] > top:
+                    top, piece = best[begin] + found[0], found[1]
+            best.append(top)
+            last.append(piece)
+
+    def _merged(self, word: str, best: array, last: array) -> None:
+        """Go on to each end of the word with the one last piece that is what the merges make beside the piece before it; all scores are 0.
+
+        Only lengths that pieces with the same last three characters (or two) have are tried, the longest first.
+        """
+        ids, by_tail, pairs, single = self.ids, self.by_tail, self.pairs, (1,)
+        if len(pairs) > MOST_PAIRS:
+            pairs.clear()
+        for end in range(len(best), len(word) + 1):
+            for n in by_tail.get(word[max(0, end - 3) : end]) or by_tail.get(word[max(0, end - 2) : end], single):
+                begin = end - n
+                if begin < 0:
+                    continue
+                piece = ids.get(word[begin:end])
+                if piece is None:
+                    if n > 1:
+                        continue
+                    piece = -2 - ord(word[begin])
+                pair = (last[begin] << 32) + piece
+                good = pairs.get(pair)
+                if good is None:
+                    ahead, text = self.text_of(last[begin]) if begin else "", word[begin:end]
+                    good = pairs[pair] = self.merges(ahead + text) == ([ahead, text] if ahead else [text])
+                if good:
+                    break
+            else:
+                raise ValueError(f"no path to {word[max(0, end - 40) : end]!r}")
+            best.append(0.0)
+            last.append(piece)
+
+    def text_of(self, piece: int) -> str:
+        """The text of a piece, or of a character that no piece is."""
+        return self.data[piece].decode() if piece >= 0 else chr(-2 - piece)
+
+    def merges(self, text: str) -> list[str]:
+        """What the merges make of a short text: the two neighbours whose piece has the greatest score, the leftmost of several, become one, again and again."""
+        parts = list(text)
+        while True:
+            known = [(found[0], -i) for i in range(len(parts) - 1) if (found := self.score.get(parts[i] + parts[i + 1])) is not None]
+            if not known:
+                return parts
+            at = -max(known)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text."""
         chunks, bounds = marked_words(texts)
@@ -169,7 +239,7 @@ def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """Encode every text and decode its ids again: the id, n_pieces, ids_crc32, decoded_sha256, exact.
 
-    Pieces are those with the greatest sum of the model's scores; characters that no piece has
+    Pieces are those of the model's best path (see above); characters that no piece is
     are written as bytes, so decoding gives each text back, marks and control characters too.  Null texts
     count as empty and have no piece.  Rows that repeat an id are rows of their own; an empty table gives an empty result.
     """

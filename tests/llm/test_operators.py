@@ -379,8 +379,30 @@ def test_url_filter_follows_the_dates(spark):
     assert str(got[4].listed_since) == "2024-04-01" and got[1].matched_key == "bad.example" and got[5].matched_key == "ok.example/ads"
 
 
-def test_viterbi_is_the_best_of_all_splits():
+def library_ids(texts):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()).encode(texts, num_threads=1)
+
+
+def test_ids_are_those_of_the_library(spark):
+    """Marks in a text are characters here and spaces to the library, so texts with marks are left out."""
+    texts = [r[1] or "" for r in odd_rows()] + ["a   b", " lead", "trail  ", "\n\n x \n", "naïve café", "x" * 500, "abcABC" * 80, "漢字 🙂 \x1c", "don't  stop"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    texts = [t for t in texts if pieces.MARK not in t]
+    ids, b = pieces.Pieces.of(pieces.default_model()).encode(pa.array(texts))
+    assert [ids[s:e].tolist() for s, e in zip(b, b[1:], strict=False)] == library_ids(texts)
+
+
+def test_paths_do_not_depend_on_the_words_before():
     p = pieces.Pieces.of(pieces.default_model())
+    words = [" unbelievable", " unbelievably", " un", " x漢", " x漢字", " believable", ""]
+    alone = [p.ids_of([w])[0] for w in words]
+    assert p.ids_of(words) == alone and p.merges(" unbelievable") == [p.data[i].decode() for i in np.frombuffer(alone[0], "<u4")]
+
+
+def test_viterbi_is_the_best_of_all_splits():
+    p = pieces.Pieces(pieces.default_model(), pieces.UNIGRAM)
 
     def best(word):
         top = [0.0] + [float("-inf")] * len(word)
@@ -406,7 +428,7 @@ def test_no_split_of_the_library_scores_better():
     m.trainer_spec.model_type = 1
     library = sp.SentencePieceProcessor(model_proto=m.SerializeToString())
     words = ["the", "thaner", "with", "nteres", "réeux", "Straße"]
-    ids, b = pieces.Pieces.of(pieces.default_model()).encode(pa.array(words))
+    ids, b = pieces.Pieces(pieces.default_model(), pieces.UNIGRAM).encode(pa.array(words))
     score = lambda own: sum(m.pieces[i].score for i in own)
     for s, e, other in zip(b, b[1:], library.encode(words), strict=False):
         own = ids[s:e].tolist()

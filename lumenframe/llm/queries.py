@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm.exact_dedup import exact_dedup
 from lumenframe.llm.lzprint import neighbour_fingerprints
 from lumenframe.llm.packing import pack
+from lumenframe.llm.periodic import periodic_runs
 from lumenframe.llm.pieces import round_trip
+from lumenframe.llm.prefixtrie import prefix_trie
 from lumenframe.llm.secrets import secret_scan
 from lumenframe.llm.simhash import simhash_groups
 from lumenframe.llm.substring import substring_dedup
@@ -87,6 +90,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation takes over the first crc32(id) % 6 turns of the first one of its hundred."""
+    lent = F.crc32(F.col("c").cast("string")) % 6
+    return prefix_trie(_read(spark, sf_dir, "conversations"), lent=lent, lender=F.col("c") - F.col("c") % 100)
+
+
+def planted_cycle(doc_id: object, n: int) -> tuple[int, int] | None:
+    """First word and period of the cycle in a document of ``n`` words: in each tenth by the hash of its id, none without an id."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs come by start, then period, so of equal exponents the first stays; exponents are compared as products."""
+    found = periodic_runs(_read(spark, sf_dir, "documents"), cycle=planted_cycle)
+    best = F.expr("reduce(runs, CAST(NULL AS struct<start:bigint,length:bigint,period:bigint>), (b, r) -> IF(b IS NULL OR r.length * b.period > b.length * r.period, r, b))")
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -159,6 +187,52 @@ SELECT page_id, host, CAST(fetched AS VARCHAR) AS fetched, n_active IS NOT NULL
 FROM p LEFT JOIN m USING (page_id)
 """
 
+#: CRC-32 by its table; a conversation is its turns written one after the other, each with its lengths.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS r,
+         length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, '') AS x, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits(i, k, v) AS (SELECT i, 0, i::UBIGINT FROM range(256) b(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END FROM bits WHERE k < 8),
+crc(c, s, v) AS (
+  SELECT DISTINCT c, c::VARCHAR, 4294967295::UBIGINT FROM t
+  UNION ALL SELECT c, s[2:], xor(crc.v // 256, b.v) FROM crc, (SELECT i, v FROM bits WHERE k = 8) b WHERE s <> '' AND b.i = xor(crc.v % 256, ascii(s)::UBIGINT)),
+h AS (SELECT c, xor(v, 4294967295::UBIGINT) % 6 AS h FROM crc WHERE s = ''),
+m AS (SELECT h.c, r AS o, x, n FROM h JOIN t ON t.c = h.c - h.c % 100 AND r < h UNION ALL SELECT c, 100 + r, x, n FROM t JOIN h USING (c) WHERE r >= h),
+p AS (SELECT c, row_number() OVER w AS d, n, sha256(string_agg(x, '') OVER w) AS k, count(*) OVER (PARTITION BY c) AS l FROM m WINDOW w AS (PARTITION BY c ORDER BY o)),
+every AS (SELECT c, d, n, k, lag(k, 1, '') OVER (PARTITION BY c ORDER BY d) AS up, l FROM p UNION ALL SELECT h.c, 0, 0, '', NULL, coalesce(l, 0) FROM h LEFT JOIN (SELECT c, max(l) AS l FROM p GROUP BY c) USING (c)),
+node AS (SELECT k, d AS depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = l), '') AS ends FROM every GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS kids FROM node WHERE depth > 0 GROUP BY up),
+full_ AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (k)),
+below AS (SELECT a.k, sum((f.n_convs - 1) * f.n) AS saved, count_if(f.kids = 0) AS leaves FROM full_ f JOIN every e ON e.c = f.conv_id AND e.d = f.depth JOIN every a ON a.c = e.c AND a.d <= e.d GROUP BY a.k)
+SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.kids::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN below b USING (k) LEFT JOIN node u ON f.depth > 0 AND u.k = f.up
+"""
+
+#: Equal words at a distance p, islands of them, and the least period of each stretch.
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+bits(i, k, v) AS (SELECT i, 0, i::UBIGINT FROM range(256) b(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END FROM bits WHERE k < 8),
+crc(doc_id, s, v) AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR, 4294967295::UBIGINT FROM d
+  UNION ALL SELECT doc_id, s[2:], xor(crc.v // 256, b.v) FROM crc, (SELECT i, v FROM bits WHERE k = 8) b WHERE s <> '' AND b.i = xor(crc.v % 256, ascii(s)::UBIGINT)),
+h AS (SELECT doc_id, xor(v, 4294967295::UBIGINT)::BIGINT AS h FROM crc WHERE s = ''),
+g AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS e FROM d JOIN h USING (doc_id)),
+x AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS i, w, h, n, a, 1 + (n - a) // e AS p FROM g),
+v AS (SELECT doc_id, i, n, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM x),
+pair AS (SELECT a.doc_id, b.i - a.i AS p, a.i AS i FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 4),
+often AS (SELECT doc_id, p, i FROM pair QUALIFY count(*) OVER (PARTITION BY doc_id, p) >= greatest(6 - p, 3 * p)),
+isle AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS z FROM often) GROUP BY doc_id, p, z),
+run AS (SELECT doc_id, s, l, min(p) AS p FROM isle WHERE l >= greatest(6, 4 * p) GROUP BY doc_id, s, l),
+best AS (SELECT * FROM run r WHERE NOT EXISTS (SELECT 1 FROM run o WHERE o.doc_id = r.doc_id AND (o.l * r.p > r.l * o.p OR o.l * r.p = r.l * o.p AND (o.s < r.s OR o.s = r.s AND o.p < r.p)))),
+total AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS t FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM run),
+kept AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.i) AS t FROM v LEFT JOIN gone g ON g.doc_id = v.doc_id AND g.i = v.i WHERE g.i IS NULL GROUP BY v.doc_id)
+SELECT d.doc_id, coalesce(total.n, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+       sha256(coalesce(total.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -170,5 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_secret_scan": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_secret_scan": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_periodic_runs": OP12_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.exact_dedup import exact_dedup
+from lumenframe.llm.forest import near_duplicates
 from lumenframe.llm.lzprint import neighbour_fingerprints
 from lumenframe.llm.packing import pack
 from lumenframe.llm.periodic import periodic_runs
@@ -115,6 +116,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -233,6 +238,22 @@ SELECT d.doc_id, coalesce(total.n, 0) AS n_runs, best.s AS start, best.l AS leng
 FROM d LEFT JOIN total USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Similar sets share one of their rarest fifth (and one more) of shingles, so pairs come from those; each is counted in full.
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+r AS (SELECT doc_id, g, uses FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY uses, g) AS nth FROM (SELECT *, count(*) OVER (PARTITION BY g) AS uses FROM e)) JOIN n USING (doc_id) WHERE nth <= n - ceil(n * 0.8) + 1),
+p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id WHERE a.uses > 1),
+both AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN e x ON x.doc_id = p.a JOIN e y ON y.doc_id = p.b AND y.g = x.g GROUP BY p.a, p.b),
+l AS (SELECT a, b FROM both JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT a, b FROM u UNION SELECT reach.a, u.b FROM reach JOIN u ON u.a = reach.b),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept FROM n LEFT JOIN low ON a = doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -246,5 +267,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_lsh_forest": op13_lsh_forest,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_secret_scan": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_periodic_runs": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_secret_scan": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_lsh_forest": OP13_SQL}

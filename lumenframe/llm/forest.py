@@ -1,8 +1,8 @@
 """Texts with similar sets of word shingles, found with a forest of sorted minimum-hash signatures.
 
 Each tree of the forest is an order of minimum hashes; a region of it are the sets that agree in its first DEPTH ones.  Two sets with a Jaccard
-similarity of SIMILAR share a region of the TREES trees but for one pair in a million.  First near neighbours are linked
-(``neighbour_links``: those with the longest common prefix in a few whole orders), each link checked on both sets, which makes one class of most
+similarity of SIMILAR share a region of the TREES trees but for one pair in a million.  First neighbours are linked: those with the longest common
+prefix in a few whole orders, each link checked on both sets, which makes one class of most
 copies.  Then every region that still has several classes is searched for links between them.  Depth is chosen by region: one with
 few sets is searched as it is, a crowded one is dealt anew by the more and deeper trees of the next of LEVELS, where unlike sets part, so
 that rows follow the sets and not the pairs of a region.  Where one class makes up nearly all of a crowded region, its members are dealt to parts, each
@@ -192,14 +192,19 @@ def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW_BITS)).sum(axis=1, dtype=np.int64)
 
 
-def plausible(roots: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Slots that differ, and places, of pairs of different classes whose sizes and sketches may be those of similar sets."""
+def near_sketches(group: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
+    """Slots that differ, and places, of the pairs of a group whose sketches may be those of similar sets of different classes."""
+    roots, sketch = group.column("root").to_numpy(), numbered(group.column("sketch"))
     for i in range(1, len(roots)):
-        before = slice(0, i)
-        near = np.flatnonzero((roots[before] != roots[i]) & (differing(sketch[i], sketch[before]) <= SLOTS - AGREEING))
-        for j in near.tolist():
-            if fits(int(sizes[i]), int(sizes[j])):
-                yield int(differing(sketch[i], sketch[j : j + 1])[0]), i, j
+        apart = differing(sketch[i], sketch[:i])
+        for j in np.flatnonzero((roots[:i] != roots[i]) & (apart <= SLOTS - AGREEING)).tolist():
+            yield int(apart[j]), i, j
+
+
+def plausible(group: pa.RecordBatch, near: Callable[[pa.RecordBatch], Iterator[tuple[int, int, int]]]) -> list[tuple[int, int, int]]:
+    """Pairs of different classes that ``near`` gives (distance and places) and whose sizes fit, the nearest first."""
+    size = group.column("size").to_pylist()
+    return sorted(p for p in near(group) if fits(size[p[1]], size[p[2]]))
 
 
 def kept_members(shards: DataFrame) -> DataFrame:
@@ -214,40 +219,47 @@ def reducers(df: DataFrame, size: int) -> int:
     return max(scratch.partitions(df.sparkSession), math.ceil(size / TASK_BYTES))
 
 
-def neighbour_links(nodes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Links a, b of similar sets that are neighbours in one of ORDERS sorted orders of signatures.
+def neighbours(rows: DataFrame, parts: int) -> DataFrame:
+    """Pairs a, b of sets that are neighbours in one of ORDERS sorted orders of signatures; ``rows`` has node, size, sketch, orders and perhaps set.
 
     Each order is sorted in ranges; a task compares each set with the NEIGHBOURS before it that share the first DEPTH hashes, which have the longest
-    common prefixes, until one is similar.  A task holds one batch.
+    common prefixes: by sketches, and where there are sets by those, until one is similar.  A task holds one batch.
     """
+    checked = "set" in rows.columns
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: deque = deque(maxlen=NEIGHBOURS)
         for b in batches:
             found = []
-            data = b.column("set")
+            values = lambda i, data=b.column("set") if checked else None: data[i].values.to_numpy() if checked else None
             for i, (o, key, node, size, sketch) in enumerate(zip(*(b.column(c).to_pylist() for c in ("o", "key", "node", "size", "sketch")), strict=True)):
-                own, region, bits = None, (o, key[: 4 * DEPTH]), int.from_bytes(sketch, "little")
-                for other_region, other, n, other_bits, values in reversed(last):
+                own, region, bits = values(i), (o, key[: 4 * DEPTH]), int.from_bytes(sketch, "little")
+                for other_region, other, n, other_bits, held in reversed(last):
                     if other_region != region:
                         break
                     x = bits ^ other_bits
-                    if other != node and fits(size, n) and ((x | x >> 1) & _ALL_LOW_BITS).bit_count() <= SLOTS - AGREEING:
-                        own = data[i].values.to_numpy() if own is None else own
-                        if similar(own, values):
-                            found.append((node, other))
+                    if fits(size, n) and ((x | x >> 1) & _ALL_LOW_BITS).bit_count() <= SLOTS - AGREEING and (not checked or similar(own, held)):
+                        found.append((node, other))
+                        if checked:
                             break
-                last.append((region, node, size, bits, data[i].values.to_numpy().copy()))
+                last.append((region, node, size, bits, own.copy() if checked else None))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows = sets.join(nodes.select("node", "size", "sketch", "orders"), "node").select("node", "size", "sketch", "set", F.posexplode("orders").alias("o", "key"))
-    return rows.repartitionByRange(parts, "o", "key", "node").sortWithinPartitions("o", "key", "node").mapInArrow(walk, "a long, b long")
+    each = rows.select("node", "size", "sketch", *["set"] * checked, F.posexplode("orders").alias("o", "key"))
+    return each.repartitionByRange(parts, "o", "key", "node").sortWithinPartitions("o", "key", "node").mapInArrow(walk, "a long, b long")
 
 
-def classed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members`` (shard, n, node, size) of shards of several classes, with root and how many there are of the largest class (``most``, ``top``)."""
-    rooted = scratch.table(members.join(roots, "node", "left").select("shard", "n", "node", "size", F.coalesce("root", "node").alias("root")), "forest-rooted")
-    return mixed(rooted)
+def open_regions(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (shard, node, size, root, n, most, top) of the regions of several classes; those with the same members count once.
+
+    A region of one class, as most groups of copies have, is counted and goes no further.
+    """
+    rooted = scratch.table(nodes.join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "shards"), "forest-rooted")
+    each = rooted.select("node", "size", "root", F.explode("shards").alias("shard"))
+    who = [F.bit_xor(F.xxhash64(*salt, "node")).alias(f"w{i}") for i, salt in enumerate(([], [F.lit(1)]))]
+    sizes = each.groupBy("shard").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *who).filter("low < high")
+    kept = scratch.table(sizes.groupBy("n", "w0", "w1").agg(F.min("shard").alias("shard")).select("shard", "n"), "forest-kept")
+    return mixed(scratch.table(join_hot(each, kept, "shard", "n", "node"), "forest-members"))
 
 
 def mixed(rooted: DataFrame) -> DataFrame:
@@ -301,68 +313,89 @@ def cells(members: DataFrame, sets: DataFrame, parts: int, largest: int = LARGES
     return out.unionByName(laid.withColumn("cell", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).select(*columns))
 
 
-def candidates(met: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+def candidates(met: DataFrame, nodes: DataFrame, parts: int, near: Callable) -> DataFrame:
     """Those of each cell (cell, node, root, size) that may be similar to one of another class, in groups (cell) that no two cells repeat."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "cell"):
             node, root, size = (g.column(c).to_numpy() for c in ("node", "root", "size"))
             joined = Roots(len(node))
-            pairs = [(i, j) for _, i, j in plausible(root, size, numbered(g.column("sketch")))]
-            for i, j in pairs:
+            pairs = plausible(g, near)
+            for _, i, j in pairs:
                 joined.join(i, j)
             groups: dict[int, list[int]] = {}
-            for i in sorted({i for p in pairs for i in p}):
+            for i in sorted({i for p in pairs for i in p[1:]}):
                 groups.setdefault(joined.top(i), []).append(i)
             for own in groups.values():
                 own = np.array(own)[np.argsort(node[own])]
                 name = xxh3_64_intdigest(node[own].tobytes()) - (1 << 63)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name, np.int64)), *[pa.array(c[own]) for c in (node, root, size)]], ["cell", "node", "root", "size"])
 
-    sketched = met.join(nodes.select("node", "sketch"), "node")
+    sketched = met.join(nodes.select("node", "sketch", "fp"), "node")
     dealt = sketched.repartition(parts, "cell").sortWithinPartitions("cell", "node")
     return dealt.mapInArrow(search, "cell long, node long, root long, size long").distinct()
 
 
-def class_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Links a, b that join the similar sets of different classes in each group (cell, node, root, size), the likeliest pairs first."""
+def class_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, near: Callable) -> DataFrame:
+    """Links (a, b sets, ra, rb their classes) that join the similar sets of different classes in each group (cell, node, root, size), the nearest pairs first."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "cell"):
-            node, root, size = (g.column(c).to_numpy() for c in ("node", "root", "size"))
+            node, root = (g.column(c).to_pylist() for c in ("node", "root"))
             joined, first, found = Roots(len(node)), {}, []
-            for i, r in enumerate(root.tolist()):
+            for i, r in enumerate(root):
                 joined.join(i, first.setdefault(r, i))
             values = g.column("set")
-            for _, i, j in sorted(plausible(root, size, numbered(g.column("sketch")))):
+            for _, i, j in plausible(g, near):
                 if joined.top(i) != joined.top(j) and similar(values[i].values.to_numpy(), values[j].values.to_numpy()):
                     joined.join(i, j)
-                    found.append((node[i], node[j]))
+                    found.append((node[i], node[j], root[i], root[j]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["a", "b", "ra", "rb"])
 
-    whole = met.join(nodes.select("node", "sketch"), "node").join(sets, "node")
-    return whole.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(search, "a long, b long")
+    whole = met.join(nodes.select("node", "sketch", "fp"), "node").join(sets, "node")
+    return whole.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(search, "a long, b long, ra long, rb long")
 
 
-def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, parts: int, propose: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame] | None = None, largest: int = LARGEST) -> DataFrame:
-    """Links a, b that join all similar ``nodes`` (stored: node, size, shards, orders, sketch, fp); ``texts`` gives (node, text) of some nodes.
+def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, parts: int, near: Callable = near_sketches, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
+    """Links that join all similar ``nodes`` (stored: node, size, shards, orders, sketch, fp): those of neighbours (a, b), and those between the classes that they make (a, b, ra, rb).
 
-    ``propose(members, nodes, sets, parts)`` gives checked links of near sets, ``neighbour_links`` if it is None.
+    ``texts`` gives (node, text) of some nodes; ``near`` the pairs of a group of sets that are worth a check.
     """
-    members = kept_members(nodes.select("node", "size", F.explode("shards").alias("shard")))
-    sets = scratch.table(sets_of(texts(scratch.table(members.select("node").distinct(), "forest-involved")), shingle), "forest-sets")
-    near = neighbour_links(nodes, sets, parts) if propose is None else propose(members, nodes, sets, parts)
-    near = scratch.table(near.filter("a <> b").distinct(), "forest-near")
-    met = scratch.table(cells(classed(members, components(near)), sets, parts, largest), "forest-cells")
-    asked = scratch.table(candidates(met, nodes, parts), "forest-candidates")
-    return near.unionByName(scratch.table(class_links(asked, nodes, sets, parts), "forest-links"))
-
-
-def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, propose: Callable | None = None, simhash: bool = False) -> DataFrame:
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = scratch.table(ends(neighbours(nodes, parts)), "forest-asked")
+    sets = scratch.table(sets_of(texts(asked), shingle), "forest-sets")
+    first = scratch.table(neighbours(sets.join(nodes, "node"), parts).distinct(), "forest-near")
+    regions = open_regions(nodes, components(first))
+    hot = regions.filter((F.col("n") > largest) & (F.col("n") - F.col("most") > largest // 2)).select("node").distinct()
+    crowded = hot.limit(1).count() > 0
+    hot_sets = with_sets(scratch.table(hot, "forest-hot"), sets, texts, shingle, "forest-hot-sets") if crowded else sets
+    met = scratch.table(cells(regions, hot_sets, parts, largest), "forest-cells")
+    likely = scratch.table(candidates(met, nodes, parts, near), "forest-candidates")
+    whole = with_sets(likely.select("node").distinct(), sets, texts, shingle, "forest-likely-sets")
+    return first, scratch.table(class_links(likely, nodes, whole, parts, near), "forest-links")
+
+
+def classes(nodes: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the same for all that the links of neighbours and those between their classes join."""
+    roots = nodes.select("node").join(components(first), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    joined = components(second.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    sizes = scratch.table(roots.groupBy("root").agg(F.count("*").alias("n")).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root"), "forest-joined")
+    return join_hot(roots, sizes, "root", "n", "node", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def with_sets(some: DataFrame, known: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, name: str) -> DataFrame:
+    """The sets of ``some`` nodes: those that are known, and the others from their texts."""
+    missing = scratch.table(some.join(known, "node", "left_anti"), f"{name}-missing")
+    if not missing.limit(1).count():
+        return known
+    return known.unionByName(scratch.table(sets_of(texts(missing), shingle), name))
+
+
+def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, near: Callable = near_sketches, simhash: bool = False, empty_alike: bool = False) -> DataFrame:
     """Each row of ``df`` as id, t (128 bits that name its text), size (of its set), and ``least`` (none, id, t: the first row of its component, null ids last).
 
-    Rows with empty sets are each alone: their ``least`` is null.
+    Rows with empty sets are each alone, and their ``least`` is null, unless they are ``empty_alike``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -371,7 +404,8 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, prop
     parts = reducers(df, total)
     marked = scratch.table(marks(rows, shingle, simhash), "forest")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("m")
-    nodes = marked.filter("size > 0").groupBy("s").agg(first, F.count("*").alias("uses"), *[F.first(c).alias(c) for c in ("size", "shards", "orders", "sketch", "fp")])
+    some = F.lit(True) if empty_alike else F.col("size") > 0
+    nodes = marked.filter(some).groupBy("s").agg(first, F.count("*").alias("uses"), *[F.first(c).alias(c) for c in ("size", "shards", "orders", "sketch", "fp")])
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "forest-nodes")
 
     def texts(some: DataFrame) -> DataFrame:
@@ -379,13 +413,12 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, prop
         own = rows.join(named, (F.col("t") == F.col("nt")) & F.col("id").eqNullSafe(F.col("nid")))
         return own.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
 
-    found = links(nodes, texts, shingle, parts, propose)
-    rooted = nodes.select("s", "uses", "node", "m").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = scratch.table(rooted.select("s", "uses", "root", "m"), "forest-roots")
+    roots = classes(nodes, *links(nodes, texts, shingle, parts, near))
+    rooted = scratch.table(nodes.select("s", "uses", "node", "m").join(roots, "node").select("s", "uses", "root", "m"), "forest-roots")
     lowest = scratch.table(rooted.groupBy("root").agg(F.min("m").alias("least"), F.count("*").alias("sets")), "forest-lowest")
     told = scratch.table(join_hot(rooted.select("s", "uses", "root"), lowest, "root", "sets", "s").select("s", "uses", "least"), "forest-told")
-    full = join_hot(marked.filter("size > 0").select("id", "t", "s", "size"), told, "s", "uses", "id")
-    empty = marked.filter("size = 0").select("id", "t", "size", F.lit(None).cast(told.schema["least"].dataType).alias("least"))
+    full = join_hot(marked.filter(some).select("id", "t", "s", "size"), told, "s", "uses", "id")
+    empty = marked.filter(~some).select("id", "t", "size", F.lit(None).cast(told.schema["least"].dataType).alias("least"))
     return full.select("id", "t", "size", "least").unionByName(empty)
 
 

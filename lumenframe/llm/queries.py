@@ -246,8 +246,8 @@ n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
 e AS (SELECT doc_id, unnest(g) AS g FROM s),
 r AS (SELECT doc_id, g, uses FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY uses, g) AS nth FROM (SELECT *, count(*) OVER (PARTITION BY g) AS uses FROM e)) JOIN n USING (doc_id) WHERE nth <= n - ceil(n * 0.8) + 1),
 p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id WHERE a.uses > 1),
-both AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN e x ON x.doc_id = p.a JOIN e y ON y.doc_id = p.b AND y.g = x.g GROUP BY p.a, p.b),
-l AS (SELECT a, b FROM both JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+m AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN e x ON x.doc_id = p.a JOIN e y ON y.doc_id = p.b AND y.g = x.g GROUP BY p.a, p.b),
+l AS (SELECT a, b FROM m JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(a, b) AS (SELECT a, b FROM u UNION SELECT reach.a, u.b FROM reach JOIN u ON u.a = reach.b),
 low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)

@@ -73,24 +73,23 @@ def test_plain_pairs_are_all_pairs():
 
 @pytest.mark.parametrize("largest", [256, 8, 2])
 def test_small_and_large_shards_keep_the_same(spark, largest):
-    from lumenframe.llm import scratch
-    from lumenframe.llm.components import components
+    from lumenframe.llm import forest, scratch
     from pyspark.sql import functions as F
 
     texts = edited_docs(2)
     sets = {i: shingles(t) for i, t in texts.items()}
-    rows = scratch.table(spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("th", F.xxhash64("text")), "rows")
-    nodes = scratch.table(nearcopies.marks(rows.select("id", "th", "text")).dropDuplicates(["th"]), "nodes")
-    links = scratch.table(nearcopies.checked_links(nodes, rows.select("th", "text"), largest), "links")
-    of_th = {r.th: r.id for r in rows.groupBy("th").agg(F.min("id").alias("id")).collect()}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("t", forest.text_name(F.col("text")))
+    marked = scratch.table(forest.marks(rows, nearcopies.SHINGLE, True), "marks")
+    nodes = scratch.table(marked.groupBy("s").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("size", "shards", "orders", "sketch", "fp")]), "nodes")
+    of_node = lambda some: some.join(rows.select(F.col("id").alias("node"), "text"), "node")
+    links = forest.links(nodes, of_node, nearcopies.SHINGLE, 4, nearcopies.near_trees, largest)
     pairs = similar_pairs(sets)
-    named = [tuple(sorted((of_th[r.a], of_th[r.b]))) for r in links.collect()]
-    assert set(named) <= set(pairs)
-    root = {r.node: r.root for r in components(links).collect()}
+    assert {tuple(sorted((r.a, r.b))) for d in links for r in d.collect()} <= set(pairs)
+    root = {r.node: r.root for r in forest.classes(nodes, *links).collect()}
     least = {}
-    for th, i in of_th.items():
-        r = root.get(th, th)
-        least[r] = min(i, least.get(r, i))
+    for r in nodes.select("node").collect():
+        top = root.get(r.node, r.node)
+        least[top] = min(r.node, least.get(top, r.node))
     assert set(least.values()) == kept_of(sets, pairs)
 
 

@@ -14,6 +14,8 @@ COLUMNS = {
     "op3_lz_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op5_token_files": "doc_id start n_tokens ids_crc32", "op6_toxicity": "doc_id held_out score predicted", "op7_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op8_url_filter": "page_id host fetched blocked n_active matched_key listed_since", "op9_sentencepiece": "doc_id n_pieces ids_crc32 decoded_sha256 exact", "op10_simhash": "doc_id fingerprint component_id",
+    "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256", "op13_lsh_forest": "doc_id n_shingles component_id kept",
 }
 
 
@@ -26,7 +28,7 @@ def test_columns(spark, name):
 def test_rows_as_sql_gives_them(spark, name):
     df = Q.QUERIES[name](spark, SF)
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = c.execute(Q.ORACLE_SQL[name])
     names = [d[0] for d in cur.description]

@@ -393,9 +393,9 @@ def with_sets(some: DataFrame, known: DataFrame, texts: Callable[[DataFrame], Da
 
 
 def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, near: Callable = near_sketches, simhash: bool = False, empty_alike: bool = False) -> DataFrame:
-    """Each row of ``df`` as id, t (128 bits that name its text), size (of its set), and ``least`` (none, id, t: the first row of its component, null ids last).
+    """Each row of ``df`` as id, t (128 bits that name its text), size (of its set), least_id and least_t (those of the first row of its component, null ids last).
 
-    Rows with empty sets are each alone, and their ``least`` is null, unless they are ``empty_alike``.
+    Rows with empty sets are each alone, unless they are ``empty_alike``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -415,11 +415,13 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, near
 
     roots = classes(nodes, *links(nodes, texts, shingle, parts, near))
     rooted = scratch.table(nodes.select("s", "uses", "node", "m").join(roots, "node").select("s", "uses", "root", "m"), "forest-roots")
-    lowest = scratch.table(rooted.groupBy("root").agg(F.min("m").alias("least"), F.count("*").alias("sets")), "forest-lowest")
-    told = scratch.table(join_hot(rooted.select("s", "uses", "root"), lowest, "root", "sets", "s").select("s", "uses", "least"), "forest-told")
+    lowest = rooted.groupBy("root").agg(F.min("m").alias("m"), F.count("*").alias("sets")).select("root", "sets", F.col("m.id").alias("least_id"), F.col("m.t").alias("least_t"))
+    lowest = scratch.table(lowest, "forest-lowest")
+    told = scratch.table(join_hot(rooted.select("s", "uses", "root"), lowest, "root", "sets", "s").select("s", "uses", "least_id", "least_t"), "forest-told")
     full = join_hot(marked.filter(some).select("id", "t", "s", "size"), told, "s", "uses", "id")
-    empty = marked.filter(~some).select("id", "t", "size", F.lit(None).cast(told.schema["least"].dataType).alias("least"))
-    return full.select("id", "t", "size", "least").unionByName(empty)
+    if empty_alike:
+        return full.select("id", "t", "size", "least_id", "least_t")
+    return full.select("id", "t", "size", "least_id", "least_t").unionByName(marked.filter(~some).select("id", "t", "size", F.col("id").alias("least_id"), F.col("t").alias("least_t")))
 
 
 def text_name(text: Column) -> Column:
@@ -436,5 +438,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result.
     """
     found = similar_groups(df, id_col, text_col, shingle)
-    component = F.when(F.col("size") > 0, F.col("least.id")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("least_id").alias("component_id"), F.col("id").eqNullSafe(F.col("least_id")).alias("kept"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_intdigest, xxh64_intdigest
+from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
 from lumenframe.llm import scratch
 from lumenframe.llm import text as T
@@ -33,7 +33,7 @@ SIMILAR = 0.8
 LEVELS = ((26, 4), (59, 7), (194, 12))
 TREES, DEPTH = LEVELS[0]
 #: Whole orders in which neighbours are compared, the hashes of their keys, and the neighbours of each set.
-ORDERS, KEY_HASHES, NEIGHBOURS = 3, 12, 4
+ORDERS, KEY_HASHES, NEIGHBOURS = 3, 12, 32
 #: A sketch has two bits of each of SLOTS minimum hashes.  At SIMILAR 109 agree on average, with a deviation of 4.
 SLOTS, AGREEING = 128, 88
 #: Sets of a region that are searched together.
@@ -99,9 +99,9 @@ def raw(values: np.ndarray) -> pa.Array:
 
 
 def sketches(least: np.ndarray) -> np.ndarray:
-    """Two bits of each of SLOTS minimum hashes, 32 bytes a row."""
+    """Two bits of each of SLOTS minimum hashes, four 64-bit numbers a row."""
     bits = ((least[:, :SLOTS, None] >> np.array([7, 19], np.uint32)) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(len(least), -1), axis=1)
+    return np.packbits(bits.reshape(len(least), -1), axis=1).view(np.int64)
 
 
 def marks(rows: DataFrame, shingle: int, simhash: bool) -> DataFrame:
@@ -118,11 +118,11 @@ def marks(rows: DataFrame, shingle: int, simhash: bool) -> DataFrame:
             orders = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * ORDERS), raw(np.stack([least[:, r] for r in rotations], 1).astype(">u4").reshape(-1, KEY_HASHES)))
             fp = pa.array(majority(hashes, sizes).view(np.int64)) if simhash else pa.nulls(len(sizes), pa.int64())
             name = pa.StructArray.from_arrays([pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())], names=["x", "y"])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), name, pa.array(sizes), lists(region_keys(least, TREES, DEPTH), pa.int64()), orders, raw(sketches(least)), fp],
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), name, pa.array(sizes), lists(region_keys(least, TREES, DEPTH), pa.int64()), orders, lists(sketches(least), pa.int64()), fp],
                                              ["id", "t", "s", "size", "shards", "orders", "sketch", "fp"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"id {kind}, t struct<x:long,y:long>, s struct<x:long,y:long>, size long, shards array<long>, orders array<binary>, sketch binary, fp long")
+    return rows.mapInArrow(digest, f"id {kind}, t struct<x:long,y:long>, s struct<x:long,y:long>, size long, shards array<long>, orders array<binary>, sketch array<long>, fp long")
 
 
 def sets_of(rows: DataFrame, shingle: int) -> DataFrame:
@@ -183,7 +183,7 @@ def fits(n: int, m: int) -> bool:
 
 def numbered(rows: pa.Array) -> np.ndarray:
     """Sketches as rows of four 64-bit numbers."""
-    return np.frombuffer(b"".join(rows.to_pylist()), "<u8").reshape(len(rows), -1)
+    return rows.flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
 
 
 def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -192,19 +192,30 @@ def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW_BITS)).sum(axis=1, dtype=np.int64)
 
 
-def near_sketches(group: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
-    """Slots that differ, and places, of the pairs of a group whose sketches may be those of similar sets of different classes."""
-    roots, sketch = group.column("root").to_numpy(), numbered(group.column("sketch"))
+def near_sketches(group: pa.RecordBatch) -> np.ndarray:
+    """Rows (slots that differ, i, j) of the pairs of a group whose sketches may be those of similar sets of different classes."""
+    roots, sketch, out = group.column("root").to_numpy(), numbered(group.column("sketch")), [np.zeros((0, 3), np.int64)]
     for i in range(1, len(roots)):
-        apart = differing(sketch[i], sketch[:i])
-        for j in np.flatnonzero((roots[:i] != roots[i]) & (apart <= SLOTS - AGREEING)).tolist():
-            yield int(apart[j]), i, j
+        slots = differing(sketch[i], sketch[:i])
+        j = np.flatnonzero((roots[:i] != roots[i]) & (slots <= SLOTS - AGREEING))
+        out.append(np.column_stack([slots[j], np.full(len(j), i), j]))
+    return np.concatenate(out)
 
 
-def plausible(group: pa.RecordBatch, near: Callable[[pa.RecordBatch], Iterator[tuple[int, int, int]]]) -> list[tuple[int, int, int]]:
-    """Pairs of different classes that ``near`` gives (distance and places) and whose sizes fit, the nearest first."""
-    size = group.column("size").to_pylist()
-    return sorted(p for p in near(group) if fits(size[p[1]], size[p[2]]))
+def plausible(group: pa.RecordBatch, near: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Rows (distance, i, j) that ``near`` gives, of those whose sizes fit and whose least common region this is, the nearest first.
+
+    Sets that share several regions are so looked at in one of them; of regions with the same members the least is kept.
+    """
+    pairs, size, shard = near(group), group.column("size").to_numpy(), group.column("shard")[0].as_py()
+    one, other = size[pairs[:, 1]], size[pairs[:, 2]]
+    pairs = pairs[100 * np.minimum(one, other) >= round(100 * SIMILAR) * np.maximum(one, other)]
+    keys, here = group.column("keys").flatten().to_numpy().reshape(group.num_rows, -1), []
+    for start in range(0, len(pairs), 4096):
+        a, b = keys[pairs[start : start + 4096, 1]], keys[pairs[start : start + 4096, 2]]
+        here.append(np.where(a == b, a, np.iinfo(np.int64).max).min(axis=1) == shard)
+    pairs = pairs[np.concatenate(here)] if here else pairs
+    return pairs[np.argsort(pairs[:, 0], kind="stable")]
 
 
 def kept_members(shards: DataFrame) -> DataFrame:
@@ -220,58 +231,125 @@ def reducers(df: DataFrame, size: int) -> int:
 
 
 def neighbours(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs a, b of sets that are neighbours in one of ORDERS sorted orders of signatures; ``rows`` has node, size, sketch, orders and perhaps set.
+    """Pairs a, b of sets that are neighbours in one of ORDERS sorted orders of signatures, and ``top``, a set that b is joined to by such pairs of its task.
 
-    Each order is sorted in ranges; a task compares each set with the NEIGHBOURS before it that share the first DEPTH hashes, which have the longest
-    common prefixes: by sketches, and where there are sets by those, until one is similar.  A task holds one batch.
+    ``rows`` has node, size, sketch, orders and perhaps set.  Each order is sorted in ranges; a task compares each set with the NEIGHBOURS before it that share the
+    first DEPTH hashes, which have the longest common prefixes: by sketches, and where there are sets by those, passing over neighbours that it is
+    joined to already.  A task holds one batch and the neighbours.
     """
     checked = "set" in rows.columns
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: deque = deque(maxlen=NEIGHBOURS)
+        last: deque = deque(maxlen=NEIGHBOURS)  # [region, node, size, sketch, set, top]
         for b in batches:
-            found = []
+            found, sketch = [], numbered(b.column("sketch"))
             values = lambda i, data=b.column("set") if checked else None: data[i].values.to_numpy() if checked else None
-            for i, (o, key, node, size, sketch) in enumerate(zip(*(b.column(c).to_pylist() for c in ("o", "key", "node", "size", "sketch")), strict=True)):
-                own, region, bits = values(i), (o, key[: 4 * DEPTH]), int.from_bytes(sketch, "little")
-                for other_region, other, n, other_bits, held in reversed(last):
-                    if other_region != region:
+            for i, (o, key, node, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("o", "key", "node", "size")), strict=True)):
+                own, region, bits, top = values(i), (o, key[: 4 * DEPTH]), int.from_bytes(sketch[i].tobytes(), "little"), node
+                for other in reversed(last):
+                    if other[0] != region:
                         break
-                    x = bits ^ other_bits
-                    if fits(size, n) and ((x | x >> 1) & _ALL_LOW_BITS).bit_count() <= SLOTS - AGREEING and (not checked or similar(own, held)):
-                        found.append((node, other))
-                        if checked:
-                            break
-                last.append((region, node, size, bits, own.copy() if checked else None))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    x = bits ^ other[3]
+                    if other[5] != top and fits(size, other[2]) and ((x | x >> 1) & _ALL_LOW_BITS).bit_count() <= SLOTS - AGREEING and (not checked or similar(own, other[4])):
+                        found.append((node, other[1], other[5]))
+                        gone = other[5]
+                        for each in last:
+                            if each[5] == gone:
+                                each[5] = top
+                last.append([region, node, size, bits, own.copy() if checked else None, top])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "top"])
 
     each = rows.select("node", "size", "sketch", *["set"] * checked, F.posexplode("orders").alias("o", "key"))
-    return each.repartitionByRange(parts, "o", "key", "node").sortWithinPartitions("o", "key", "node").mapInArrow(walk, "a long, b long")
+    return each.repartitionByRange(parts, "o", "key", "node").sortWithinPartitions("o", "key", "node").mapInArrow(walk, "a long, b long, top long")
+
+
+def apart(one: Column, other: Column) -> Column:
+    """In how many slots two sketches differ."""
+    low = F.lit(_LOW_BITS)
+    return F.aggregate(F.zip_with(one, other, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low)))
+
+
+def agreement(slots: int) -> float:
+    """The greatest Jaccard similarity of sets whose sketches differ in so many slots, but for one case in a million."""
+    p = np.linspace(0.25, 1, 751)
+    likely = p * SLOTS - 5 * np.sqrt(p * (1 - p) * SLOTS) <= SLOTS - slots
+    return float((4 * p[likely].max() - 1) / 3) if likely.any() else 0.0
+
 
+def least_agreement(slots: int) -> float:
+    """The least similarity of such sets, in the same sense."""
+    p = np.linspace(0.25, 1, 751)
+    likely = p * SLOTS + 5 * np.sqrt(p * (1 - p) * SLOTS) >= SLOTS - slots
+    return float((4 * p[likely].min() - 1) / 3)
 
-def open_regions(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (shard, node, size, root, n, most, top) of the regions of several classes; those with the same members count once.
 
-    A region of one class, as most groups of copies have, is counted and goes no further.
+#: The same for all numbers of slots.
+MOST_ALIKE, LEAST_ALIKE = (np.array([f(n) for n in range(SLOTS + 1)]) for f in (agreement, least_agreement))
+
+
+def meeting_classes(entries: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """shard, root of the classes of each region (shard, root, far, low, high) that may have sets similar to those of another.
+
+    The distance 1 - similarity is a metric: two classes whose roots are further apart than 1 - SIMILAR and the reaches of both (how far their sets are from the root)
+    have no similar sets.  Distances are bounded from sketches.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, "shard"):
+            root, sketch = g.column("root").to_numpy(), numbered(g.column("sketch"))
+            reach = np.where(g.column("alone").to_numpy(zero_copy_only=False), 0.0, 1 - LEAST_ALIKE[g.column("far").to_numpy()])
+            low, high = g.column("low").to_numpy(), g.column("high").to_numpy()
+            met = np.zeros(len(root), bool)
+            for i in range(1, len(root)):
+                alike = MOST_ALIKE[differing(sketch[i], sketch[:i])] >= SIMILAR - 1e-9 - reach[i] - reach[:i]
+                alike &= (100 * high[:i] >= round(100 * SIMILAR) * low[i]) & (100 * high[i] >= round(100 * SIMILAR) * low[:i])
+                met[i] |= alike.any()
+                met[:i] |= alike
+            yield pa.RecordBatch.from_arrays([g.column("shard").filter(pa.array(met)), pa.array(root[met])], ["shard", "root"])
+
+    rows = entries.join(nodes.select(F.col("node").alias("root"), "sketch"), "root").select("shard", "root", "far", "alone", "low", "high", "sketch")
+    return rows.repartition(parts, "shard").sortWithinPartitions("shard", "root").mapInArrow(search, "shard long, root long")
+
+
+def open_regions(nodes: DataFrame, roots: DataFrame, parts: int, largest: int = LARGEST) -> DataFrame:
+    """Members (shard, node, size, root, n, most, top) of the regions in which several classes may have similar sets; regions with the same members count once.
+
+    Most groups of copies are one class, and go no further.  Of a region of up to ``largest`` classes those that no other comes near to go no
+    further either, however many sets they have.
     """
-    rooted = scratch.table(nodes.join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "shards"), "forest-rooted")
-    each = rooted.select("node", "size", "root", F.explode("shards").alias("shard"))
+    sizes = scratch.table(roots.groupBy("root").agg(F.count("*").alias("sets")), "forest-class-sizes")
+    tops = sizes.join(nodes.select(F.col("node").alias("root"), F.col("sketch").alias("top_sketch")), "root")
+    linked = join_hot(roots.join(nodes.select("node", "sketch"), "node"), scratch.table(tops, "forest-tops"), "root", "sets", "node")
+    linked = linked.select("node", "root", apart(F.col("sketch"), F.col("top_sketch")).alias("far"))
+    rooted = nodes.select("node", "size", "shards").join(linked, "node", "left")
+    rooted = scratch.table(rooted.select("node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0)).alias("far"), "shards"), "forest-rooted")
+    each = rooted.select("node", "size", "root", "far", F.explode("shards").alias("shard"))
     who = [F.bit_xor(F.xxhash64(*salt, "node")).alias(f"w{i}") for i, salt in enumerate(([], [F.lit(1)]))]
-    sizes = each.groupBy("shard").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *who).filter("low < high")
-    kept = scratch.table(sizes.groupBy("n", "w0", "w1").agg(F.min("shard").alias("shard")).select("shard", "n"), "forest-kept")
-    return mixed(scratch.table(join_hot(each, kept, "shard", "n", "node"), "forest-members"))
+    counted = each.groupBy("shard").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), *who).filter("r0 < r1")
+    kept = scratch.table(counted.groupBy("n", "w0", "w1").agg(F.min("shard").alias("shard")).select("shard"), "forest-kept")
+    of_class = each.groupBy("shard", "root").agg(F.count("*").alias("m"), F.max("far").alias("far"), F.min("size").alias("low"), F.max("size").alias("high"),
+                                               F.bool_and(F.col("node") == F.col("root")).alias("alone"))
+    entries = scratch.table(of_class.join(kept, "shard"), "forest-entries")
+    many = scratch.table(entries.groupBy("shard").agg(F.count("*").alias("classes")), "forest-entry-counts")
+    told = join_hot(entries, many, "shard", "classes", "root")
+    near = meeting_classes(told.filter(F.col("classes") <= largest), nodes, parts).unionByName(told.filter(F.col("classes") > largest).select("shard", "root"))
+    place = F.xxhash64("shard", "root")
+    open_ = scratch.table(near.join(entries.select("shard", "root", "m"), ["shard", "root"]).select(place.alias("place"), F.col("shard").alias("s"), F.col("root").alias("r"), "m"), "forest-open")
+    members = join_hot(rooted.select("node", "size", "root", F.col("shards").alias("keys"), F.explode("shards").alias("shard")).withColumn("place", place), open_, "place", "m", "node")
+    return mixed(scratch.table(members.filter("shard = s AND root = r").select("shard", "node", "size", "root", "keys"), "forest-members"))
 
 
 def mixed(rooted: DataFrame) -> DataFrame:
+    """The rows of ``rooted`` (shard, node, root, ...) whose shard has several classes, with n, and top and most (the largest class, and its members)."""
     of_class = rooted.groupBy("shard", "root").agg(F.count("*").alias("m"))
     of_shard = of_class.groupBy("shard").agg(F.max(F.struct("m", "root")).alias("t"), F.count("*").alias("classes"), F.sum("m").alias("all"))
     several = scratch.table(of_shard.select("shard", "classes", "all", F.col("t.m").alias("most"), F.col("t.root").alias("top")), "forest-classes")
-    out = join_hot(rooted, several.filter("classes > 1"), "shard", "all", "node", hot=hot_keys(several, "shard", "all"))
-    return scratch.table(out.drop("classes", "all"), "forest-mixed")
+    out = join_hot(rooted.drop("n"), several.filter("classes > 1"), "shard", "all", "node", hot=hot_keys(several, "shard", "all"))
+    return scratch.table(out.drop("classes").withColumnRenamed("all", "n"), "forest-mixed")
 
 
 def deeper(rest: DataFrame, sets: DataFrame, level: int, parts: int) -> DataFrame:
-    """The sets of crowded regions dealt anew: members (shard, n, node, size, root) of the trees of ``level``."""
+    """The sets of crowded regions dealt anew: members (shard, n, node, size, root, keys) of the trees of ``level``."""
     trees, depth = LEVELS[level]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,17 +362,17 @@ def deeper(rest: DataFrame, sets: DataFrame, level: int, parts: int) -> DataFram
 
     hot = rest.select("node", "size", "root").distinct().join(sets, "node").repartition(parts)
     dealt = scratch.table(hot.mapInArrow(deal, "node long, size long, root long, shards array<long>"), "forest-deeper")
-    return kept_members(dealt.select("node", "size", "root", F.explode("shards").alias("shard")))
+    return kept_members(dealt.select("node", "size", "root", F.col("shards").alias("keys"), F.explode("shards").alias("shard")))
 
 
 def cells(members: DataFrame, sets: DataFrame, parts: int, largest: int = LARGEST) -> DataFrame:
-    """``cell``, ``node``, ``root``, ``size``: groups of about ``largest`` sets at most in which any two of a region and of different classes meet.
+    """``cell``, ``node``, ``root``, ``size``, ``shard``, ``keys``: groups of about ``largest`` sets at most in which any two of a region and of different classes meet.
 
-    ``members`` (stored) has shard, n, node, size, root, most, top.  After the last level a region that is crowded still is laid out
+    ``members`` (stored) has shard, n, node, size, root, most, top, keys (all regions of the node).  After the last level a region that is crowded still is laid out
     in blocks, each two of which meet.
     """
     part = largest // 2
-    columns = ["cell", "node", "root", "size"]
+    columns = ["cell", "node", "root", "size", "shard", "keys"]
     out = None
     for level in range(1, len(LEVELS) + 1):
         few = F.col("n") - F.col("most") <= part
@@ -314,30 +392,21 @@ def cells(members: DataFrame, sets: DataFrame, parts: int, largest: int = LARGES
 
 
 def candidates(met: DataFrame, nodes: DataFrame, parts: int, near: Callable) -> DataFrame:
-    """Those of each cell (cell, node, root, size) that may be similar to one of another class, in groups (cell) that no two cells repeat."""
+    """Those of each cell (cell, node, root, size, shard, keys) that may be similar to one of another class."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "cell"):
-            node, root, size = (g.column(c).to_numpy() for c in ("node", "root", "size"))
-            joined = Roots(len(node))
-            pairs = plausible(g, near)
-            for _, i, j in pairs:
-                joined.join(i, j)
-            groups: dict[int, list[int]] = {}
-            for i in sorted({i for p in pairs for i in p[1:]}):
-                groups.setdefault(joined.top(i), []).append(i)
-            for own in groups.values():
-                own = np.array(own)[np.argsort(node[own])]
-                name = xxh3_64_intdigest(node[own].tobytes()) - (1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name, np.int64)), *[pa.array(c[own]) for c in (node, root, size)]], ["cell", "node", "root", "size"])
+            held = np.unique(plausible(g, near)[:, 1:])
+            if len(held):
+                yield g.select(["cell", "node", "root", "size", "shard", "keys"]).take(pa.array(held))
 
     sketched = met.join(nodes.select("node", "sketch", "fp"), "node")
     dealt = sketched.repartition(parts, "cell").sortWithinPartitions("cell", "node")
-    return dealt.mapInArrow(search, "cell long, node long, root long, size long").distinct()
+    return dealt.mapInArrow(search, "cell long, node long, root long, size long, shard long, keys array<long>")
 
 
 def class_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, near: Callable) -> DataFrame:
-    """Links (a, b sets, ra, rb their classes) that join the similar sets of different classes in each group (cell, node, root, size), the nearest pairs first."""
+    """Links (a, b sets, ra, rb their classes) that join the similar sets of different classes in each cell, the nearest pairs first."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "cell"):
@@ -345,11 +414,14 @@ def class_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, n
             joined, first, found = Roots(len(node)), {}, []
             for i, r in enumerate(root):
                 joined.join(i, first.setdefault(r, i))
-            values = g.column("set")
-            for _, i, j in plausible(g, near):
-                if joined.top(i) != joined.top(j) and similar(values[i].values.to_numpy(), values[j].values.to_numpy()):
-                    joined.join(i, j)
-                    found.append((node[i], node[j], root[i], root[j]))
+            values, held = g.column("set"), {}
+            own = lambda i, values=values, held=held: held.get(i) or held.setdefault(i, frozenset(values[i].values.to_numpy().tolist()))
+            for _, i, j in plausible(g, near).tolist():
+                if joined.top(i) != joined.top(j):
+                    shared = len(own(i) & own(j))
+                    if 100 * shared >= round(100 * SIMILAR) * (len(own(i)) + len(own(j)) - shared):
+                        joined.join(i, j)
+                        found.append((node[i], node[j], root[i], root[j]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["a", "b", "ra", "rb"])
 
@@ -357,8 +429,8 @@ def class_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, n
     return whole.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(search, "a long, b long, ra long, rb long")
 
 
-def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, parts: int, near: Callable = near_sketches, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
-    """Links that join all similar ``nodes`` (stored: node, size, shards, orders, sketch, fp): those of neighbours (a, b), and those between the classes that they make (a, b, ra, rb).
+def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, parts: int, near: Callable = near_sketches, largest: int = LARGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links that join all similar ``nodes`` (stored: node, size, shards, orders, sketch, fp): those of neighbours (a, b, top), the classes that they make (node, root), and links between those (a, b, ra, rb).
 
     ``texts`` gives (node, text) of some nodes; ``near`` the pairs of a group of sets that are worth a check.
     """
@@ -366,19 +438,20 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: in
     asked = scratch.table(ends(neighbours(nodes, parts)), "forest-asked")
     sets = scratch.table(sets_of(texts(asked), shingle), "forest-sets")
     first = scratch.table(neighbours(sets.join(nodes, "node"), parts).distinct(), "forest-near")
-    regions = open_regions(nodes, components(first))
+    roots = scratch.table(components(first.select("a", F.col("top").alias("b"))), "forest-first-roots")
+    regions = open_regions(nodes, roots, parts, largest)
     hot = regions.filter((F.col("n") > largest) & (F.col("n") - F.col("most") > largest // 2)).select("node").distinct()
     crowded = hot.limit(1).count() > 0
     hot_sets = with_sets(scratch.table(hot, "forest-hot"), sets, texts, shingle, "forest-hot-sets") if crowded else sets
     met = scratch.table(cells(regions, hot_sets, parts, largest), "forest-cells")
     likely = scratch.table(candidates(met, nodes, parts, near), "forest-candidates")
     whole = with_sets(likely.select("node").distinct(), sets, texts, shingle, "forest-likely-sets")
-    return first, scratch.table(class_links(likely, nodes, whole, parts, near), "forest-links")
+    return first, roots, scratch.table(class_links(likely, nodes, whole, parts, near), "forest-links")
 
 
-def classes(nodes: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """``node`` and ``root``, the same for all that the links of neighbours and those between their classes join."""
-    roots = nodes.select("node").join(components(first), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+def classes(nodes: DataFrame, first: DataFrame, roots: DataFrame, second: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the same for all that the links of neighbours (``first``, in ``roots``) and those between their classes join."""
+    roots = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     joined = components(second.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     sizes = scratch.table(roots.groupBy("root").agg(F.count("*").alias("n")).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root"), "forest-joined")
     return join_hot(roots, sizes, "root", "n", "node", "left").select("node", F.coalesce("top", "root").alias("root"))

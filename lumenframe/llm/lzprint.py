@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from xxhash import xxh32_intdigest
 
 from lumenframe.llm import scratch
@@ -116,6 +117,14 @@ def range_of(value: Column, cuts: list, kind: str) -> Column:
     return F.when(run < 0, 0).otherwise(run * width + within)
 
 
+def id_cuts(rows: DataFrame, ranges: int) -> list:
+    """Ascending ids that cut the rows into about as many ranges: percentiles of numbers, and the least id of each range partition of others."""
+    if isinstance(rows.schema["id"].dataType, NumericType):
+        return sorted(set(rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
+    dealt = rows.select("id").filter("id IS NOT NULL").repartitionByRange(ranges, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("low"))
+    return sorted(r.low for r in dealt.collect())[1:]  # a row for each range
+
+
 def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text and its edited form, a row for each document.
 
@@ -133,7 +142,7 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     parts = scratch.partitions(spark)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ranges = min(MOST_RANGES, RANGES * parts)
-    cuts = sorted(set(rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
+    cuts = id_cuts(rows, ranges)
     placed = rows.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(range_of(F.col("id"), cuts, id_type)))
     tops = sorted(placed.groupBy("bucket").agg(F.max("id").alias("top")).collect())  # a row for each range
     if not tops:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from xxhash import xxh64_intdigest
 
 from lumenframe.llm import scratch
@@ -153,7 +154,8 @@ def masked(text: str, spans: str) -> str:
 def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with every span of ``secret_scan`` masked in its text, and the length in code points set anew.
 
-    All rows and columns stay; texts without a span are as they were, null texts too.
+    All rows and columns stay; texts without a span are as they were, null texts too.  A length column that doesn't hold whole numbers is
+    another thing and stays.
     """
     found = scanned_rows(df, id_col, text_col, repo_col).filter("spans <> ''").groupBy("id", "th").agg(F.first("spans").alias("spans"))
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
@@ -171,8 +173,6 @@ def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([texts if n == names[text_col] else b.column(n) for n in names.values()], list(names.values()))
 
     out = joined_.mapInArrow(mask, plain.schema)
-    if length_col in names:
-        own = names[length_col]
-        kind = plain.schema[own].dataType
+    if length_col in names and isinstance(kind := plain.schema[own := names[length_col]].dataType, IntegralType):
         out = out.withColumn(own, F.when(text.isNull(), F.col(own)).otherwise(F.char_length(text)).cast(kind))
     return out.toDF(*df.columns)

@@ -535,3 +535,23 @@ def test_near_copies_leave_one_of_each_group(spark, odd):
     kept = simhash.drop_near_copies(clashing(drop_copies(odd)))
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids[0] == 2 and len(ids) == len(set(ids)) and kept.columns == clashing(odd).columns
+
+
+def test_text_ids_of_fingerprints(spark):
+    """Ids that aren't numbers are cut into ranges too, and each document meets the next in descending order."""
+    from lumenframe.llm.lzprint import neighbour_fingerprints
+
+    rows = [(f"d{i:03d}", f"text {i} " * (i % 7)) for i in range(200)]
+    got = {r.doc_id: (r.n_chars, r.edited_sha256) for r in neighbour_fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    texts = dict(rows)
+    for i, (key, text) in enumerate(rows):
+        following, third = texts[rows[i - 1][0]], len(text) // 3
+        assert got[key] == (len(text), hashlib.sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest())
+
+
+def test_masking_leaves_a_length_that_is_none(spark):
+    from lumenframe.llm.secrets import mask_secrets
+
+    rows = [(1, 'token = "abcd1234efgh5678"', "many"), (2, "plain", None)]
+    got = mask_secrets(spark.createDataFrame([(*r, "o/r") for r in rows], "doc_id long, text string, n_chars string, source string")).collect()
+    assert {(r.doc_id, r.text.count("<secret>"), r.n_chars) for r in got} == {(1, 1, "many"), (2, 0, None)}

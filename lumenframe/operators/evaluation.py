@@ -145,10 +145,18 @@ def retention(df: DataFrame, by: str, step: str = "step") -> DataFrame:
         "status", F.when(F.coalesce("failed", F.lit(False)), "failed").when(F.col("_before").isNull() | (F.col("_key") < F.col("_before")), "best").otherwise("pruned")).drop("_before", "_key")
 
 
-def numeric_audit(df: DataFrame, key: str, values: str) -> DataFrame:
-    """key, n, all_finite, max_abs, mean_abs of the number arrays of each key."""
-    long = df.select(key, F.explode(values).alias("v")).withColumn("v", F.col("v").cast("double"))
-    return long.groupBy(key).agg(F.count("*").alias("n"), F.bool_and(E.finite(F.col("v"))).alias("all_finite"), F.max(F.abs("v")).alias("max_abs"), F.avg(F.abs("v")).alias("mean_abs"))
+def numeric_audit(df: DataFrame, key: str, values: str, most: int = 0, order: str | None = None) -> DataFrame:
+    """key, n, all_finite, max_abs, mean_abs of the number arrays of each key; with ``most`` only of its first rows by ``order``.
+
+    Each array is reduced in place, so there is a row for an array and none for a number; null arrays have no numbers and null numbers aren't finite.
+    """
+    if most:
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(order or F.lit(0)))
+        df = df.withColumn("_nth", nth).filter(F.col("_nth") <= most)
+    sizes = F.transform(F.col(values), lambda x: F.abs(x.cast("double")))
+    each = df.select(F.col(key), F.coalesce(F.size(values), F.lit(0)).alias("_n"), F.forall(F.col(values), lambda x: F.coalesce(E.finite(x.cast("double")), F.lit(False))).alias("_finite"),
+                     F.array_max(sizes).alias("_most"), F.aggregate(F.filter(sizes, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x).alias("_sum"), F.size(F.filter(sizes, lambda x: x.isNotNull())).alias("_there"))
+    return each.filter("_n > 0").groupBy(key).agg(F.sum("_n").alias("n"), F.bool_and("_finite").alias("all_finite"), F.max("_most").alias("max_abs"), F.try_divide(F.sum("_sum"), F.sum("_there")).alias("mean_abs"))
 
 
 def require_finite(audit: DataFrame) -> DataFrame:
@@ -192,12 +200,64 @@ def lineage(spark, **fields: str) -> DataFrame:
     return row.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
 
 
+# Metrics of the summaries by seed in their order, and their labels.
+SUMMARIES = {
+    "physics": PHYSICS_LABELS,
+    "videos": {"sa_mean": "SA Mean", "pc_mean": "PC Mean", "joint": "Joint >= 4"},
+    "clips": {
+        "psnr": "PSNR",
+        "ssim": "SSIM",
+        "lpips": "LPIPS",
+        "gen_time_s": "Gen Time (s)",
+        "fid": "FID",
+        "fvd": "FVD",
+        "flow_direction_accuracy": "Flow Dir Acc",
+        "trajectory_consistency": "Trajectory Consistency",
+        "turn_direction_accuracy": "Turn Dir Acc",
+    },
+}
+
+
+def seed_means(scores: DataFrame, seed: str, metrics: list[str]) -> DataFrame:
+    """seed, metric, mean, n of each metric of each seed over its numbers, and over all seeds where seed is null; metrics without numbers have no row."""
+    each = scores.select(F.col(seed).alias("seed"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.nanvl(F.col(m).cast("double"), F.lit(None)).alias("v")) for m in metrics])).alias("s"))
+    rows = each.select("seed", "s.*").filter("v IS NOT NULL")
+    both = rows.groupingSets([["metric"], ["seed", "metric"]], "seed", "metric").agg(F.avg("v").alias("mean"), F.count("*").alias("n"), F.grouping("seed").alias("all"))
+    return both.select(F.when(F.col("all") == 0, F.col("seed")).alias("seed"), "metric", "mean", "n", (F.col("all") == 1).alias("overall"))
+
+
+def summary_lines(means: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """part, seed, line of a formatted summary: ``overall`` lines (metric, mean, count) and ``seed`` lines (seed, samples, the mean of each metric that any seed has).
+
+    Metrics come in the order of ``labels``, others are passed over; a seed's samples are those of the metric that has most.
+    """
+    known = means.filter(F.col("metric").isin(list(labels)))
+    text, label = F.format_string("%.4f", "mean"), F.element_at(F.create_map(*[F.lit(x) for p in labels.items() for x in p]), F.col("metric"))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    overall = known.filter("overall").select(F.lit("overall").alias("part"), F.lit(None).cast(means.schema["seed"].dataType).alias("seed"), row(label, text, F.col("n").cast("string")).alias("line"))
+    there = [m for m in labels if m in {r.metric for r in known.filter("NOT overall").select("metric").distinct().collect()}]  # a row for each label at most
+    cells = [F.coalesce(F.max(F.when(F.col("metric") == m, text)), F.lit("")).alias(f"m{i}") for i, m in enumerate(there)]
+    by_seed = known.filter("NOT overall").groupBy("seed").agg(F.max("n").alias("n"), *cells) if there else known.limit(0).select("seed", "n")
+    each = by_seed.select(F.lit("seed").alias("part"), "seed", row(F.coalesce(F.col("seed").cast("string"), F.lit("")), F.col("n").cast("string"), *[F.col(f"m{i}") for i in range(len(there))]).alias("line"))
+    return overall.unionByName(each)
+
+
 # The two branches of a checkpoint, its configuration, and the files of which one must hold the weights.
 BRANCHES = ["low_noise_model", "high_noise_model"]
 CONFIG_FILE = "config.json"
 WEIGHT_FILES = ["diffusion_pytorch_model.bin", "diffusion_pytorch_model.safetensors", "diffusion_pytorch_model.safetensors.index.json"]
 
 
+def verified_lineage(records: DataFrame, files: DataFrame, root: str = "root") -> DataFrame:
+    """``records`` with ``ok`` and ``errors``: what the checkpoint that each came from lacks (branch:error, in order); ``files`` (root, branch, name) lists what is there."""
+    roots = records.select(F.col(root).alias("root")).filter("root IS NOT NULL").distinct()
+    told = F.concat_ws(":", F.when(F.col("branch") != "", F.col("branch")), "error")
+    found = checkpoint_errors(roots, files).groupBy("root").agg(F.sort_array(F.collect_list(told)).alias("errors"))  # a few for each root
+    out = records.join(found.withColumnRenamed("root", root), root, "left")
+    none = F.when(F.col(root).isNull(), F.array(F.lit("missing_path"))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("errors", F.coalesce("errors", none)).withColumn("ok", F.size("errors") == 0)
+
+
 def checkpoint_errors(roots: DataFrame, files: DataFrame) -> DataFrame:
     """root, branch, error of checkpoints that lack a branch, its configuration or its weights; whole ones have no row.
 

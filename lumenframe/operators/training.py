@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenframe.functions import arrays as A
-from lumenframe.functions import expr as E
 
 # Fixed values of the noise schedule.
 STEPS, SHIFT, BOUNDARY = 1000, 10.0, 0.947
@@ -55,20 +54,6 @@ def step_count(rows: Column, processes: int, accumulate: int, epochs: int) -> Co
     return F.greatest(epochs * per_epoch, F.lit(1)).cast("bigint")
 
 
-def relation_pairs(tokens: DataFrame, item: str, token: str, vector: str, most: int = 4096) -> DataFrame:
-    """item, i, j, cos for all pairs of the tokens of an item, whose number is the model's grid; an item of more than ``most`` is an error."""
-    n = F.count("*").over(Window.partitionBy(item))
-    units = tokens.select(item, token, E.checked(A.unit(F.col(vector)), n <= most, f"an item has more than {most} tokens").alias("u"))
-    a, b = units.select(item, F.col(token).alias("i"), F.col("u").alias("a")), units.select(item, F.col(token).alias("j"), F.col("u").alias("b"))
-    return a.join(b, item).select(item, "i", "j", A.dot(F.col("a"), F.col("b")).alias("cos"))
-
-
-def simple_relation_loss(student: DataFrame, teacher: DataFrame, item: str, wt: float = 1.0, ws: float = 1.0) -> DataFrame:
-    """Mean square difference of two relation tables times the mean weight."""
-    both = student.withColumnRenamed("cos", "s").join(teacher.withColumnRenamed("cos", "t"), [item, "i", "j"])
-    return both.agg((F.avg((F.col("s") - F.col("t")) ** 2) * ((wt + ws) / 2)).alias("loss"))
-
-
 def relation_loss(student: Column, teacher: Column, margin: float = 0.1, spatial_weight: float = 1.0, temporal_weight: float = 1.0) -> Column:
     """spatial, temporal, total of two clips, each an array of frames of token vectors.
 

@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from lumenframe.plans import clips, evaluation, files, geometry, manifest, rewards, streams  # noqa: F401
+from lumenframe.plans import clips, evaluation, files, geometry, manifest, media, rewards, streams  # noqa: F401
 from lumenframe.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from lumenframe.functions import arrays as A
 from lumenframe.operators import evaluation as V
+from lumenframe.operators import relations as R
 from lumenframe.operators import training as T
 from lumenframe.plans.registry import query, read
 from lumenframe.sources.writers import markdown_rows
@@ -46,15 +47,14 @@ def matched_both(spark, sf_dir):
     return V.in_both(V.in_both(c, o.filter("o_orderstatus = 'F'"), "c_custkey"), o.filter("o_orderstatus = 'P'"), "c_custkey")
 
 
-@query("""WITH e AS (SELECT s_suppkey, s_name FROM supplier), a AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity >= 50 AND l_tax >= 0.08 AND l_discount >= 0.05)
-SELECT s_suppkey, CASE WHEN 'A' IN (SELECT l_returnflag FROM a WHERE l_suppkey = s_suppkey) THEN 'A' WHEN 'N' IN (SELECT l_returnflag FROM a WHERE l_suppkey = s_suppkey) THEN 'N' WHEN 'R' IN (SELECT l_returnflag FROM a WHERE l_suppkey = s_suppkey) THEN 'R' END AS origin,
- CASE WHEN s_suppkey NOT IN (SELECT l_suppkey FROM a) THEN 'missing:' || s_suppkey || ':' || s_name END AS error FROM e""")
+@query("""WITH a AS (SELECT o_custkey, min(CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END) AS best FROM orders GROUP BY 1)
+SELECT c_custkey, CASE best WHEN 1 THEN 'P' WHEN 2 THEN 'F' WHEN 3 THEN 'O' END AS origin, CASE WHEN best IS NULL THEN 'missing:' || c_custkey || ':' || c_name END AS error FROM customer LEFT JOIN a ON o_custkey = c_custkey""")
 def expected_vs_actual(spark, sf_dir):
-    """Suppliers with the first kind of line that they have among rare ones."""
-    e = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("branch"), F.col("s_name").alias("name"))
-    a = read(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_tax >= 0.08 AND l_discount >= 0.05").select(F.col("l_suppkey").alias("branch"), F.col("l_returnflag").alias("source")).distinct()
-    out = V.expected_files(e, a.join(e, "branch").withColumn("path", F.lit("p")), ["A", "N", "R"])
-    return out.select(F.col("branch").alias("s_suppkey"), "origin", "error")
+    """Customers with the first kind of order that they have."""
+    e = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("branch"), F.col("c_name").alias("name"))
+    a = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("branch"), F.col("o_orderstatus").alias("source")).distinct()
+    out = V.expected_files(e, a.join(e, "branch").withColumn("path", F.lit("p")), ["P", "F", "O"])
+    return out.select(F.col("branch").alias("c_custkey"), "origin", "error")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY 1 LIMIT 8")
@@ -192,21 +192,50 @@ def cosine(spark, sf_dir):
 _TOKENS = "t AS (SELECT vec_id, k, embedding[k * 16 + 1:k * 16 + 16]::DOUBLE[] AS u FROM embeddings, range(0, 4) r(k))"
 
 
+def _tokens(spark, sf_dir):
+    """The four 16-value tokens of each vector: one frame of an item."""
+    t = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("token"), "embedding")
+    return t.select(F.col("vec_id").alias("item"), F.lit(0).alias("frame"), "token", F.slice("embedding", F.col("token") * 16 + 1, 16).alias("vector"))
+
+
 @query(f"WITH {_TOKENS} SELECT a.vec_id, a.k AS i, b.k AS j, round(list_cosine_similarity(a.u, b.u), 6) AS cos FROM t a JOIN t b ON a.vec_id = b.vec_id")
 def token_relation(spark, sf_dir):
-    """Cosines of the four 16-value tokens of each vector."""
-    t = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "embedding").select("vec_id", "k", F.slice("embedding", F.col("k") * 16 + 1, 16).alias("u"))
-    out = T.relation_pairs(t, "vec_id", "k", "u")
-    return out.select("vec_id", F.col("i").cast("long"), F.col("j").cast("long"), F.round("cos", 6).alias("cos"))
+    """The cosine matrix of each vector's tokens in blocks of three; those on and above the diagonal are made, the others mirrored."""
+    rows = R.relation_blocks(_tokens(spark, sf_dir), 3).select(F.col("item").alias("vec_id"), F.col("i").alias("first"), F.col("j").alias("start"), F.posexplode("cos").alias("i", "row"))
+    out = rows.select("vec_id", "first", "start", "i", F.posexplode("row").alias("j", "cos"))
+    i, j = F.col("first") + F.col("i"), F.col("start") + F.col("j")
+    both = F.when(F.col("first") == F.col("start"), F.array(F.struct(i.alias("i"), j.alias("j")))).otherwise(F.array(F.struct(i.alias("i"), j.alias("j")), F.struct(j.alias("i"), i.alias("j"))))
+    return out.select("vec_id", F.round("cos", 6).alias("cos"), F.explode(both).alias("p")).select("vec_id", "p.i", "p.j", "cos")
 
 
 @query(f"""WITH {_TOKENS}, p AS (SELECT a.vec_id, a.k AS i, b.k AS j, list_cosine_similarity(a.u, b.u) AS cos FROM t a JOIN t b ON a.vec_id = b.vec_id)
 SELECT round(avg((s.cos - x.cos) ^ 2) * 0.75, 6) AS loss FROM p s JOIN p x ON x.vec_id = s.vec_id + 1 AND s.i = x.i AND s.j = x.j""")
 def trd_loss(spark, sf_dir):
     """Relations of each vector against those of the next."""
-    t = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "embedding").select("vec_id", "k", F.slice("embedding", F.col("k") * 16 + 1, 16).alias("u"))
-    s = T.relation_pairs(t, "vec_id", "k", "u")
-    return T.simple_relation_loss(s, s.withColumn("vec_id", F.col("vec_id") - 1), "vec_id", 1.0, 0.5).select(F.round("loss", 6).alias("loss"))
+    t = _tokens(spark, sf_dir)
+    return R.simple_relation_loss(t, t.withColumn("item", F.col("item") - 1), 1.0, 0.5).select(F.round("loss", 6).alias("loss"))
+
+
+#: The student has 4 frames of 4 tokens, the teacher (the next vector) 8 frames of 2 tokens, all of 4 values.  Linear interpolation to 4 frames takes the mean of two teacher frames;
+#: pooling to 2 tokens takes the mean of two student tokens.
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS s, lead(embedding::DOUBLE[]) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS t FROM embeddings),
+r AS (SELECT vec_id, f, k, list_transform(range(1, 5), lambda i: (s[f * 16 + k * 8 + i] + s[f * 16 + k * 8 + 4 + i]) / 2) AS s, list_transform(range(1, 5), lambda i: (t[f * 16 + k * 4 + i] + t[f * 16 + 8 + k * 4 + i]) / 2) AS t
+      FROM e, range(0, 4) a(f), range(0, 2) b(k) WHERE t IS NOT NULL),
+u AS (SELECT vec_id, f, k, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS s, list_transform(t, lambda x: x / sqrt(list_dot_product(t, t))) AS t FROM r),
+space AS (SELECT a.vec_id, avg(greatest(abs(list_dot_product(a.s, b.s) - list_dot_product(a.t, b.t)) - 0.1, 0)) AS spatial FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.f = b.f GROUP BY 1),
+m AS (SELECT a.vec_id, a.f, list_transform(range(1, 5), lambda i: (a.s[i] + b.s[i]) / 2) AS s, list_transform(range(1, 5), lambda i: (a.t[i] + b.t[i]) / 2) AS t FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.f = b.f AND a.k = 0 AND b.k = 1),
+time AS (SELECT a.vec_id, sum(greatest(abs(list_dot_product(a.s, b.s) - list_dot_product(a.t, b.t)) - 0.1, 0)) / 12 AS temporal FROM m a JOIN m b ON a.vec_id = b.vec_id AND a.f <> b.f GROUP BY 1)
+SELECT vec_id, round(spatial, 6) AS spatial, round(temporal, 6) AS temporal, round(spatial + 0.5 * temporal, 6) AS total FROM space JOIN time USING (vec_id)""")
+def relation_distillation(spark, sf_dir):
+    """The whole relation loss: the teacher's frames are matched to the student's, tokens are pooled, relations compared by blocks."""
+    e = read(spark, sf_dir, "embeddings").withColumn("t", F.lead("embedding").over(Window.partitionBy(F.floor(F.col("vec_id") / 50)).orderBy("vec_id"))).filter("t IS NOT NULL")
+
+    def tokens(column: str, n: int):
+        rows = e.select(F.col("vec_id").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"), F.col(column).alias("v"))
+        return rows.select("item", F.floor(F.col("k") / n).alias("frame"), (F.col("k") % n).alias("token"), F.slice("v", F.col("k") * 4 + 1, 4).alias("vector"))
+
+    out = R.relation_distillation(tokens("embedding", 4), tokens("t", 2), 2, 0.1, 1.0, 0.5)
+    return out.select(F.col("item").alias("vec_id"), *[F.round(c, 6).alias(c) for c in ("spatial", "temporal", "total")])
 
 
 @query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding::DOUBLE[]) AS e FROM embeddings)
@@ -217,20 +246,42 @@ def flow_loss(spark, sf_dir):
     return T.flow_loss(x, "embedding", "noise", "zero", "w").select(F.round("loss", 6).alias("loss"))
 
 
-@query("""WITH r AS (SELECT DISTINCT l_suppkey AS root FROM lineitem), f AS (SELECT l_suppkey AS root, CASE WHEN l_linenumber % 2 = 0 THEN 'low_noise_model' ELSE 'high_noise_model' END AS branch,
-  CASE l_quantity % 4 WHEN 0 THEN 'config.json' WHEN 1 THEN 'diffusion_pytorch_model.bin' ELSE 'readme' END AS name FROM lineitem WHERE l_tax = 0.08 AND l_discount = 0.1 AND l_quantity > 40),
+@query("""WITH r AS (SELECT c_custkey AS root FROM customer), f AS (SELECT o_custkey AS root, CASE WHEN o_orderkey % 2 = 0 THEN 'low_noise_model' ELSE 'high_noise_model' END AS branch,
+  CASE o_orderkey // 2 % 4 WHEN 0 THEN 'config.json' WHEN 1 THEN 'diffusion_pytorch_model.bin' ELSE 'readme' END AS name FROM orders),
 w AS (SELECT root, branch FROM r, (VALUES ('low_noise_model'), ('high_noise_model')) b(branch) WHERE root IN (SELECT root FROM f)),
 s AS (SELECT w.*, count(name) AS n, count_if(name = 'config.json') AS c, count_if(name LIKE 'diff%') AS x FROM w LEFT JOIN f USING (root, branch) GROUP BY ALL)
 SELECT root, '' AS branch, 'missing_path' AS error FROM r WHERE root NOT IN (SELECT root FROM f) UNION ALL SELECT root, branch, 'missing_directory' FROM s WHERE n = 0
 UNION ALL SELECT root, branch, 'missing_config' FROM s WHERE n > 0 AND c = 0 UNION ALL SELECT root, branch, 'missing_weights' FROM s WHERE n > 0 AND x = 0""")
 def checkpoint_check(spark, sf_dir):
-    """Checkpoints (suppliers) whose files are rare lines, with what they lack."""
-    line = read(spark, sf_dir, "lineitem")
-    few = line.filter("l_tax = 0.08 AND l_discount = 0.1 AND l_quantity > 40")
-    kind = F.col("l_quantity") % 4
-    files = few.select(F.col("l_suppkey").alias("root"), F.when(F.col("l_linenumber") % 2 == 0, "low_noise_model").otherwise("high_noise_model").alias("branch"),
-                       F.when(kind == 0, "config.json").when(kind == 1, "diffusion_pytorch_model.bin").otherwise("readme").alias("name"))
-    return V.checkpoint_errors(line.select(F.col("l_suppkey").alias("root")), files)
+    """Checkpoints (customers) whose files are their orders, with what they lack."""
+    return V.checkpoint_errors(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root")), _checkpoint_files(spark, sf_dir))
+
+
+def _checkpoint_files(spark, sf_dir):
+    kind = F.floor(F.col("o_orderkey") / 2) % 4
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), F.when(F.col("o_orderkey") % 2 == 0, "low_noise_model").otherwise("high_noise_model").alias("branch"),
+                                                F.when(kind == 0, "config.json").when(kind == 1, "diffusion_pytorch_model.bin").otherwise("readme").alias("name"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS root, o_orderkey % 2 AS branch, o_orderkey // 2 % 4 AS kind FROM orders),
+s AS (SELECT root, branch, count_if(kind = 0) AS c, count_if(kind = 1) AS x FROM f GROUP BY ALL), g AS (SELECT root, count(*) = 2 AND bool_and(c > 0 AND x > 0) AS ok FROM s GROUP BY root)
+SELECT c_custkey AS root, c_name AS notes, coalesce(ok, false) AS ok, CASE WHEN ok THEN 0 ELSE coalesce(e.n, 0) + CASE WHEN ok IS NULL THEN 1 ELSE 2 - coalesce(e.there, 0) END END AS n_errors
+FROM customer LEFT JOIN g ON g.root = c_custkey LEFT JOIN (SELECT root, count(*) AS there, CAST(sum(CASE WHEN c = 0 THEN 1 ELSE 0 END + CASE WHEN x = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM s GROUP BY root) e ON e.root = c_custkey""")
+def lineage_check(spark, sf_dir):
+    """Records of where checkpoints came from, each with the verdict on its checkpoint and the number of what it lacks."""
+    records = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), F.col("c_name").alias("notes"))
+    return V.verified_lineage(records, _checkpoint_files(spark, sf_dir)).select("root", "notes", "ok", F.size("errors").cast("long").alias("n_errors"))
+
+
+@query("""WITH s AS (SELECT o_custkey % 7 AS seed, 'psnr' AS metric, o_totalprice AS v FROM orders UNION ALL SELECT o_custkey % 7, 'fvd', o_orderkey::DOUBLE FROM orders WHERE o_custkey % 7 <> 3),
+o AS (SELECT metric, format('{:.4f}', avg(v)) AS mean, count(*) AS n FROM s GROUP BY 1), p AS (SELECT seed, metric, format('{:.4f}', avg(v)) AS mean, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT 'overall' AS part, NULL::BIGINT AS seed, '| ' || CASE metric WHEN 'psnr' THEN 'PSNR' ELSE 'FVD' END || ' | ' || mean || ' | ' || n || ' |' AS line FROM o
+UNION ALL SELECT 'seed', seed, '| ' || seed || ' | ' || max(n) || ' | ' || max(mean) FILTER (metric = 'psnr') || ' | ' || coalesce(max(mean) FILTER (metric = 'fvd'), '') || ' |' FROM p GROUP BY seed""")
+def seed_summary(spark, sf_dir):
+    """A formatted summary of scores by seed: a line for each metric, and one for each seed with a blank where it has none."""
+    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("seed"), F.col("o_totalprice").alias("psnr"), F.when(F.col("o_custkey") % 7 != 3, F.col("o_orderkey").cast("double")).alias("fvd"))
+    means = V.seed_means(o, "seed", ["psnr", "fvd"])
+    return V.summary_lines(means, V.SUMMARIES["clips"])
 
 
 @query("""SELECT * FROM (SELECT c_custkey, c_mktsegment, 1 AS asked FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1)

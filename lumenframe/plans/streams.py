@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import storage
 from lumenframe.plans.registry import query, read
+from lumenframe.streaming import arrivals as A
 from lumenframe.streaming import progress as S
 
 
@@ -39,11 +40,20 @@ def stream_windows(spark, sf_dir):
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("v", 4).alias("v"))
 
 
-@query("SELECT event_type, count(*) AS scored, round(sum(value * 2), 4) AS total FROM events WHERE value >= 1 GROUP BY 1")
+def _of_user(row):
+    """A score of the clip (the user); rows of small values fail."""
+    if row["value"] < 1:
+        raise ValueError("too small")
+    return {"score": row["user_id"] * 2.0}
+
+
+@query("""WITH s AS (SELECT user_id, user_id * 2.0::DOUBLE AS score FROM events WHERE value >= 1 GROUP BY ALL), n AS (SELECT count(*) AS n FROM s)
+SELECT 'clips' AS what, count(*) AS rows, round(sum(score), 4) AS total FROM s UNION ALL SELECT 'reports', n // 10, ((n // 10) * (n // 10 + 1) * 5)::DOUBLE FROM n""")
 def scored_arrivals(spark, sf_dir):
-    """Clips scored as they arrive; rows that fail (small values) wait for another try, the others are written once."""
+    """Every event is an arrival of its user's clip; those of small values fail, and the first good one scores the clip once.  Reports come at every ten clips."""
     out, state = storage.new_path(spark, "scores"), storage.new_path(spark, "scores-state")
-    rows = _stream(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    S.score_arrivals(rows, lambda d: d.withColumns({"score": F.col("value") * 2, "ok": F.col("value") >= 1}), out, state, "event_id", every=1000).awaitTermination()
-    done = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    return done.groupBy("event_type").agg(F.count("*").alias("scored"), F.round(F.sum("score"), 4).alias("total"))
+    scored = A.scored_once(_stream(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", _of_user, "score double")
+    A.start_scoring(scored, out, state, every=10).awaitTermination()
+    done = A.scores(spark, out, scored.schema).agg(F.lit("clips").alias("what"), F.count("*").alias("rows"), F.round(F.sum("score"), 4).alias("total"))
+    reports = spark.read.schema("processed long").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{out}/reports")
+    return done.unionByName(reports.agg(F.lit("reports").alias("what"), F.count("*").alias("rows"), F.coalesce(F.sum("processed"), F.lit(0)).cast("double").alias("total")))

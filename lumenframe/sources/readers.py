@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,8 +100,10 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return reader.load(root).select(path.alias("path"), "length").select("path", E.base_name(F.col("path")).alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length")
 
 
-def _folders(files: DataFrame) -> DataFrame:
-    return files.groupBy("folder").agg(F.collect_set("name").alias("files"))
+def _folders(files: DataFrame, names: list[str], endings: str | None = None) -> DataFrame:
+    """folder, files: those names of each folder that ``names`` has or whose ending fits; pictures and the like aren't gathered."""
+    wanted = F.col("name").isin(names)
+    return files.filter(wanted | F.lower("name").rlike(endings) if endings else wanted).groupBy("folder").agg(F.collect_set("name").alias("files"))
 
 
 # Names of sidecar files in the order in which they are taken.
@@ -119,7 +119,7 @@ def scan_clips(files: DataFrame, moving: DataFrame | None = None) -> DataFrame:
     ``moving`` (poses_path, has_moving_camera) says which cameras move; without it none is known to.
     """
     d, f = F.col("folder"), F.col("files")
-    out = _folders(files).filter(F.array_contains("files", "video.mp4"))
+    out = _folders(files, ["video.mp4", *DEPTH_A, *MASK_A, *STATE_A, "poses.npy", "intrinsics.npy", "prompt.txt"]).filter(F.array_contains("files", "video.mp4"))
     first = lambda names: M.first_existing(f, d, names)
     out = out.select(
         E.stable_id(F.lit("phyinone"), d).alias("sample_id"), F.lit("phyinone").alias("source"), E.first_match(d, M.TEMPLATE_WORDS_A).alias("template"),
@@ -140,7 +140,8 @@ def scan_captures(files: DataFrame, meta: DataFrame | None = None, keys: DataFra
     """
     d, f = F.col("folder"), F.col("files")
     ending = lambda *e: F.array_sort(F.filter(f, lambda n: F.lower(n).rlike(r"\.(" + "|".join(e) + ")$")))
-    out = _folders(files).withColumn("_h", F.get(ending("h5", "hdf5"), F.lit(0))).withColumn("_v", M.preferred_video(ending("mp4")))
+    known = [*DEPTH_B, *MASK_B, *POSES_B, *INTRINSICS_B, *FRAMES_B, *META_B, "prompt.txt"]
+    out = _folders(files, known, r"\.(h5|hdf5|mp4)$").withColumn("_h", F.get(ending("h5", "hdf5"), F.lit(0))).withColumn("_v", M.preferred_video(ending("mp4")))
     out = out.filter(F.col("_h").isNotNull() | F.col("_v").isNotNull())
     out = out.withColumn("_h", F.concat(d, F.lit("/"), "_h")).withColumn("_v", F.concat(d, F.lit("/"), "_v")).withColumn("_meta", M.first_existing(f, d, META_B))
     if meta is not None:
@@ -177,19 +178,6 @@ def scan_roots(root: str) -> list[str]:
     return list(dict.fromkeys(os.path.realpath(p) for p in found))
 
 
-def zip_members(spark: SparkSession, root: str, glob: str = "*_trajectory.zip") -> DataFrame:
-    """zip, member, stem (the number in a picture's name) of the archives below ``root``, member names only."""
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "content")
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, data in zip(b.path, b.content, strict=True):
-                yield pd.DataFrame({"member": zipfile.ZipFile(io.BytesIO(data)).namelist()}).assign(zip=path)[["zip", "member"]]
-
-    found = archives.mapInPandas(names, "zip string, member string")
-    return found.withColumn("stem", F.regexp_extract("member", r"(\d+)\.[A-Za-z]+$", 1).try_cast("int"))
-
-
 def frame_members(members: DataFrame, kind: str = "rgb") -> DataFrame:
     """zip, camera, frames: the pictures of each camera in the order of their numbers."""
     pictures = members.filter(F.col("member").rlike(rf"/[^/]+/{kind}/[^/]+\.jpg$")).withColumn("camera", F.regexp_extract("member", rf"/([^/]+)/{kind}/[^/]+\.jpg$", 1))
@@ -218,26 +206,6 @@ def camera_frames(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("m", E.checked(F.col("m"), whole, "a pose isn't 4 x 4"))
 
 
-def load_arrays(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame:
-    """path, shape, values (flat) of the NPY files below ``root``; files that can't be read have nulls."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "content")
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for b in batches:
-            rows = []
-            for path, data in zip(b.path, b.content, strict=True):
-                try:
-                    a = np.load(io.BytesIO(data))
-                    rows.append((path, list(a.shape), a.astype("float64").ravel()))
-                except (ValueError, EOFError, OSError):
-                    rows.append((path, None, None))
-            yield pd.DataFrame(rows, columns=["path", "shape", "values"])
-
-    return files.mapInPandas(load, "path string, shape array<int>, values array<double>")
-
-
 def hdf5_keys(files: DataFrame, path: str = "path") -> DataFrame:
     """path, keys, lengths (key to first dimension) of HDF5 files; empty where the library or the file fails."""
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import csv
-import json
+import io
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from lumenframe.functions import expr as E
+from lumenframe.sources import named
 
 
 def counted(df: DataFrame, write: Callable[[DataFrame], None], **more: Column) -> Row:
@@ -49,24 +49,35 @@ def write_splits(df: DataFrame, path: str, dry_run: bool = False) -> dict[str, i
     return counts if sum(counts.values()) == seen.n else by_split(df)
 
 
+def write_split_files(df: DataFrame, folder: str, order: list[str], dry_run: bool = False) -> dict[str, int]:
+    """``<split>.jsonl`` in ``folder`` for each value of ``split``, lines in the order of ``order`` and keys in theirs; returns the counts.
+
+    The files appear together when all are whole.  Each is written by one task, so ``write_splits`` suits large splits better.
+    """
+    counts = {r.split: r.n for r in df.groupBy("split").agg(F.count("*").alias("n")).orderBy("split").collect()}  # a row for each split
+    if not dry_run:
+        line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+        named.write_named(df.select(F.concat("split", F.lit(".jsonl")).alias("file"), line.alias("line"), *order), folder, order)
+    return counts
+
+
 def write_json_document(value: object, path: str, dry_run: bool = False) -> None:
-    """A small document, written by the driver with its keys in order."""
-    if dry_run:
-        return
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+    """A small document, written by the driver with its keys in order; ``path`` may be a URI."""
+    if not dry_run:
+        named.write_text(named.document(value), path)
 
 
 def write_config(value: dict, path: str, dry_run: bool = False) -> None:
-    """A small YAML document, written by the driver; JSON, which YAML readers take, without a YAML library."""
+    """A small YAML document, written by the driver; JSON, which YAML readers take, without a YAML library.  ``path`` may be a URI."""
     if dry_run:
-        return None
+        return
     try:
         import yaml
+
+        text = yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
     except ImportError:
-        return write_json_document(value, path)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(value, sort_keys=False, allow_unicode=True), encoding="utf-8")
+        text = named.document(value)
+    named.write_text(text, path)
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
@@ -94,22 +105,24 @@ SUMMARY_COLUMNS = {"pmf": "PMF \u2191", "psnr": "PSNR \u2191", "ssim": "SSIM \u2
 DIRECTIONS = {"pmf": "higher", "psnr": "higher", "ssim": "higher", "lpips": "lower", "fvd": "lower"}
 
 
+def summary_columns() -> list[Column]:
+    return [F.col("model").alias("Method"), *[E.round_or_blank(F.col(m)).alias(label) for m, label in SUMMARY_COLUMNS.items()]]
+
+
 def summary_table(models: DataFrame) -> DataFrame:
     """Method and the metrics of each model (model, pmf, psnr, ssim, lpips, fvd), rounded to four digits, blank where there is no number."""
-    return models.select(F.col("model").alias("Method"), *[E.round_or_blank(F.col(m)).alias(label) for m, label in SUMMARY_COLUMNS.items()])
+    return models.select(*summary_columns())
 
 
 def write_final_summary(models: DataFrame, folder: str, dry_run: bool = False, **about: str) -> dict:
-    """metrics_summary.csv, .md and .json of a few models in ``folder``, by the driver; returns the JSON document."""
-    rows = models.collect()  # a row for each model
-    table = summary_table(models).collect()
-    summary = {"metrics_mode": "physinone", "directions": DIRECTIONS, **about, "rows": [r.asDict() for r in rows]}
+    """metrics_summary.csv, .md and .json of a few models in ``folder`` (a path or URI), by the driver; returns the JSON document."""
+    both = models.select(F.struct(*models.columns).alias("row"), F.struct(*summary_columns()).alias("cells")).collect()  # a row for each model
+    head, table = ["Method", *SUMMARY_COLUMNS.values()], [list(r.cells) for r in both]
+    summary = {"metrics_mode": "physinone", "directions": DIRECTIONS, **about, "rows": [r.row.asDict() for r in both]}
     if not dry_run:
-        head = ["Method", *SUMMARY_COLUMNS.values()]
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        with open(f"{folder}/metrics_summary.csv", "w", encoding="utf-8", newline="") as f:
-            csv.writer(f).writerows([head, *map(list, table)])
-        lines = ["| " + " | ".join(cells) + " |" for cells in (head, ["---"] * len(head), *map(list, table))]
-        Path(f"{folder}/metrics_summary.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
-        write_json_document(summary, f"{folder}/metrics_summary.json")
+        text = io.StringIO()
+        csv.writer(text).writerows([head, *table])
+        lines = ["| " + " | ".join(cells) + " |" for cells in (head, ["---"] * len(head), *table)]
+        for ending, whole in (("csv", text.getvalue()), ("md", "\n".join(lines) + "\n"), ("json", named.document(summary))):
+            named.write_text(whole, f"{folder}/metrics_summary.{ending}")
     return summary

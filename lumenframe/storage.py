@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Folders of local applications that name none, by application id.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,11 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not path:
-        master = spark.sparkContext.master
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {SETTING} to a folder that the driver and all executors of {master} share")
-        path = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
-        spark.conf.set(SETTING, path)
+        path = _LOCAL.get(app) or _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='lumenframe-')}")
     return path.rstrip("/")
 
 

@@ -1,4 +1,4 @@
-"""Rolling summaries over clips that arrive as files, each scored once; and an append-only metric log."""
+"""Rolling summaries over clips that arrive as files, and an append-only metric log; see ``arrivals`` for scoring them once."""
 
 from __future__ import annotations
 
@@ -50,60 +50,11 @@ def each_alone(rows: DataFrame, score: Callable[[dict], dict], columns: str) ->
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *given.fields]))
 
 
-def reports_due(before: int, after: int, every: int) -> list[int]:
-    """The multiples of ``every`` that a count has reached on its way from ``before`` to ``after``, all of them."""
-    return list(range((before // every + 1) * every, after + 1, every))
-
-
 def rolling(stream: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Count and means so far, rewritten as a whole on each batch."""
     return stream.groupBy(*by).agg(F.count("*").alias("processed"), *[F.avg(m).alias(m) for m in metrics])
 
 
-def score_arrivals(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str, poll: str | None = None, every: int = 0) -> StreamingQuery:
-    """Score each arriving clip and append the good ones to ``out``; what is there already isn't scored again.
-
-    ``score`` adds a column ``ok``; every row is scored, and one good row of a clip is kept.  Rows of clips without a good
-    one go to ``_retry`` in ``out`` and are scored again with the next batch.  A repeated batch overwrites its
-    own folders, so no clip is written twice.  Without ``poll`` the query ends when all files are read.  With ``every``
-    each batch writes a row (processed) to ``_reports`` for every multiple that the number of scored clips has passed.
-    """
-    spark = stream.sparkSession
-
-    def take(batch: DataFrame, number: int) -> None:
-        done = [p for p in _batches(spark, out) if p != f"batch={number}"]
-        failed = [n for p in _batches(spark, f"{out}/_retry") if (n := int(p.removeprefix("batch="))) < number]
-        todo = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/_retry/batch={max(failed)}")) if failed else batch
-        if done:
-            todo = todo.join(spark.read.option("basePath", out).parquet(*[f"{out}/{p}" for p in done]).select(key), key, "left_anti")
-        scored = score(todo).withColumn("ok", F.coalesce("ok", F.lit(False))).persist()
-        good = scored.filter("ok").drop("ok").dropDuplicates([key])
-        again = scored.filter("NOT ok").join(good.select(key), key, "left_anti").select(*batch.columns)
-        again.write.mode("overwrite").parquet(f"{out}/_retry/batch={number}")
-        good.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        scored.unpersist()
-        if every:
-            stored = lambda names: spark.read.parquet(*[f"{out}/{p}" for p in names]).count() if names else 0  # noqa: E731  from the files' footers
-            before = stored(done)
-            due = reports_due(before, before + stored([f"batch={number}"]), every)
-            if due:
-                spark.createDataFrame([(n,) for n in due], "processed long").write.mode("overwrite").parquet(f"{out}/_reports/batch={number}")
-
-    writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
-
-
-def _batches(spark: SparkSession, path: str) -> list[str]:
-    """Names of the finished batch folders, by Spark's own file system access."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    return [n for n in names if n.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-
-
 def to_table(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all files that are there and return its result as a table in memory (a summary)."""
     q = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

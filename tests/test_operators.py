@@ -267,17 +267,6 @@ def test_final_summary_files(spark, tmp_path):
     assert not (tmp_path / "dry").exists()
 
 
-def test_reports_catch_up(spark, tmp_path):
-    from lumenframe.streaming import progress as S
-
-    assert S.reports_due(0, 9, 10) == [] and S.reports_due(9, 31, 10) == [10, 20, 30] and S.reports_due(10, 10, 10) == []
-    inp, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for start, stop in ((0, 7), (7, 26)):
-        spark.range(start, stop).selectExpr("cast(id as string) clip").coalesce(1).write.mode("append").parquet(inp)
-        S.score_arrivals(S.clip_stream(spark, inp, "clip string"), lambda d: d.withColumn("ok", F.lit(True)), out, str(tmp_path / "ck"), "clip", every=10).awaitTermination()
-    assert sorted(r.processed for r in spark.read.parquet(f"{out}/_reports/batch=*").collect()) == [10, 20]
-
-
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     from lumenframe import storage
 
@@ -351,16 +340,6 @@ def test_scans(spark, tmp_path):
     assert [r.source for r in both.collect()] == ["movingcam_synthetic", "phyinone"]
 
 
-def test_zip_members_sort_by_number(spark, tmp_path):
-    import zipfile
-
-    with zipfile.ZipFile(tmp_path / "t_trajectory.zip", "w") as z:
-        for n in (10, 9, 1):
-            z.writestr(f"t/CAM_2/rgb/{n}.jpg", "x")
-    got = readers.frame_members(readers.zip_members(spark, str(tmp_path))).first()
-    assert [f.split("/")[-1] for f in got.frames] == ["1.jpg", "9.jpg", "10.jpg"] and got.camera_number == 2
-
-
 def test_ply(spark):
     head = "ply\nformat ascii 1.0\nelement vertex %d\nend_header\n"
     body = "".join(f"{i} 0 0 255 0 0\n" for i in range(18))
@@ -372,18 +351,6 @@ def test_ply(spark):
             readers.ply_points(df(bad), "key", "text").collect()
 
 
-def test_stream_resumes_and_retries(spark, tmp_path):
-    inp, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    put = lambda rows: spark.createDataFrame(rows, "clip string, v double").coalesce(1).write.mode("append").parquet(inp)
-    score = lambda df: df.withColumn("ok", F.col("v") >= 0)
-    run = lambda: S.score_arrivals(S.clip_stream(spark, inp, "clip string, v double"), score, out, ckpt, "clip").awaitTermination()
-    put([("a", 1.0), ("b", -1.0)])
-    run()
-    put([("a", 5.0), ("b", 2.0)])
-    run()
-    assert sorted((r.clip, r.v) for r in spark.read.option("basePath", out).parquet(f"{out}/batch=*").select("clip", "v").collect()) == [("a", 1.0), ("b", 2.0)]
-
-
 def test_metric_log_drops_empty_payloads(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"time":1.0,"step":1,"payload":"{\\"x\\":1}"}\n{"time":2.0,"step":2,"payload":"{}"}\n')

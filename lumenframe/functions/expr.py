@@ -82,6 +82,11 @@ def hash_fraction(text: Column) -> Column:
     return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
 
 
+def seeded(key: Column, seed: int) -> Column:
+    """A number of 48 bits drawn by the SHA-1 of seed and key, the same on any engine; a null key draws as an empty one."""
+    return F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("bigint")
+
+
 def fingerprint(text: Column, digits: int = 16) -> Column:
     """The first hex digits of the SHA-256."""
     return F.substring(F.sha2(text, 256), 1, digits)

@@ -158,33 +158,40 @@ def camera_poses(points: DataFrame, cameras: DataFrame, key: str, camera: str =
     return aligned(names, drawn, key, "_at", "_group").select(key, camera, "m")
 
 
-#: Cells of each pass of the search for a rank.
-CELLS = 4096
+#: Cells of each pass of the search for a rank; size of the sketch that brackets it, points of its grid, and points to each side of a rank.
+CELLS, SKETCH, GRID, ASIDE = 4096, 1024, 500, 3
 
 
 def values_at(df: DataFrame, ranks: dict[str, Callable[[int], list[int]]]) -> dict[str, list[float]]:
     """Exact values at 0-based ranks of several columns; ``ranks`` maps a column to the ranks for its count.
 
-    Each pass counts the rows between the least and greatest value left in CELLS cells for each rank, and goes on in the cell that
-    holds the rank, until it holds a single value.  Counts are merged before the shuffle and at most CELLS rows for each rank
+    A quantile sketch brackets each rank.  A pass counts the rows below the bracket, above it, and in CELLS cells between its ends, and goes on in the part
+    that holds the rank, until that holds a single value: one pass as a rule, and a bracket that misses the rank costs another one.  Counts are merged before the shuffle and at most CELLS rows for each rank
     come to the driver, so nothing grows with the table.  Null, NaN and infinite values don't count.
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in ranks])).alias("p")).select("p.*").filter(E.finite(F.col("v")))
-    ends = {r.c: r for r in long.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}  # a row a column
-    goals = [[c, k, r.low, r.high] for c, r in ends.items() for k in ranks[c](r.n)]
+    grid = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])).alias("grid")
+    ends = long.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.kll_sketch_agg_double("v", SKETCH).alias("s"))
+    goals = []
+    for r in ends.select("c", "n", "low", "high", grid).collect():  # a row a column
+        for k in ranks[r.c](r.n):
+            at = k * GRID // max(r.n - 1, 1)
+            goals.append([r.c, k, max(r.low, r.grid[max(0, at - ASIDE)]), min(r.high, r.grid[min(GRID, at + 1 + ASIDE)])])
     found = {c: [] for c in ranks}
-    order = list(goals)
-    while goals := [g for g in goals if g[2] != g[3]]:
-        held = F.explode(F.array(*[
-            F.when((F.col("c") == c) & F.col("v").between(low, high), F.struct(F.lit(i).alias("goal"), F.least(F.floor((F.col("v") - low) / F.lit(high - low) * CELLS), F.lit(CELLS - 1)).alias("cell")))
-            for i, (c, _, low, high) in enumerate(goals)])).alias("g")
-        cells = long.select("v", held).filter("g IS NOT NULL").groupBy("g.goal", "g.cell").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    order, first = list(goals), True
+    while goals := [g for g in goals if first or g[2] != g[3]]:
+        v = F.col("v")
+        within = lambda low, high: F.least(F.floor((v - low) / F.lit((high - low) or 1.0) * CELLS), F.lit(CELLS - 1))
+        cell = lambda low, high: F.when(v.between(low, high), within(low, high)).when(F.lit(first) & (v < low), F.lit(-1)).when(F.lit(first), F.lit(CELLS))  # noqa: E731, B023
+        held = F.explode(F.array(*[F.struct(F.lit(i).alias("goal"), F.when(F.col("c") == c, cell(low, high)).alias("cell")) for i, (c, _, low, high) in enumerate(goals)])).alias("g")
+        cells = long.select("c", "v", held).filter("g.cell IS NOT NULL").groupBy("g.goal", "g.cell").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
         for i, g in enumerate(goals):
             for r in sorted((r for r in cells if r.goal == i), key=lambda r: r.cell):
                 if g[1] < r.n:
                     g[2], g[3] = r.low, r.high
                     break
                 g[1] -= r.n
+        first = False
     for c, _, value, _ in order:
         found[c].append(value)
     return found

@@ -222,12 +222,12 @@ def with_splits(df: DataFrame, val: float = 0.05, test: float = 0.05) -> DataFra
 def shuffle_split(df: DataFrame, key: str, val_ratio: float, seed: int) -> DataFrame:
     """``df`` with ``split``: the round(n * ratio) rows that come first by a seeded hash are ``val``.
 
-    Stands for a shuffle by another library's generator, which can't be repeated here.  The cut is a hash
+    Stands for a shuffle by another library's generator, which can't be repeated here; of equal hashes the smaller key comes first.  The cut is a hash
     threshold found by counting coarse hash buckets, then ranking within the one that the cut falls in.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = E.seeded(F.col(key), seed)
     n = int(round(df.count() * val_ratio))
-    coarse = df.select(F.shiftrightunsigned(h, 52).alias("b")).groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect()  # at most 4096 rows
+    coarse = df.select(F.shiftright(h, 36).alias("b")).groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect()  # at most 4096 rows
     seen, cut, rest = 0, -1, 0
     for row in coarse:
         if seen + row.n > n:
@@ -236,7 +236,7 @@ def shuffle_split(df: DataFrame, key: str, val_ratio: float, seed: int) -> DataF
         seen += row.n
     else:
         cut = 4096
-    ranked = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 52))
+    ranked = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 36))
     edge = ranked.filter(F.col("_b") == cut).withColumn("_nth", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     inside = edge.withColumn("split", F.when(F.col("_nth") <= rest, "val").otherwise("train")).drop("_nth")
     outside = ranked.filter(F.col("_b") != cut).withColumn("split", F.when(F.col("_b") < cut, "val").otherwise("train"))

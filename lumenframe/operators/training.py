@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenframe.functions import arrays as A
+from lumenframe.functions import expr as E
 
 # Fixed values of the noise schedule.
 STEPS, SHIFT, BOUNDARY = 1000, 10.0, 0.947
@@ -32,7 +33,7 @@ def sample_timesteps(df: DataFrame, schedule: DataFrame, branch: str, seed: int,
     """
     picks = schedule.filter(F.col("branch") == branch).select(F.row_number().over(Window.partitionBy("branch").orderBy("idx")).alias("_k"), "idx", "sigma", F.col("branch_weight").alias("weight"))
     n = picks.count()
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max(n, 1))) if key else F.floor(F.rand(seed) * n)
+    drawn = E.seeded(F.col(key), seed) % max(n, 1) if key else F.floor(F.rand(seed) * n)
     return df.withColumn("_k", (drawn + 1).cast("int")).join(F.broadcast(picks), "_k").drop("_k")  # at most the schedule's steps
 
 

@@ -152,11 +152,10 @@ def relation_losses(spark, sf_dir):
     return out.select("vec_id", F.round("l.spatial", 6).alias("spatial"), F.round("l.temporal", 6).alias("temporal"))
 
 
-@query("SELECT count(*) AS n, true AS in_branch, true AS same_again FROM embeddings")
+@query("""WITH s AS (SELECT i AS idx, 10.0::DOUBLE * (1 - i / 1000.0::DOUBLE) / (1 + 9 * (1 - i / 1000.0::DOUBLE)) AS sigma FROM range(0, 1000) r(i)),
+low AS (SELECT idx, sigma, row_number() OVER (ORDER BY idx) - 1 AS k, count(*) OVER () AS n FROM s WHERE sigma * 1000 < 947)
+SELECT vec_id, CAST(idx AS INTEGER) AS idx, round(sigma, 9) AS sigma FROM embeddings JOIN low ON k = ('0x' || substr(sha1('5:' || vec_id), 1, 12))::BIGINT % n""")
 def drawn_timesteps(spark, sf_dir):
-    """A step of the low branch for each row: all of that branch, and the same ones for the same seed."""
-    e, schedule = read(spark, sf_dir, "embeddings").select("vec_id"), T.noise_schedule(spark)
-    a, b = (T.sample_timesteps(d, schedule, "low", 5, "vec_id") for d in (e, e.repartition(5)))
-    low = schedule.filter("branch = 'low'").select("idx", F.lit(True).alias("low"))
-    both = a.join(b.select("vec_id", F.col("idx").alias("again")), "vec_id").join(F.broadcast(low), "idx", "left")
-    return both.agg(F.count("*").alias("n"), F.bool_and(F.coalesce("low", F.lit(False))).alias("in_branch"), F.bool_and(F.col("idx") == F.col("again")).alias("same_again"))
+    """A step of the low branch drawn for each row by its key, however the rows are dealt."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id")
+    return T.sample_timesteps(e.repartition(5), T.noise_schedule(spark), "low", 5, "vec_id").select("vec_id", "idx", F.round("sigma", 9).alias("sigma"))

@@ -171,9 +171,13 @@ def report_points(spark, sf_dir):
 @query("""WITH b AS (SELECT i AS idx, 10.0::DOUBLE * (1 - i / 1000.0::DOUBLE) / (1 + 9.0::DOUBLE * (1 - i / 1000.0::DOUBLE)) AS sigma FROM range(0, 1000) r(i)),
 t AS (SELECT *, sigma * 1000 AS timestep, CASE WHEN sigma * 1000 < 947 THEN 'low' ELSE 'high' END AS branch, exp(-2 * ((sigma * 1000 - 500) / 1000) ^ 2) AS y FROM b),
 w AS (SELECT *, y - min(y) OVER () AS w FROM t)
-SELECT CAST(idx AS INTEGER) AS idx, round(sigma, 6) AS sigma, round(timestep, 6) AS timestep, branch, round(w / avg(w) OVER (), 6) AS weight, round(w / avg(w) OVER (PARTITION BY branch), 6) AS branch_weight FROM w""")
+, v AS (SELECT CAST(idx AS INTEGER) AS idx, round(sigma, 6) AS sigma, round(timestep, 6) AS timestep, branch, round(w / avg(w) OVER (), 6) AS weight, round(w / avg(w) OVER (PARTITION BY branch), 6) AS branch_weight FROM w)
+SELECT event_id, v.* FROM events JOIN v ON idx = event_id % 1000""")
 def noise_schedule(spark, sf_dir):
-    return T.noise_schedule(spark).withColumns({c: F.round(c, 6) for c in ("sigma", "timestep", "weight", "branch_weight")})
+    """Every event with the noise, branch and weights of its training step (its number modulo the schedule's length)."""
+    schedule = T.noise_schedule(spark).withColumns({c: F.round(c, 6) for c in ("sigma", "timestep", "weight", "branch_weight")})
+    events = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % T.STEPS).cast("int").alias("idx"))
+    return events.join(F.broadcast(schedule), "idx")  # a row for each step
 
 
 @query("SELECT p_partkey, CAST(greatest(3 * greatest(ceil(ceil(p_size / 8.0) / 4), 1), 1) AS BIGINT) AS steps FROM part")

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Frames that Spark hands over at a time are cut into runs of about so many bytes of pixels.
 SLICE_BYTES = 16 << 20
@@ -139,3 +141,38 @@ def frame_similarity(reference: DataFrame, candidate: DataFrame, key: str = "cli
 def clip_similarity(frames: DataFrame, key: str = "clip") -> DataFrame:
     """key, ssim: the mean over the frames that have one."""
     return frames.groupBy(key).agg(F.avg("ssim").alias("ssim"), F.count("ssim").alias("frames"))
+
+
+class ClipFrames:
+    """Table function (clip bytes, width, height, most frames, stride): frame, width, height, pixels of every stride-th frame, at most so many (all if 0).
+
+    A clip is its frames one after the other.  Bytes that aren't whole frames, or sizes that aren't, give no row, as a file that can't be read does.
+    """
+
+    @staticmethod
+    def analyze(clip: AnalyzeArgument, width: AnalyzeArgument, height: AnalyzeArgument, most: AnalyzeArgument, stride: AnalyzeArgument) -> AnalyzeResult:
+        if not isinstance(clip.dataType, S.BinaryType):
+            raise ValueError(f"a clip is binary, not {clip.dataType.simpleString()}")
+        for a in (width, height, most, stride):
+            if not isinstance(a.dataType, S.IntegralType):
+                raise ValueError("sizes and numbers of frames are whole numbers")
+        whole = S.IntegerType()
+        return AnalyzeResult(S.StructType([S.StructField("frame", whole), S.StructField("width", whole), S.StructField("height", whole), S.StructField("pixels", S.BinaryType())]))
+
+    def eval(self, clip: bytes | None, width: int | None, height: int | None, most: int | None, stride: int | None) -> Iterator[tuple]:
+        size = 3 * (width or 0) * (height or 0)
+        if clip is None or size <= 0 or width <= 0 or len(clip) % size:
+            return
+        taken = range(0, len(clip) // size, max(1, stride or 1))
+        for n, i in enumerate(taken[: most or None]):
+            yield n, width, height, bytes(clip[i * size : (i + 1) * size])
+
+
+def clip_frames(clips: DataFrame, clip: str = "pixels", width: str = "width", height: str = "height", most: int = 0, stride: int = 1) -> DataFrame:
+    """The other columns of ``clips`` with frame, width, height, pixels of each clip's frames, numbered from 0; a clip that can't be read has no row.
+
+    A lateral join: a task makes the frames of its clips one after the other.
+    """
+    made = F.udtf(ClipFrames)(F.col("_clip").outer(), F.col("_width").outer(), F.col("_height").outer(), F.lit(most), F.lit(stride))
+    named = clips.select(*[F.col(c) for c in clips.columns if c not in (clip, width, height)], F.col(clip).alias("_clip"), F.col(width).cast("int").alias("_width"), F.col(height).cast("int").alias("_height"))
+    return named.lateralJoin(made).drop("_clip", "_width", "_height")

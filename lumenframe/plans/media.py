@@ -73,6 +73,16 @@ def frame_ssim(spark, sf_dir):
     return P.clip_similarity(P.frame_similarity(one, other)).select("clip", F.round("ssim", 6).alias("ssim"), "frames")
 
 
+@query(f"""WITH {_PIXELS} SELECT vec_id // 10 AS clip, CAST(vec_id % 10 // 3 AS INTEGER) AS frame, round(avg(greatest(r, g, b)) / 255, 6) AS brightness, round(avg((r * 4899 + g * 9617 + b * 1868 + 8192) >> 14), 6) AS gray_mean
+FROM p WHERE vec_id % 10 IN (0, 3, 6) GROUP BY ALL""")
+def clip_table_function(spark, sf_dir):
+    """Clips held as one value each, taken apart by a table function: three frames of each, every third one."""
+    whole = _frames(spark, sf_dir).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("frame", "pixels"))).alias("f"), F.first("width").alias("width"), F.first("height").alias("height"))  # ten of each
+    clips = whole.select("clip", "width", "height", F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["pixels"])), "")).alias("pixels"))
+    out = P.frame_statistics(P.clip_frames(clips, most=3, stride=3))
+    return out.select("clip", "frame", *[F.round(c, 6).alias(c) for c in ("brightness", "gray_mean")])
+
+
 @query("""SELECT lang || '.jsonl' AS file, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line, count(*) OVER (PARTITION BY lang) AS said FROM documents""")
 def named_split_files(spark, sf_dir):
     """One file of JSON lines for each language, under its own name; lines are numbered as they stand in the files."""

@@ -103,3 +103,14 @@ def test_blocks_of_a_large_frame(spark):
     unit = s[0] / np.linalg.norm(s[0], axis=1, keepdims=True)
     block = R.relation_blocks(one).filter("i = 256 AND j = 512").first()
     assert np.allclose(block.cos, unit[256:512] @ unit[512:768].T)
+
+
+def test_clips_are_taken_apart(spark):
+    frames = [image(i, 2, 3).tobytes() for i in range(7)]
+    rows = [("a", b"".join(frames), 3, 2), ("cut", frames[0][:-1], 3, 2), ("none", None, 3, 2), ("empty", b"", 3, 2), ("odd", frames[0], None, 2), ("minus", frames[0], -3, -2), (None, frames[1], 3, 2)]
+    df = spark.createDataFrame(rows, "clip string, pixels binary, width int, height int")
+    got = P.clip_frames(df, most=3, stride=2).collect()
+    assert [(r.frame, bytes(r.pixels)) for r in sorted((r for r in got if r.clip == "a"), key=lambda r: r.frame)] == [(0, frames[0]), (1, frames[2]), (2, frames[4])]
+    assert sorted((r.clip or "", r.frame) for r in got if r.clip != "a") == [("", 0)] and P.clip_frames(df).filter("clip = 'a'").count() == 7
+    with pytest.raises(Exception, match="a clip is binary"):
+        P.clip_frames(df.withColumn("pixels", df.clip))

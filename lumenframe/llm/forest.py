@@ -26,7 +26,7 @@ from lumenframe.llm import scratch
 from lumenframe.llm import text as T
 from lumenframe.llm.components import components
 from lumenframe.llm.simhash import SEED, majority, with_last
-from lumenframe.llm.skew import hot_keys, join_hot
+from lumenframe.llm.skew import join_hot
 
 SIMILAR = 0.8
 #: Trees and depth of each level; (1 - 0.8^depth)^trees is about a millionth.
@@ -218,14 +218,6 @@ def plausible(group: pa.RecordBatch, near: Callable[[pa.RecordBatch], np.ndarray
     return pairs[np.argsort(pairs[:, 0], kind="stable")]
 
 
-def kept_members(shards: DataFrame) -> DataFrame:
-    """Stored ``shards`` (shard, node, and more) of two sets or more, with their number ``n``; shards with the same members count once."""
-    sizes = shards.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("w1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("w2"))
-    sizes = scratch.table(sizes, "forest-sizes")
-    kept = scratch.table(sizes.filter("n > 1").groupBy("n", "w1", "w2").agg(F.min("shard").alias("shard")).select("shard", "n"), "forest-kept")
-    return scratch.table(join_hot(shards, kept, "shard", "n", "node", hot=hot_keys(sizes, "shard", "n")), "forest-members")
-
-
 def reducers(df: DataFrame, size: int) -> int:
     return max(scratch.partitions(df.sparkSession), math.ceil(size / TASK_BYTES))
 
@@ -333,23 +325,22 @@ def open_regions(nodes: DataFrame, roots: DataFrame, parts: int, largest: int =
     many = scratch.table(entries.groupBy("shard").agg(F.count("*").alias("classes")), "forest-entry-counts")
     told = join_hot(entries, many, "shard", "classes", "root")
     near = meeting_classes(told.filter(F.col("classes") <= largest), nodes, parts).unionByName(told.filter(F.col("classes") > largest).select("shard", "root"))
-    place = F.xxhash64("shard", "root")
-    open_ = scratch.table(near.join(entries.select("shard", "root", "m"), ["shard", "root"]).select(place.alias("place"), F.col("shard").alias("s"), F.col("root").alias("r"), "m"), "forest-open")
-    members = join_hot(rooted.select("node", "size", "root", F.col("shards").alias("keys"), F.explode("shards").alias("shard")).withColumn("place", place), open_, "place", "m", "node")
-    return mixed(scratch.table(members.filter("shard = s AND root = r").select("shard", "node", "size", "root", "keys"), "forest-members"))
+    near = scratch.table(near.join(entries.select("shard", "root", "m"), ["shard", "root"]), "forest-open-classes")
+    largest_of = near.groupBy("shard").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("t"), F.count("*").alias("classes")).filter("classes > 1")
+    largest_of = scratch.table(largest_of.select("shard", "n", F.col("t.m").alias("most"), F.col("t.root").alias("top"), "classes"), "forest-open-regions")
+    place = F.xxhash64("shard", "root").alias("place")
+    open_ = join_hot(near, largest_of, "shard", "classes", "root").select(place, F.col("shard").alias("s"), F.col("root").alias("r"), "m", "n", "most", "top")
+    members = join_hot(each.select("node", "size", "root", "shard", place), scratch.table(open_, "forest-open"), "place", "m", "node").filter("shard = s AND root = r")
+    return with_keys(members.select("shard", "node", "size", "root", "n", "most", "top"), rooted)
 
 
-def mixed(rooted: DataFrame) -> DataFrame:
-    """The rows of ``rooted`` (shard, node, root, ...) whose shard has several classes, with n, and top and most (the largest class, and its members)."""
-    of_class = rooted.groupBy("shard", "root").agg(F.count("*").alias("m"))
-    of_shard = of_class.groupBy("shard").agg(F.max(F.struct("m", "root")).alias("t"), F.count("*").alias("classes"), F.sum("m").alias("all"))
-    several = scratch.table(of_shard.select("shard", "classes", "all", F.col("t.m").alias("most"), F.col("t.root").alias("top")), "forest-classes")
-    out = join_hot(rooted.drop("n"), several.filter("classes > 1"), "shard", "all", "node", hot=hot_keys(several, "shard", "all"))
-    return scratch.table(out.drop("classes").withColumnRenamed("all", "n"), "forest-mixed")
+def with_keys(members: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Stored ``members`` with ``keys``, all regions of the node as ``dealt`` (node, shards) has them; a node is in as many regions as there are trees at most."""
+    return scratch.table(members.join(dealt.select("node", F.col("shards").alias("keys")), "node"), "forest-members")
 
 
 def deeper(rest: DataFrame, sets: DataFrame, level: int, parts: int) -> DataFrame:
-    """The sets of crowded regions dealt anew: members (shard, n, node, size, root, keys) of the trees of ``level``."""
+    """The sets of crowded regions dealt anew: members (shard, n, node, size, root, most, top, keys) of the regions of several classes of the trees of ``level``; those with the same members count once."""
     trees, depth = LEVELS[level]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +353,12 @@ def deeper(rest: DataFrame, sets: DataFrame, level: int, parts: int) -> DataFram
 
     hot = rest.select("node", "size", "root").distinct().join(sets, "node").repartition(parts)
     dealt = scratch.table(hot.mapInArrow(deal, "node long, size long, root long, shards array<long>"), "forest-deeper")
-    return kept_members(dealt.select("node", "size", "root", F.col("shards").alias("keys"), F.explode("shards").alias("shard")))
+    each = dealt.select("node", "size", "root", F.explode("shards").alias("shard"))
+    of_class = each.groupBy("shard", "root").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("w0"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("w1"))
+    of_shard = of_class.groupBy("shard").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("t"), F.count("*").alias("classes"), F.bit_xor("w0").alias("w0"), F.bit_xor("w1").alias("w1"))
+    once = of_shard.filter("classes > 1").groupBy("n", "w0", "w1").agg(F.min(F.struct("shard", "t")).alias("s"))
+    kept = scratch.table(once.select(F.col("s.shard").alias("shard"), "n", F.col("s.t.m").alias("most"), F.col("s.t.root").alias("top")), "forest-kept")
+    return with_keys(join_hot(each, kept, "shard", "n", "node"), dealt)
 
 
 def cells(members: DataFrame, sets: DataFrame, parts: int, largest: int = LARGEST) -> DataFrame:
@@ -385,7 +381,7 @@ def cells(members: DataFrame, sets: DataFrame, parts: int, largest: int = LARGES
         if not rest.limit(1).count():
             return out
         if level < len(LEVELS):
-            members = mixed(deeper(rest, sets, level, parts))
+            members = deeper(rest, sets, level, parts)
     blocks = F.ceil(F.col("n") / part).cast("int")
     laid = rest.withColumn("own", F.pmod(F.xxhash64("node", "shard"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return out.unionByName(laid.withColumn("cell", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).select(*columns))

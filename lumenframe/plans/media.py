@@ -53,11 +53,11 @@ n AS (SELECT a.*, CASE WHEN v = 0 THEN 0 ELSE ((v - u) * CAST(round_even(1044480
   + (SELECT sum(o.gray) FROM y o WHERE o.vec_id = a.vec_id AND o.h = a.h AND o.w = CASE WHEN a.w = 0 THEN 1 ELSE a.w - 1 END) + (SELECT sum(o.gray) FROM y o WHERE o.vec_id = a.vec_id AND o.h = a.h AND o.w = CASE WHEN a.w = 7 THEN 6 ELSE a.w + 1 END) - 4 * gray AS lap FROM y a),
 f AS (SELECT vec_id, var_pop(lap) AS blur, avg(v) / 255 AS brightness, avg(s) / 255 AS saturation FROM n GROUP BY vec_id),
 k AS (SELECT *, vec_id // 10 AS clip, abs(brightness - lag(brightness) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id)) AS step FROM f)
-SELECT clip, round(avg(blur), 4) AS blur_var_mean, round(avg(brightness), 6) AS brightness_mean, round(avg(saturation), 6) AS saturation_mean, round(coalesce(avg(step), 0), 6) AS brightness_flicker, count(*) AS num_frames FROM k GROUP BY clip""")
+SELECT clip, CAST(round(avg(blur) * 40960) AS BIGINT) AS blur_units, round(avg(brightness), 6) AS brightness_mean, round(avg(saturation), 6) AS saturation_mean, round(coalesce(avg(step), 0), 6) AS brightness_flicker, count(*) AS num_frames FROM k GROUP BY clip""")
 def frame_quality(spark, sf_dir):
-    """Sharpness, brightness, saturation and flicker of clips, from the bytes of their frames."""
+    """Sharpness, brightness, saturation and flicker of clips, from the bytes of their frames; sharpness in 40,960ths, which are whole numbers here."""
     q = P.clip_quality(P.frame_statistics(_frames(spark, sf_dir)))
-    return q.select("clip", F.round("blur_var_mean", 4).alias("blur_var_mean"), *[F.round(c, 6).alias(c) for c in ("brightness_mean", "saturation_mean", "brightness_flicker")], "num_frames")
+    return q.select("clip", F.round(F.col("blur_var_mean") * 40960).cast("long").alias("blur_units"), *[F.round(c, 6).alias(c) for c in ("brightness_mean", "saturation_mean", "brightness_flicker")], "num_frames")
 
 
 @query(f"""WITH {_PIXELS}, c AS (SELECT vec_id, i // 8 AS h, i % 8 AS w, unnest([0, 1, 2]) AS ch, unnest([r, g, b])::DOUBLE AS x FROM p),

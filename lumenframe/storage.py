@@ -20,9 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not path:
-        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {SETTING} to a folder that the driver and all executors of {master} share")
+        app = spark.sparkContext.applicationId
         path = _LOCAL.get(app) or _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='lumenframe-')}")
     return path.rstrip("/")
 

@@ -38,6 +38,9 @@ ORDERS, KEY_HASHES, NEIGHBOURS = 3, 12, 32
 SLOTS, AGREEING = 128, 88
 #: Sets of a region that are searched together.
 LARGEST = 512
+#: What a set brings to a region: its node, class, size, the region, all its regions, its sketch and SimHash.
+MEMBER = ["node", "root", "size", "shard", "keys", "sketch", "fp"]
+MEMBERS = "node long, root long, size long, shard long, keys array<long>, sketch array<long>, fp long"
 #: Bytes of text for each reducer, about.
 TASK_BYTES = 32 << 20
 _LOW_BITS = 0x5555555555555555
@@ -330,16 +333,18 @@ def open_regions(nodes: DataFrame, roots: DataFrame, parts: int, largest: int =
     largest_of = scratch.table(largest_of.select("shard", "n", F.col("t.m").alias("most"), F.col("t.root").alias("top"), "classes"), "forest-open-regions")
     place = F.xxhash64("shard", "root").alias("place")
     open_ = join_hot(near, largest_of, "shard", "classes", "root").select(place, F.col("shard").alias("s"), F.col("root").alias("r"), "m", "n", "most", "top")
-    members = join_hot(each.select("node", "size", "root", "shard", place), scratch.table(open_, "forest-open"), "place", "m", "node").filter("shard = s AND root = r")
-    return with_keys(members.select("shard", "node", "size", "root", "n", "most", "top"), rooted)
+    # Only the node travels: were two places ever one hash, a node would meet sets whose region isn't among its keys, and no pair would be looked at.
+    members = join_hot(each.select("node", place), scratch.table(open_, "forest-open"), "place", "m", "node").select(F.col("s").alias("shard"), F.col("r").alias("root"), "node", "n", "most", "top")
+    return with_keys(members, rooted.select("node", "size", "shards"), nodes)
 
 
-def with_keys(members: DataFrame, dealt: DataFrame) -> DataFrame:
-    """Stored ``members`` with ``keys``, all regions of the node as ``dealt`` (node, shards) has them; a node is in as many regions as there are trees at most."""
-    return scratch.table(members.join(dealt.select("node", F.col("shards").alias("keys")), "node"), "forest-members")
+def with_keys(members: DataFrame, dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored ``members`` with ``keys``, all regions of the node as ``dealt`` (node, shards, ...) has them, and its sketch and fp; a node is in as many regions as there are trees at most."""
+    told = dealt.withColumnRenamed("shards", "keys").join(nodes.select("node", "sketch", "fp"), "node")
+    return scratch.table(members.join(told, "node"), "forest-members")
 
 
-def deeper(rest: DataFrame, sets: DataFrame, level: int, parts: int) -> DataFrame:
+def deeper(rest: DataFrame, nodes: DataFrame, sets: DataFrame, level: int, parts: int) -> DataFrame:
     """The sets of crowded regions dealt anew: members (shard, n, node, size, root, most, top, keys) of the regions of several classes of the trees of ``level``; those with the same members count once."""
     trees, depth = LEVELS[level]
 
@@ -358,17 +363,17 @@ def deeper(rest: DataFrame, sets: DataFrame, level: int, parts: int) -> DataFram
     of_shard = of_class.groupBy("shard").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("t"), F.count("*").alias("classes"), F.bit_xor("w0").alias("w0"), F.bit_xor("w1").alias("w1"))
     once = of_shard.filter("classes > 1").groupBy("n", "w0", "w1").agg(F.min(F.struct("shard", "t")).alias("s"))
     kept = scratch.table(once.select(F.col("s.shard").alias("shard"), "n", F.col("s.t.m").alias("most"), F.col("s.t.root").alias("top")), "forest-kept")
-    return with_keys(join_hot(each, kept, "shard", "n", "node"), dealt)
+    return with_keys(join_hot(each, kept, "shard", "n", "node"), dealt.select("node", "shards"), nodes)
 
 
-def cells(members: DataFrame, sets: DataFrame, parts: int, largest: int = LARGEST) -> DataFrame:
-    """``cell``, ``node``, ``root``, ``size``, ``shard``, ``keys``: groups of about ``largest`` sets at most in which any two of a region and of different classes meet.
+def cells(members: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, largest: int = LARGEST) -> DataFrame:
+    """``cell`` and the columns of MEMBER: groups of about ``largest`` sets at most in which any two of a region and of different classes meet.
 
-    ``members`` (stored) has shard, n, node, size, root, most, top, keys (all regions of the node).  After the last level a region that is crowded still is laid out
+    ``members`` (stored) has those columns, n, most and top.  After the last level a region that is crowded still is laid out
     in blocks, each two of which meet.
     """
     part = largest // 2
-    columns = ["cell", "node", "root", "size", "shard", "keys"]
+    columns = ["cell", *MEMBER]
     out = None
     for level in range(1, len(LEVELS) + 1):
         few = F.col("n") - F.col("most") <= part
@@ -381,27 +386,25 @@ def cells(members: DataFrame, sets: DataFrame, parts: int, largest: int = LARGES
         if not rest.limit(1).count():
             return out
         if level < len(LEVELS):
-            members = deeper(rest, sets, level, parts)
+            members = deeper(rest, nodes, sets, level, parts)
     blocks = F.ceil(F.col("n") / part).cast("int")
     laid = rest.withColumn("own", F.pmod(F.xxhash64("node", "shard"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return out.unionByName(laid.withColumn("cell", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).select(*columns))
 
 
-def candidates(met: DataFrame, nodes: DataFrame, parts: int, near: Callable) -> DataFrame:
-    """Those of each cell (cell, node, root, size, shard, keys) that may be similar to one of another class."""
+def candidates(met: DataFrame, parts: int, near: Callable) -> DataFrame:
+    """Those of each cell (cell and MEMBER) that may be similar to one of another class."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "cell"):
             held = np.unique(plausible(g, near)[:, 1:])
             if len(held):
-                yield g.select(["cell", "node", "root", "size", "shard", "keys"]).take(pa.array(held))
+                yield g.select(["cell", *MEMBER]).take(pa.array(held))
 
-    sketched = met.join(nodes.select("node", "sketch", "fp"), "node")
-    dealt = sketched.repartition(parts, "cell").sortWithinPartitions("cell", "node")
-    return dealt.mapInArrow(search, "cell long, node long, root long, size long, shard long, keys array<long>")
+    return met.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(search, f"cell long, {MEMBERS}")
 
 
-def class_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, near: Callable) -> DataFrame:
+def class_links(met: DataFrame, sets: DataFrame, parts: int, near: Callable) -> DataFrame:
     """Links (a, b sets, ra, rb their classes) that join the similar sets of different classes in each cell, the nearest pairs first."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +424,7 @@ def class_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, n
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["a", "b", "ra", "rb"])
 
-    whole = met.join(nodes.select("node", "sketch", "fp"), "node").join(sets, "node")
+    whole = met.join(sets, "node")
     return whole.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(search, "a long, b long, ra long, rb long")
 
 
@@ -439,10 +442,10 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: in
     hot = regions.filter((F.col("n") > largest) & (F.col("n") - F.col("most") > largest // 2)).select("node").distinct()
     crowded = hot.limit(1).count() > 0
     hot_sets = with_sets(scratch.table(hot, "forest-hot"), sets, texts, shingle, "forest-hot-sets") if crowded else sets
-    met = scratch.table(cells(regions, hot_sets, parts, largest), "forest-cells")
-    likely = scratch.table(candidates(met, nodes, parts, near), "forest-candidates")
+    met = scratch.table(cells(regions, nodes, hot_sets, parts, largest), "forest-cells")
+    likely = scratch.table(candidates(met, parts, near), "forest-candidates")
     whole = with_sets(likely.select("node").distinct(), sets, texts, shingle, "forest-likely-sets")
-    return first, roots, scratch.table(class_links(likely, nodes, whole, parts, near), "forest-links")
+    return first, roots, scratch.table(class_links(likely, whole, parts, near), "forest-links")
 
 
 def classes(nodes: DataFrame, first: DataFrame, roots: DataFrame, second: DataFrame) -> DataFrame:

@@ -103,18 +103,18 @@ def test_rows_of_a_crowded_region_follow_its_sets(spark):
         rng = random.Random(n)
         texts = [" ".join([*(f"p{k}" for k in range(30)), *(f"w{rng.randrange(1 << 40)}" for _ in range(30))]) for _ in range(n)]
         sets = scratch.table(forest.sets_of(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 2), "test-sets")
-        members = sets.select(F.lit(1).cast("long").alias("shard"), F.lit(n).cast("long").alias("n"), "node", F.size("set").cast("long").alias("size"), F.col("node").alias("root"), F.array(F.lit(1).cast("long")).alias("keys"))
+        members = sets.select(F.lit(1).cast("long").alias("shard"), F.lit(n).cast("long").alias("n"), "node", F.size("set").cast("long").alias("size"), F.col("node").alias("root"), F.array(F.lit(1).cast("long")).alias("keys"), F.array().cast("array<long>").alias("sketch"), F.lit(0).cast("long").alias("fp"))
         members = scratch.table(members.withColumns({"most": F.lit(1).cast("long"), "top": F.lit(0).cast("long")}), "test-members")
-        made[n] = forest.cells(members, sets, 4, 256).count()
+        made[n] = forest.cells(members, members, sets, 4, 256).count()
     assert made[8000] < 4.5 * made[2000] + 1000 and made[8000] < 20 * 8000
 
 
 def test_one_class_in_a_crowded_region_meets_the_others(spark):
     from lumenframe.llm import scratch
 
-    rows = [(1, 5010, i, 50, 0 if i < 5000 else i, 5000, 0, [1]) for i in range(5010)]
-    members = scratch.table(spark.createDataFrame(rows, "shard long, n long, node long, size long, root long, most long, top long, keys array<long>"), "test-members")
-    met = forest.cells(members, None, 4, 256)
+    rows = [(1, 5010, i, 50, 0 if i < 5000 else i, 5000, 0, [1], [], 0) for i in range(5010)]
+    members = scratch.table(spark.createDataFrame(rows, "shard long, n long, node long, size long, root long, most long, top long, keys array<long>, sketch array<long>, fp long"), "test-members")
+    met = forest.cells(members, members, None, 4, 256)
     cells = collections.defaultdict(set)
     for r in met.collect():
         cells[r.cell].add(r.node)

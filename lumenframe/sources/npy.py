@@ -22,6 +22,8 @@ from lumenframe.sources import ranges as R
 
 SCHEMA = "path string, shape array<long>, row long, values array<double>"
 BAD = (ValueError, EOFError, OSError, TypeError)
+#: Tasks of fewer bytes than R.TASK_BYTES are made larger where there would be more than about so many.
+MOST_TASKS = 1024
 
 
 @dataclass
@@ -94,21 +96,21 @@ class NpyReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         small, out = [], []
-        for path, length in R.files_below(self.root, self.glob):
-            if not R.passes(path, self.tests["path"]):
-                continue
+        files = [(path, length) for path, length in R.files_below(self.root, self.glob) if R.passes(path, self.tests["path"])]
+        most = max(self.most, min(R.TASK_BYTES, sum(length for _, length in files) // MOST_TASKS))
+        for path, length in files:
             try:
-                if length <= self.most:
+                if length <= most:
                     raise ValueError("small enough for one task")
                 system, at = R.located(path)
                 with system.open_input_file(at) as f:
                     h = header(f, length)
-                step = max(1, self.most // max(1, h.width * h.dtype.itemsize))
+                step = max(1, most // max(1, h.width * h.dtype.itemsize))
                 first, stop = int(min(self.first, h.rows)), int(min(self.stop, h.rows))
                 out += [Pieces([(path, length, i, min(i + step, stop))]) for i in range(first, stop, step)]
             except BAD:
-                small.append(((path, length, 0, None), min(length, self.most)))
-        return [*out, *(Pieces(p) for p in R.packed(small, self.most))]
+                small.append(((path, length, 0, None), min(length, most)))
+        return [*out, *(Pieces(p) for p in R.packed(small, most))]
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         def batch(path: str, shape: tuple | None, numbers: np.ndarray | None, values: np.ndarray | None) -> pa.RecordBatch:
@@ -155,7 +157,8 @@ def npy_rows(spark: SparkSession, root: str, glob: str = "*.npy", columns: list[
 def write_npy(df: DataFrame, folder: str) -> int:
     """Write ``df`` (file, place, values: arrays of numbers of one width in a file) as NPY arrays of doubles in ``folder``, rows by place; returns the number of files.
 
-    A task writes its files one after the other, row by row under a header for the rows that are counted before, and moves each to its name when it is whole.
+    A task writes its files one after the other, row by row under a header for the rows that are counted before, and moves each to its name when it is whole;
+    a file whose rows aren't as many as were counted is an error.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,26 +166,34 @@ def write_npy(df: DataFrame, folder: str) -> int:
         system.create_dir(top, recursive=True)
         task = TaskContext.get()
         temporary, current, out, files = f"{top}/.npy-{task.partitionId()}-{task.taskAttemptId()}", None, None, 0
+        said = written = 0
+
+        def close() -> None:
+            if out:
+                out.close()
+                if written != said:
+                    system.delete_file(temporary)
+                    raise ValueError(f"{current} has {written} of its {said} rows in one task")
+                system.move(temporary, f"{top}/{current}")
+
         for b in batches:
             values = b.column("values")
             for i, (name, n) in enumerate(zip(b.column("file").to_pylist(), b.column("n").to_pylist(), strict=True)):
                 row = np.asarray(values[i].values.to_numpy(zero_copy_only=False), "<f8")
                 if name != current:
-                    if out:
-                        out.close()
-                        system.move(temporary, f"{top}/{current}")
-                    current, out, width, files = name, system.open_output_stream(temporary), len(row), files + 1
+                    close()
+                    current, out, width, files, said, written = name, system.open_output_stream(temporary), len(row), files + 1, n, 0
                     head = io.BytesIO()
                     np.lib.format.write_array_header_1_0(head, {"descr": "<f8", "fortran_order": False, "shape": (n, width)})
                     out.write(head.getvalue())
                 if len(row) != width:
                     raise ValueError(f"{name} has rows of {width} and {len(row)} numbers")
                 out.write(row.tobytes())
-        if out:
-            out.close()
-            system.move(temporary, f"{top}/{current}")
+                written += 1
+        close()
         yield pa.RecordBatch.from_arrays([pa.array([files])], ["files"])
 
     counts = df.groupBy("file").agg(F.count("*").alias("n"))
     rows = df.select("file", "place", F.col("values").cast("array<double>").alias("values")).join(counts, "file")
-    return rows.repartition("file").sortWithinPartitions("file", "place").mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
+    # Dealt by the count too: a shuffle by the file alone is dropped in favour of the join's own, which Spark reads by mapper once it sees that the counts are few.
+    return rows.repartition("file", "n").sortWithinPartitions("file", "place").mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0

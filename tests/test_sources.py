@@ -105,6 +105,23 @@ def test_a_large_array_is_read_by_several_tasks_in_ranges(spark, tmp_path):
     assert few.rdd.getNumPartitions() == 1 and [(r.row, r["values"]) for r in few.orderBy("row").collect()] == [(1_999_999, [0.0, 0.0]), (2_000_000, [7.0, 7.0]), (2_000_001, [0.0, 0.0])]
 
 
+def test_an_array_that_reaches_two_tasks_is_an_error(spark, tmp_path, monkeypatch):
+    """As where Spark drops the shuffle by file; each task's part took the file's name, so rows were lost unseen."""
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "repartition", lambda self, *by, deal=kind.repartition: deal(self, 2))
+    rows = spark.range(100).select(F.lit("a.npy").alias("file"), F.col("id").alias("place"), F.array(F.col("id").cast("double")).alias("values"))
+    with pytest.raises(Exception, match="of its 100 rows in one task"):
+        npy.write_npy(rows, str(tmp_path))
+    assert os.listdir(tmp_path) == []
+
+
+def test_small_tasks_of_many_bytes_are_made_larger(tmp_path):
+    np.lib.format.open_memmap(tmp_path / "a.npy", "w+", np.float64, (1 << 20, 64))
+    reader = npy.NpyReader({"path": str(tmp_path), "taskbytes": "65536"})
+    ranges = [p for part in reader.partitions() for p in part.pieces]
+    assert len(ranges) <= npy.MOST_TASKS + 1 and [r[2] for r in ranges] == [0, *(r[3] for r in ranges[:-1])] and ranges[-1][3] == 1 << 20
+
+
 def test_named_files_appear_together_or_not_at_all(spark, tmp_path):
     df = spark.createDataFrame([(f, i, f"{f} {i}") for f in ("a.txt", "b.txt") for i in range(50)], "file string, n int, line string")
     named.write_named(df, f"file://{tmp_path}/out", ["n"])

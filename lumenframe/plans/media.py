@@ -57,7 +57,9 @@ SELECT clip, CAST(round(avg(blur) * 40960) AS BIGINT) AS blur_units, round(avg(b
 def frame_quality(spark, sf_dir):
     """Sharpness, brightness, saturation and flicker of clips, from the bytes of their frames; sharpness in 40,960ths, which are whole numbers here."""
     q = P.clip_quality(P.frame_statistics(_frames(spark, sf_dir)))
-    return q.select("clip", F.round(F.col("blur_var_mean") * 40960).cast("long").alias("blur_units"), *[F.round(c, 6).alias(c) for c in ("brightness_mean", "saturation_mean", "brightness_flicker")], "num_frames")
+    # One in about a hundred means lies on a rounding edge; the SQL scales and then rounds the double, where round(x, 6) goes by its decimal digits.
+    six = lambda c: (F.round(F.col(c) * 1e6) / 1e6).alias(c)
+    return q.select("clip", F.round(F.col("blur_var_mean") * 40960).cast("long").alias("blur_units"), *[six(c) for c in ("brightness_mean", "saturation_mean", "brightness_flicker")], "num_frames")
 
 
 @query(f"""WITH {_PIXELS}, c AS (SELECT vec_id, i // 8 AS h, i % 8 AS w, unnest([0, 1, 2]) AS ch, unnest([r, g, b])::DOUBLE AS x FROM p),

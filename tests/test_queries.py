@@ -34,6 +34,17 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
+def test_means_on_a_rounding_edge_are_those_of_the_sql(spark):
+    """All six digits: on sf0.01 the brightness of clip 29 is 0.0640625."""
+    sf = "/root/testdata/sf0.01"
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+        want = c.execute(plans.ORACLE_SQL["frame_quality"])
+        columns, values = [d[0] for d in want.description], want.fetchall()
+    got = plans.QUERIES["frame_quality"](spark, sf).select(*columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(values)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["split", "n"] and df.count() > 0

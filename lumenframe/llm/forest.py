@@ -25,7 +25,7 @@ from xxhash import xxh3_128_intdigest, xxh64_intdigest
 from lumenframe.llm import scratch
 from lumenframe.llm import text as T
 from lumenframe.llm.components import components
-from lumenframe.llm.simhash import SEED, majority, with_last
+from lumenframe.llm.simhash import SEED, BKTree, majority, with_last
 from lumenframe.llm.skew import join_hot
 
 SIMILAR = 0.8
@@ -225,15 +225,41 @@ def reducers(df: DataFrame, size: int) -> int:
     return max(scratch.partitions(df.sparkSession), math.ceil(size / TASK_BYTES))
 
 
-def neighbours(rows: DataFrame, parts: int) -> DataFrame:
+def neighbours(rows: DataFrame, parts: int, radius: int | None = None) -> DataFrame:
     """Pairs a, b of sets that are neighbours in one of ORDERS sorted orders of signatures, and ``top``, a set that b is joined to by such pairs of its task.
 
     ``rows`` has node, size, sketch, orders and perhaps set.  Each order is sorted in ranges; a task compares each set with the NEIGHBOURS before it that share the
     first DEPTH hashes, which have the longest common prefixes: by sketches, and where there are sets by those, passing over neighbours that it is
     joined to already.  A task holds one batch and the neighbours.
+
+    With a ``radius`` no sketch is looked at: the sets that share the first hashes stand in BK-trees of their SimHashes (``fp``), each with NEIGHBOURS to twice as many
+    of those before, and what a tree gives within the radius is compared, the nearest first.
     """
     checked = "set" in rows.columns
 
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, held, here = BKTree(), [], None  # [node, size, set, top, fp]
+        for b in batches:
+            found, fps = [], b.column("fp").to_numpy().view(np.uint64).tolist()
+            values = lambda i, data=b.column("set") if checked else None: data[i].values.to_numpy() if checked else None
+            for i, (o, key, node, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("o", "key", "node", "size")), strict=True)):
+                own, region, fp, top = values(i), (o, key[: 4 * DEPTH]), fps[i], node
+                if region != here or len(held) == 2 * NEIGHBOURS:
+                    tree, held, here = BKTree(), held[-NEIGHBOURS:] if region == here else [], region
+                    for other in held:
+                        tree.add(other[4])
+                for _, j in sorted(((fp ^ held[j][4]).bit_count(), -j) for j in tree.within(fp, radius)):
+                    other = held[-j]
+                    if other[3] != top and fits(size, other[1]) and (not checked or similar(own, other[2])):
+                        found.append((node, other[0], other[3]))
+                        gone = other[3]
+                        for each in held:
+                            if each[3] == gone:
+                                each[3] = top
+                tree.add(fp)
+                held.append([node, size, own.copy() if checked else None, top, fp])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "top"])
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: deque = deque(maxlen=NEIGHBOURS)  # [region, node, size, sketch, set, top]
         for b in batches:
@@ -254,8 +280,8 @@ def neighbours(rows: DataFrame, parts: int) -> DataFrame:
                 last.append([region, node, size, bits, own.copy() if checked else None, top])
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "top"])
 
-    each = rows.select("node", "size", "sketch", *["set"] * checked, F.posexplode("orders").alias("o", "key"))
-    return each.repartitionByRange(parts, "o", "key", "node").sortWithinPartitions("o", "key", "node").mapInArrow(walk, "a long, b long, top long")
+    each = rows.select("node", "size", "sketch" if radius is None else "fp", *["set"] * checked, F.posexplode("orders").alias("o", "key"))
+    return each.repartitionByRange(parts, "o", "key", "node").sortWithinPartitions("o", "key", "node").mapInArrow(walk if radius is None else climb, "a long, b long, top long")
 
 
 def apart(one: Column, other: Column) -> Column:
@@ -428,15 +454,15 @@ def class_links(met: DataFrame, sets: DataFrame, parts: int, near: Callable) ->
     return whole.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(search, "a long, b long, ra long, rb long")
 
 
-def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, parts: int, near: Callable = near_sketches, largest: int = LARGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, parts: int, near: Callable = near_sketches, largest: int = LARGEST, radius: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links that join all similar ``nodes`` (stored: node, size, shards, orders, sketch, fp): those of neighbours (a, b, top), the classes that they make (node, root), and links between those (a, b, ra, rb).
 
-    ``texts`` gives (node, text) of some nodes; ``near`` the pairs of a group of sets that are worth a check.
+    ``texts`` gives (node, text) of some nodes; ``near`` the pairs of a group of sets that are worth a check, and ``radius`` makes neighbours those of BK-trees.
     """
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = scratch.table(ends(neighbours(nodes, parts)), "forest-asked")
+    asked = scratch.table(ends(neighbours(nodes, parts, radius)), "forest-asked")
     sets = scratch.table(sets_of(texts(asked), shingle), "forest-sets")
-    first = scratch.table(neighbours(sets.join(nodes, "node"), parts).distinct(), "forest-near")
+    first = scratch.table(neighbours(sets.join(nodes, "node"), parts, radius).distinct(), "forest-near")
     roots = scratch.table(components(first.select("a", F.col("top").alias("b"))), "forest-first-roots")
     regions = open_regions(nodes, roots, parts, largest)
     hot = regions.filter((F.col("n") > largest) & (F.col("n") - F.col("most") > largest // 2)).select("node").distinct()
@@ -464,17 +490,17 @@ def with_sets(some: DataFrame, known: DataFrame, texts: Callable[[DataFrame], Da
     return known.unionByName(scratch.table(sets_of(texts(missing), shingle), name))
 
 
-def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, near: Callable = near_sketches, simhash: bool = False, empty_alike: bool = False) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, near: Callable = near_sketches, radius: int | None = None, empty_alike: bool = False) -> DataFrame:
     """Each row of ``df`` as id, t (128 bits that name its text), size (of its set), least_id and least_t (those of the first row of its component, null ids last).
 
-    Rows with empty sets are each alone, unless they are ``empty_alike``.
+    Rows with empty sets are each alone, unless they are ``empty_alike``.  A ``radius`` makes first neighbours those of BK-trees of SimHashes.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.select("id", text_name(F.col("text")).alias("t"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = reducers(df, total)
-    marked = scratch.table(marks(rows, shingle, simhash), "forest")
+    marked = scratch.table(marks(rows, shingle, radius is not None), "forest")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("m")
     some = F.lit(True) if empty_alike else F.col("size") > 0
     nodes = marked.filter(some).groupBy("s").agg(first, F.count("*").alias("uses"), *[F.first(c).alias(c) for c in ("size", "shards", "orders", "sketch", "fp")])
@@ -485,7 +511,7 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, shingle: int, near
         own = rows.join(named, (F.col("t") == F.col("nt")) & F.col("id").eqNullSafe(F.col("nid")))
         return own.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
 
-    roots = classes(nodes, *links(nodes, texts, shingle, parts, near))
+    roots = classes(nodes, *links(nodes, texts, shingle, parts, near, radius=radius))
     rooted = scratch.table(nodes.select("s", "uses", "node", "m").join(roots, "node").select("s", "uses", "root", "m"), "forest-roots")
     lowest = rooted.groupBy("root").agg(F.min("m").alias("m"), F.count("*").alias("sets")).select("root", "sets", F.col("m.id").alias("least_id"), F.col("m.t").alias("least_t"))
     lowest = scratch.table(lowest, "forest-lowest")

@@ -1,7 +1,7 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Sorted minimum-hash signatures link neighbours and deal the texts to regions (see ``forest``).  In each region that still has several classes a BK-tree of
-SimHashes gives the pairs that are worth a check on both shingle sets; crowded regions are dealt anew by more and deeper signatures.  So any two similar
+Minimum-hash signatures deal the texts to regions (see ``forest``), and every link is one that a BK-tree of SimHashes gave and both shingle sets confirmed.  First the trees of
+runs of a region's texts link most copies; then a tree of each region that still has several classes gives the pairs that are worth a check.  Crowded regions are dealt anew by more and deeper signatures.  So any two similar
 texts are joined, and rows follow the texts of a region, not its pairs.
 """
 
@@ -35,7 +35,7 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are lower-cased (A-Z only) and cut into words at ASCII white space; a text of fewer than five words is one
     shingle, and texts without words (null too) are alike.  Null ids come last; rows that are alike in id and text all stay if one does.
     """
-    found = N.similar_groups(df, id_col, text_col, SHINGLE, near_trees, simhash=True, empty_alike=True)
+    found = N.similar_groups(df, id_col, text_col, SHINGLE, near_trees, RADIUS, empty_alike=True)
     kept = found.filter(F.col("id").eqNullSafe(F.col("least_id")) & (F.col("t") == F.col("least_t"))).select(F.col("id").alias("keep"), F.col("t").alias("kept_t")).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), N.text_name(text).alias("t"))

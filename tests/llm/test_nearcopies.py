@@ -93,6 +93,29 @@ def test_small_and_large_shards_keep_the_same(spark, largest):
     assert set(least.values()) == kept_of(sets, pairs)
 
 
+def test_every_link_comes_from_a_tree(spark, monkeypatch):
+    """First neighbours are those of BK-trees: no link is further than the radius, and with a radius that nothing is within there is none."""
+    from lumenframe.llm import forest
+    from pyspark.sql import functions as F
+
+    texts = edited_docs(3)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("t", forest.text_name(F.col("text")))
+    marked = forest.marks(rows, nearcopies.SHINGLE, True).withColumnRenamed("id", "node")
+    whole = marked.join(forest.sets_of(rows.withColumnRenamed("id", "node"), nearcopies.SHINGLE), "node").cache()
+    fp = {r.node: r.fp & (1 << 64) - 1 for r in whole.select("node", "fp").collect()}
+    counts = []
+    for radius in (-1, 4, nearcopies.RADIUS):
+        found = {(r.a, r.b) for r in forest.neighbours(whole, 4, radius).collect()}
+        assert all((fp[a] ^ fp[b]).bit_count() <= radius for a, b in found) and {tuple(sorted(p)) for p in found} <= set(similar_pairs(sets))
+        counts.append(len(found))
+    assert 0 == counts[0] < counts[1] < counts[2]
+    asked = []
+    monkeypatch.setattr(forest, "neighbours", lambda rows, parts, radius=None, plain=forest.neighbours: asked.append(radius) or plain(rows, parts, radius))
+    kept = {r.doc_id for r in nearcopies.drop_similar(rows.select(F.col("id").alias("doc_id"), "text")).collect()}
+    assert kept == kept_of(sets, similar_pairs(sets)) and asked == [nearcopies.RADIUS] * 2
+
+
 def test_odd_rows(spark):
     rows = odd_rows()
     got = nearcopies.drop_similar(clashing(spark.createDataFrame(rows, DOCS)))

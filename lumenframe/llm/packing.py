@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import text as T
-from lumenframe.llm.tokens import Encoder, default_tokenizer
+from lumenframe.llm.tokens import SLICE_BYTES, Encoder, default_tokenizer
 
 WINDOW = 4096
 #: Documents whose pieces one task packs; windows are never shared by tasks.
@@ -78,7 +78,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        for b in T.slices(batches):
+        for b in T.slices(batches, limit=SLICE_BYTES):
             ids, bounds = encoder.ids(b.column("text"), end_id)
             n = np.diff(bounds)
             parts = -(-n // window)
@@ -91,6 +91,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: in
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[row])],
                 ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            pa.default_memory_pool().release_unused()  # else each worker keeps what its largest slice took
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, f"id {id_type}, {PIECE}")

@@ -24,6 +24,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers are kept for other tasks, what this one took needn't be
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -14,6 +14,8 @@ from lumenframe.llm import text as T
 
 #: Chunks that are a word of plain letters and marks after it.
 SIMPLE, MARKS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]*$", ".,;:!?"
+#: UTF-8 bytes of text that are encoded at one time: ids and their places take many times that.
+SLICE_BYTES = 1 << 20
 
 
 def byte_names() -> dict[int, str]:
@@ -29,6 +31,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class KnownIds:
+    """Ids of texts that have been encoded, as Arrow and numpy columns, up to a number of bytes; then it starts anew.  Long texts aren't kept.
+
+    An entry takes some 30 bytes, where objects in a dict take 200: each Python worker of an executor holds its own.
+    """
+
+    def __init__(self, most: int = 8 << 20, longest: int = 256) -> None:
+        self.most, self.longest = most, longest
+        self._clear()
+
+    def _clear(self) -> None:
+        self.values, self.pool, self.lengths = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    @property
+    def held(self) -> int:
+        return self.values.nbytes + self.pool.nbytes + self.lengths.nbytes
+
+    def parts(self, values: pa.Array, made: Callable[[list[str]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all of the distinct values in a row, and how many each has; those that aren't known are made, in one go."""
+        if self.held > self.most:
+            self._clear()
+        at = pc.index_in(values, value_set=self.values)
+        is_new = at.is_null()
+        new = values.filter(is_new)
+        ids = list(made(new.to_pylist()))
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        pool, lengths = np.concatenate([self.pool, np.frombuffer(b"".join(ids), np.uint32)]), np.concatenate([self.lengths, sizes])
+        row = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        row[is_new.to_numpy(zero_copy_only=False)] = len(self) + np.arange(len(new))
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        out = pool[T.ragged(starts[row], lengths[row])], lengths[row].astype(np.int64)
+        short = pc.less_equal(pc.binary_length(new), self.longest)
+        if len(new) > short.true_count:
+            is_short = short.to_numpy(zero_copy_only=False)
+            new, sizes, first = new.filter(short), sizes[is_short], starts[len(self) :][is_short]
+            pool = np.concatenate([self.pool, pool[T.ragged(first, sizes)]])
+            lengths = np.concatenate([self.lengths, sizes])
+        self.values, self.pool, self.lengths = pa.concat_arrays([self.values, new]), pool, lengths
+        return out
+
+
 class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -47,7 +93,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.names = byte_names()
-        self.chunks, self.words = T.Remembered(), T.Remembered()
+        self.chunks, self.words = KnownIds(), KnownIds()
         whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         for text in ("Ab 'c", "d\n\n <|endoftext|>x\t9", " \r\n"):
             if whole(text) != [i for w in text.split() for i in whole(w)]:
@@ -66,11 +112,6 @@ class Encoder:
         named = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
 
-    def _parts(self, values: list[str], known: T.Remembered, made: Callable[[list[str]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all values in a row, and how many each has."""
-        parts = known.parts(values, made)
-        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-
     def _wholly(self, values: list[str]) -> Iterable[bytes]:
         return (array("I", e.ids).tobytes() for e in self.batch(values, add_special_tokens=False))
 
@@ -81,9 +122,8 @@ class Encoder:
         trimmed = pc.utf8_rtrim(bare, MARKS)
         word, words = T.coded(pc.utf8_lower(trimmed))
         mark, marks = T.coded(suffixes(bare, trimmed))
-        pools = [self._parts(words.to_pylist(), self.words, lambda new: map(self._word, new)),
-                 self._parts(marks.to_pylist(), self.chunks, self._wholly),
-                 self._parts(chunks.filter(pc.invert(simple)).to_pylist(), self.chunks, self._wholly)]
+        pools = [self.words.parts(words, lambda new: map(self._word, new)), self.chunks.parts(marks, self._wholly),
+                 self.chunks.parts(chunks.filter(pc.invert(simple)), self._wholly)]
         shift = np.cumsum([0, *(len(p) for p, _ in pools)])
         starts = [np.cumsum(n) - n + a for (_, n), a in zip(pools, shift, strict=False)]
         is_simple = simple.to_numpy(zero_copy_only=False)

@@ -253,6 +253,44 @@ def test_encoder_equals_the_library():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == encoded(texts)
 
 
+def test_known_ids_take_little_room():
+    import gc
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    letters = rng.integers(97, 123, (40, 2000, 9), np.uint8)
+    slices = [pa.array([" ".join(w.tobytes().decode() for w in s)]) for s in letters]
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    encoder.ids(slices[0], None)
+    gc.collect()
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for s in slices[1:]:
+        encoder.ids(s, None)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 80 * 39 * 2000
+    assert encoder.ids(slices[3], None)[0].tolist() == encoded(slices[3].to_pylist())[0]
+
+
+def test_known_ids_start_anew_and_leave_long_texts_out():
+    asked = []
+
+    def made(new):
+        asked.append(new)
+        return [np.full(len(v), ord(v[-1:] or "x"), "<u4").tobytes() for v in new]
+
+    known = tokens.KnownIds(most=400, longest=5)
+    for i in range(1, 100):
+        values = [f"v{i}", "too long for it", "", "v0", f"é{i}"]
+        ids, n = known.parts(pa.array(values), made)
+        assert n.tolist() == [len(v) for v in values] and ids.tolist() == [ord(v[-1]) for v in values for _ in v]
+        assert known.held < 600
+    assert all("too long for it" in new for new in asked) and 2 < sum("v0" in new for new in asked) < 60
+    assert known.parts(pa.array([], pa.string()), made)[0].tolist() == []
+
+
 def test_token_files(spark, odd):
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.token_files(odd).collect())
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
